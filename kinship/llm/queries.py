@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinship.llm.byte_bpe import op2_byte_bpe
+from kinship.llm.language import op6_language
+from kinship.llm.packing import op8_packing
+from kinship.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe}
+    return {"op2_byte_bpe": op2_byte_bpe, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
