@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinship.llm.byte_bpe import op2_byte_bpe
 from kinship.llm.language import op6_language
+from kinship.llm.licenses import op1_licenses
+from kinship.llm.lines import op10_lines
 from kinship.llm.packing import op8_packing
 from kinship.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing}
+    return {"op1_licenses": op1_licenses, "op2_byte_bpe": op2_byte_bpe, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_packing": op8_packing, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
