@@ -16,24 +16,33 @@ gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinship.llm.byte_bpe import byte_alphabet
 from kinship.llm.common import slices, stored
 
 #: Parts of each length's documents that are numbered apart, so that one common length doesn't meet in one task.
 SALTS = 64
 #: Pre-tokens that a worker remembers at most.
-CACHE = 300_000
+CACHE = 1_000_000
 #: How the vocabulary's file splits normalised text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+@functools.cache
+def word_bpe(data: bytes) -> WordBpe:
+    """One coder for all tasks of a worker, so that what it remembers outlives a task."""
+    return WordBpe(data)
+
+
 class WordBpe:
     """Encodes texts as the tokenizer does, pre-token by pre-token through a cache."""
 
@@ -44,6 +53,8 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_alphabet()))
         self.split = regex.compile(pattern).findall
         #: All but letters and signs that composition leaves as they are and that Python lower-cases alike.
         self.odd = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027]").search
@@ -52,9 +63,9 @@ class WordBpe:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(words - self.known.keys())
-        for w, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(x.ids, np.uint32).tobytes()
+        for w in words - self.known.keys():
+            mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            self.known[w] = array("I", [t.id for t in self.merge(mapped)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. Texts with rarer scripts go through the tokenizer as a whole."""
@@ -74,7 +85,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_c
     end = np.uint32(end_id).tobytes()
 
     def run(batches):
-        coder = WordBpe(shared.value)
+        coder = word_bpe(shared.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices([len(x) for x in texts]):
