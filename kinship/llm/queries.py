@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinship.llm.byte_bpe import op2_byte_bpe
+from kinship.llm.covertree import op5_covertree
+from kinship.llm.hamming import OP3_SQL, op3_topk
 from kinship.llm.jaccard import op7_jaccard
 from kinship.llm.language import op6_language
 from kinship.llm.licenses import op1_licenses
@@ -16,8 +18,8 @@ from kinship.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_licenses": op1_licenses, "op2_byte_bpe": op2_byte_bpe, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_jaccard": op7_jaccard, "op8_packing": op8_packing, "op10_lines": op10_lines}
+    return {"op1_licenses": op1_licenses, "op2_byte_bpe": op2_byte_bpe, "op3_topk": op3_topk, "op4_toxicity": op4_toxicity, "op5_covertree": op5_covertree, "op6_language": op6_language, "op7_jaccard": op7_jaccard, "op8_packing": op8_packing, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": OP3_SQL}
