@@ -1,8 +1,100 @@
-"""Stages of the corpus pipeline; none yet."""
+"""The corpus pipeline: language, toxicity, repeated lines, near copies, packing.
 
-STAGES: list = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of docs, whatever these are called.
+  language   rows go whose text has no letter, or no likeness to any text that the model was fitted on
+  toxicity   rows go that score 0.5 or more
+  lines      runs of lines that earlier documents have are cut out; rows go that this leaves without a word
+  near       of each group of near copies the document with the smallest id stays; rows without an id stay
+  packing    what is left, in sequences of at most 2048 tokens: one row per piece
+Null columns are passed on; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinship.llm import common, jaccard, language, lines, packing, toxicity
+
+#: The least kernel value with a landmark; real text of any language that is learned lies far above.
+LEAST_KIN = 0.05
+ROW = "__whole_row"
+
+
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all of docs as one, so that no name clashes."""
+    return docs.select(*columns, F.struct(*(docs[c] for c in docs.columns)).alias(ROW))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.fit(docs, ~common.held_out(F.col("doc_id")))
+    if model is None:  # nothing to learn from: nothing to reject by
+        return docs
+    return language.identify(_carried(docs, "doc_id", "text"), model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("kin") >= LEAST_KIN)).select(f"{ROW}.*")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(_carried(docs, "text"), model).filter("score < 0.5").select(f"{ROW}.*")
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = lines.dedup(_carried(docs, "doc_id", "text")).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return cut.select(F.col(ROW).withField("text", F.col("text")).alias(ROW)).select(f"{ROW}.*")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = common.stored(jaccard.near_duplicates(docs), "near")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    # rows that share an id: of equal texts one stays
+    text = kept.withColumn("__hash", F.xxhash64("text"))
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(text.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "__hash"]).select(docs.columns))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+_FUNCTIONS = [("language", language_stage), ("toxicity", toxicity_stage), ("lines", lines_stage), ("near", near_stage), ("packing", packing_stage)]
+_last: list[tuple[int, int]] = []
+
+
+def _alone(stage):
+    """A stage that is called by itself: the work tables of the one before are deleted, as its result has been written."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _last:
+            common.drop_stored(*_last.pop())
+        first = common.n_stored()
+        out = stage(spark, docs, sf_dir)
+        _last.append((first, common.n_stored()))
+        return out
+
+    return call
+
+
+STAGES = [(name, _alone(stage)) for name, stage in _FUNCTIONS]
+#: Models and packing plans have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all stages leave of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in _FUNCTIONS[:-1]:
+        first = common.n_stored()
+        out = stage(spark, docs, sf_dir)
+        end = common.n_stored()
+        docs = common.stored(out, f"stage-{name}")
+        common.drop_stored(first, end)
+    return _FUNCTIONS[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 1 << 20
 
-_MADE: list[tuple[SparkSession, str]] = []
+_MADE: list[tuple[SparkSession, str] | None] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +36,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(older_than: int = 0) -> None:
-    """Deletes stored tables (all but the first older_than), which no longer may be read."""
-    while len(_MADE) > older_than:
-        spark, path = _MADE.pop()
+def n_stored() -> int:
+    """How many stored tables there have been; drop_stored takes two such numbers."""
+    return len(_MADE)
+
+
+def drop_stored(first: int = 0, end: int | None = None) -> None:
+    """Deletes the stored tables of these numbers, which no longer may be read. At the end of the program all go."""
+    for i in range(first, len(_MADE) if end is None else end):
+        made, _MADE[i] = _MADE[i], None
+        if made is None:
+            continue
+        spark, path = made
         try:
             jvm = spark._jvm
             jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)

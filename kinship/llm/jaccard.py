@@ -13,7 +13,7 @@ in the first, which both members know. Buckets of more than GROUP sets or CELLS
 pair of blocks is a task of its own: its memory is bounded and nothing is left out. Tasks return a row for each member,
 how many texts it links with and a root of its component there, and no pairs.
 
-Null texts, and texts without words, link with nothing; shorter texts than five words have one shingle. Rows that repeat
+Null ids, null texts and texts without words link with nothing; shorter texts than five words have one shingle. Rows that repeat
 count as copies. Ids have to be integers; other columns are left out; an empty table gives an empty result.
 """
 
@@ -148,8 +148,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     if runs >= 1 << RUN_BITS:
         raise ValueError("too many runs")
     all_sets = stored(_sets(docs, id_col, text_col, runs, threshold), "sets")
-    classes = all_sets.filter("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
-    classes = stored(classes.withColumn("rep", F.coalesce("rep", F.lit(-(2**63)))), "classes")
+    classes = all_sets.filter("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    classes = stored(classes, "classes")
     members = classes.select("rep", "n", F.explode("nodes").alias("node"))
     sizes = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("string").alias("who")).filter("k > 1")
     small = (F.col("k") <= group) & (F.col("cells") <= cells)
@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     by_class = classes.join(sums, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("c1", "c2", "rep", "mult", "links", "component")
-    return all_sets.join(by_class, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("n") > 0, F.col("mult") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+    known = F.col("rep").isNotNull() & F.col("id").isNotNull()
+    of = lambda c, other: F.when(known, c).otherwise(other)
+    return all_sets.join(by_class, ["c1", "c2"], "left").select(F.col("id").alias(id_col), of(F.col("rep"), F.col("id")).alias("class_id"), of(F.col("mult") - 1 + F.coalesce("links", F.lit(0)), F.lit(0).cast("long")).alias("n_links"), of(F.coalesce("component", "rep"), F.col("id")).alias("component_id"))
 
 
 def _compared(placed: DataFrame, classes: DataFrame, content: DataFrame, threshold: float, group: int, cells: int) -> DataFrame:
