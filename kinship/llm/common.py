@@ -135,6 +135,26 @@ def word_hashes(text: bytes, most: int = 1 << 17) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def hashed_ranges(data: bytes, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each range of data, ranges in order; an empty one has 0. Worked off in parts of about most bytes."""
+    a, out = np.frombuffer(data, np.uint8), np.zeros(len(starts), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            if ends[i] <= starts[i]:
+                i += 1
+                continue
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + most)))
+            used = np.arange(i, j)[ends[i:j] > starts[i:j]]
+            low, high = starts[i], ends[used[-1]]
+            power, inverse = _powers(int(high - low))
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_RANDOM[a[low:high]] * power[: high - low], out=sums[1:])
+            out[used] = mixed((sums[ends[used] - low] - sums[starts[used] - low]) * inverse[starts[used] - low])
+            i = j
+    return out
+
+
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
     """The distinct hashes of width consecutive words, sorted; a shorter text has one of all its words, a text without words none."""
     words = word_hashes(text)

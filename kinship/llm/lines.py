@@ -2,70 +2,154 @@
 
 A text is cut into lines: at newlines and, where sentences is set, after sentence ends too, so that passages inside longer
 lines are seen. Every window of `window` consecutive lines selects its smallest hash (the last of equal ones) as a
-fingerprint, so equal runs of that many lines select equal fingerprints. Fingerprints that occur once drop out. Around the
-others, matches are extended both ways: all windows that hold such a fingerprint are compared by the hash of their lines,
-and a window that occurs earlier (by id, then line) marks its lines. Marked lines that touch are one run; runs of at least
-min_words words are deleted, all others stay. So a line goes exactly if it lies in a run of marked windows that is long enough.
+fingerprint, so equal runs of that many lines select equal fingerprints. Fingerprints that occur once drop out. The windows
+that selected one of the others are compared by the hash of all their lines, and a window that occurs earlier (by id, then
+line) marks its lines: marks of neighbouring windows extend a match both ways. Marked lines that touch are one run; runs of
+at least min_words words are deleted, all others stay.
 
-Only hashes and positions are shuffled until the last join, which brings the lines to delete back to their texts. Counts
-and first places are aggregated before they are shuffled, so common lines don't meet in one task.
+Only hashes and positions are shuffled until the last join, which brings the marks to their texts. Counts and first places
+are aggregated before they are shuffled, so common lines don't meet in one task.
 
-Null texts stay null and empty ones empty. Lines are compared without case and outer white space. Rows that agree in id and text
-are one document and treated alike; rows that agree in id only are told apart by their texts' hash, by which ties are
-broken; null ids come first. Extra columns stay as they are.
+Null texts stay null and empty ones empty. Lines are compared without ASCII case and outer white space. Rows that agree in
+id and text are one document and treated alike; rows that agree in id only are told apart by their texts' hash, by which
+ties are broken; null ids come first. Extra columns stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import stored
+from kinship.llm.common import hashed_ranges, mixed, stored
 
 #: Lines of a window, and words of the shortest run that is deleted.
 WINDOW, MIN_WORDS = 3, 20
-_ID, _KEY, _DEL = "__line_id", "__line_key", "__line_gone"
-
-
-def split_lines(text: Column, sentences: bool = True) -> Column:
-    """The lines of a text, each with the white space that ends it; joined they are the text."""
-    at_line = r"(?<=\n)(?=[^\n])"
-    return F.split(text, at_line + r"|(?<=[.!?]\s)(?=\S)" if sentences else at_line)
+_ID, _KEY, _MARKS = "__line_id", "__line_key", "__line_marks"
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
+    """Where each line of a text ends; its white space belongs to it, so the lines together are the text."""
+    a = np.frombuffer(text, np.uint8)
+    if not len(a):
+        return np.zeros(0, np.int64)
+    ends = (a[:-1] == 10) & (a[1:] != 10)
+    if sentences and len(a) > 2:
+        mark = (a == 46) | (a == 33) | (a == 63)
+        space = _SPACE[a]
+        ends[1:] |= mark[:-2] & space[1:-1] & ~space[2:]
+    return np.append(np.flatnonzero(ends) + 1, len(a))
+
+
+def line_hashes(text: bytes, sentences: bool = True) -> np.ndarray:
+    """The hash of each line."""
+    ends = line_ends(text, sentences)
+    solid = np.flatnonzero(~_SPACE[np.frombuffer(text, np.uint8)])
+    if not len(solid):
+        return np.zeros(len(ends), np.uint64)
+    first, last = np.searchsorted(solid, np.append(0, ends[:-1])), np.searchsorted(solid, ends)
+    full = last > first
+    start = solid[np.minimum(first, len(solid) - 1)]
+    return hashed_ranges(text.translate(_LOWER), start, np.where(full, solid[last - 1] + 1, start))
+
+
+def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The place of each window's smallest hash, the last one of equals."""
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
+    return np.arange(len(views)) + window - 1 - views.argmin(axis=1)
+
+
+def long_runs(starts: np.ndarray, text: bytes, ends: np.ndarray, window: int, min_words: int) -> tuple[np.ndarray, int]:
+    """Which lines go, from the first lines of marked windows, and the words in them."""
+    marked = np.zeros(len(ends) + 2, np.int8)
+    for k in range(window):
+        marked[starts + k + 1] = 1
+    edges = np.flatnonzero(np.diff(marked))
+    gone, words = np.zeros(len(ends), bool), 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        n = len(text[ends[a - 1] if a else 0 : ends[b - 1]].split())
+        if n >= min_words:
+            gone[a:b] = True
+            words += n
+    return gone, words
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({_ID: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), _KEY: F.xxhash64(text_col)})
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__line_id, __line_key, __line_gone: the sorted numbers of the lines to delete, words: theirs) of each document that has any."""
-    clean = F.transform(split_lines(F.col(text_col), sentences), lambda u: F.lower(F.btrim(u, F.lit(" \t\r\n"))))
-    units = F.transform(clean, lambda u: F.struct(F.xxhash64(u).alias("h"), (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1).alias("c")))
-    lined = stored(_keyed(docs, id_col, text_col).filter(F.col(text_col).isNotNull()).select(_ID, _KEY, units.alias("u")).select(_ID, _KEY, F.col("u.h").alias("h"), F.col("u.c").alias("c")).filter(F.size("h") >= window), "lines")
-    w = window
-    smallest = F.expr(f"array_distinct(transform(sequence(1, size(h) - {w - 1}), i -> int(i + {w} - array_position(reverse(slice(h, i, {w})), array_min(slice(h, i, {w}))))))")
-    prints = lined.select(_ID, _KEY, F.explode(F.transform(smallest, lambda p: F.struct(p.alias("p"), F.element_at("h", p).alias("f")))).alias("x")).select(_ID, _KEY, "x.p", "x.f")
+def marked_windows(docs: DataFrame, window: int = WINDOW, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__line_id, __line_key, __line_marks: the first lines of all windows that occur earlier) of each document that has any."""
+
+    def lined(batches):
+        for batch in batches:
+            rows, hashes, smallest = [], [], []
+            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                h = line_hashes(text, sentences)
+                if len(h) >= window:
+                    rows.append(i)
+                    hashes.append(h.view(np.int64))
+                    smallest.append(winnowed(h, window))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes, pa.list_(pa.int64())), pa.array(smallest, pa.list_(pa.int32()))], names=[_ID, _KEY, "h", "m"])
+
+    def near(batches):
+        for batch in batches:
+            rows, starts, grams = [], [], []
+            for i, (h, m, at) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                h = np.array(h, np.int64).view(np.uint64)
+                s = np.flatnonzero(np.isin(m, at))
+                g = np.zeros(len(s), np.uint64)
+                for k in range(window):
+                    g = mixed(g * np.uint64(3) + h[s + k])
+                rows.append(np.full(len(s), i))
+                starts.append(s)
+                grams.append(g.view(np.int64))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(grams))], names=[_ID, _KEY, "s", "g"])
+
+    key = f"{_ID} long, {_KEY} long"
+    lines = stored(_keyed(docs, id_col, text_col).filter(F.col(text_col).isNotNull()).select(_ID, _KEY, text_col).mapInArrow(lined, f"{key}, h array<long>, m array<int>"), "lines")
+    prints = lines.select(_ID, _KEY, F.explode(F.array_distinct("m")).alias("p"), "h").select(_ID, _KEY, "p", F.get("h", "p").alias("f"))
     common = prints.groupBy("f").count().filter("count > 1").select("f")
     places = prints.join(common, "f", "left_semi").groupBy(_ID, _KEY).agg(F.collect_set("p").alias("at"))
-    starts = F.expr(f"filter(array_distinct(flatten(transform(at, p -> sequence(p - {w - 1}, p)))), s -> s >= 1 AND s <= size(h) - {w - 1})")
-    near = lined.join(places, [_ID, _KEY]).select(_ID, _KEY, F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.xxhash64(F.slice("h", s, w)).alias("g"), F.slice("c", s, w).alias("c")))).alias("x")).select(_ID, _KEY, "x.s", "x.g", "x.c")
-    first = near.groupBy("g").agg(F.min(F.struct(_ID, _KEY, "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
-    later = near.join(first, "g").filter(F.struct(_ID, _KEY, "s") > F.col("first"))
-    marked = later.select(_ID, _KEY, F.explode(F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda k: F.struct((F.col("s") + k - 1).alias("line"), F.get("c", k).alias("words")))).alias("x"))
-    by_doc = marked.groupBy(_ID, _KEY).agg(F.array_sort(F.collect_set("x")).alias("x"))
-    # runs as an array of (line, words of its run so far), read from the end: a line is kept if its run's total suffices
-    runs = F.expr("aggregate(x, array(struct(-2 AS a, -2 AS b, 0L AS w)), (r, e) -> IF(element_at(r, -1).b + 1 = e.line, concat(slice(r, 1, size(r) - 1), array(struct(element_at(r, -1).a AS a, e.line AS b, element_at(r, -1).w + e.words AS w))), concat(r, array(struct(e.line AS a, e.line AS b, bigint(e.words) AS w)))))")
-    long_runs = by_doc.select(_ID, _KEY, F.filter(runs, lambda r: (r["w"] >= min_words) & (r["a"] >= 0)).alias("r")).filter(F.size("r") > 0)
-    return long_runs.select(_ID, _KEY, F.flatten(F.transform("r", lambda r: F.sequence(r["a"], r["b"]))).alias(_DEL), F.aggregate("r", F.lit(0).cast("long"), lambda s, r: s + r["w"]).alias("words"))
+    windows = lines.join(places, [_ID, _KEY]).mapInArrow(near, f"{key}, s int, g long")
+    first = windows.groupBy("g").agg(F.min(F.struct(_ID, _KEY, "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
+    later = windows.join(first, "g").filter(F.struct(_ID, _KEY, "s") > F.col("first"))
+    return later.groupBy(_ID, _KEY).agg(F.collect_set("s").alias(_MARKS))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated lines deleted from the texts, and n_lines, n_removed and words_removed."""
-    gone = repeated_runs(docs, window, min_words, sentences, id_col, text_col)
-    both = _keyed(docs, id_col, text_col).join(gone.withColumnRenamed("words", "__line_words"), [_ID, _KEY], "left")
-    lines = split_lines(F.col(text_col), sentences)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_DEL)), lambda i: F.get(lines, i)), "")
-    return both.select(*(docs[c] if c != text_col else F.when(F.col(_DEL).isNull(), F.col(text_col)).otherwise(kept).alias(c) for c in docs.columns), F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(_DEL), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__line_words", F.lit(0)).cast("long").alias("words_removed"))
+    """docs with the repeated lines deleted from the texts, and n_removed and words_removed, of lines and words."""
+    marks = marked_windows(docs, window, sentences, id_col, text_col)
+    both = _keyed(docs, id_col, text_col).join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
+
+    def cut(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            marks = batch.column(len(docs_columns))
+            changed = pc.is_valid(marks)
+            texts, lines, words = [], np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for i in np.flatnonzero(changed.to_numpy(zero_copy_only=False)):
+                text = batch.column(at)[i].as_py().encode()
+                ends = line_ends(text, sentences)
+                gone, words[i] = long_runs(np.array(marks[i].as_py()), text, ends, window, min_words)
+                lines[i] = gone.sum()
+                edges = np.append(0, ends)
+                texts.append(b"".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)).decode())
+            columns = batch.columns[:-1]
+            columns[at] = pc.replace_with_mask(columns[at], changed, pa.array(texts, columns[at].type))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(words)], names=[*docs_columns, "n_removed", "words_removed"])
+
+    docs_columns = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return both.mapInArrow(cut, f"{schema}, n_removed long, words_removed long")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
