@@ -89,7 +89,7 @@ def shared_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
 def compare(sets: list[np.ndarray], nodes: list[np.ndarray], node: int, half: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(linked, counted): which members link, and which of these pairs are counted here as no earlier bucket has both. half: the block of each, if two blocks are compared."""
     size = np.array([len(s) for s in sets], np.float64)
-    linked = shared_counts(sets) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
+    linked = shared_counts(sets).astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
     np.fill_diagonal(linked, False)
     if half is not None:
         linked &= half[:, None] != half[None, :]
