@@ -31,8 +31,8 @@ from kinship.llm.common import slices, stored
 
 #: Parts of each length's documents that are numbered apart, so that one common length doesn't meet in one task.
 SALTS = 64
-#: Pre-tokens that a worker remembers at most.
-CACHE = 1_000_000
+#: Words, and chunks between white space, that a worker remembers at most of each.
+CACHE = 600_000
 #: How the vocabulary's file splits normalised text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -58,21 +58,33 @@ class WordBpe:
         self.split = regex.compile(pattern).findall
         #: All but letters and signs that composition leaves as they are and that Python lower-cases alike.
         self.odd = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027]").search
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for w in words - self.known.keys():
-            mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            self.known[w] = array("I", [t.id for t in self.merge(mapped)]).tobytes()
+    def _word(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(mapped)]).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """The ids of chunks between white space, which no pre-token spans; most are one word, with or without a sign."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        words, known = self.words, self.known
+        for chunk in chunks:
+            ids = []
+            for w in [chunk] if chunk.isalpha() else self.split(chunk):
+                if (x := words.get(w)) is None:
+                    x = words[w] = self._word(w)
+                ids.append(x)
+            known[chunk] = b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. Texts with rarer scripts go through the tokenizer as a whole."""
-        plain = [None if self.odd(t) else self.split(t.lower()) for t in texts]
-        words = set().union(*(x for x in plain if x))
-        while missing := words - self.known.keys():
-            self._learn(words if len(self.known) > CACHE else missing)
+        plain = [None if self.odd(t) else t.lower().split() for t in texts]
+        chunks = set().union(*(x for x in plain if x))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self._learn([x for x in chunks if x not in self.known])
         get = self.known.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, plain, strict=True)]
 
