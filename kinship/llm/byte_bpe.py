@@ -83,11 +83,9 @@ class ByteBpe:
         self.whole = {t: np.uint32(i).tobytes() for i, t in enumerate(self.tokens)}
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
+    def _learn(self, words: list[str]) -> None:
         rest = []
-        for w in words - self.known.keys():
+        for w in words:
             data = w.encode()
             if data in self.whole:
                 self.known[w] = self.whole[data]
@@ -99,12 +97,9 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        words = set().union(*split)
-        if not words <= self.known.keys():
-            self._learn(words)
-            words -= self.known.keys()
-            if words:  # the cache was emptied meanwhile
-                self._learn(words)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self._learn([w for w in set().union(*split) if w not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
