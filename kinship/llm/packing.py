@@ -32,7 +32,7 @@ from kinship.llm.common import slices, stored
 #: Parts of each length's documents that are numbered apart, so that one common length doesn't meet in one task.
 SALTS = 64
 #: Words, and chunks between white space, that a worker remembers at most of each.
-CACHE = 600_000
+CACHE = 250_000
 #: How the vocabulary's file splits normalised text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
