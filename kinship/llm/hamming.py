@@ -1,16 +1,17 @@
 """Operator 3: exact top-k search over binary codes by incremental multi-index hashing.
 
-A code's bits are cut into segments, and every segment value points to the codes that have it. If two codes differ in at
-most m (r + 1) - 1 bits, one of their m segments differs in at most r bits. So a query probes all segment values within
-radius 0, then 1 and so on, and is done as soon as its k-th verified distance is at most m (r + 1) - 1: nothing unseen can
-be nearer. A candidate is taken only in the segment and round in which the two first meet, so none comes twice. Where a
-round would probe more values than there are codes, scanning the codes for the queries that are left is less work, and
-these are compared with all codes, queries and codes in blocks, which is exact as well.
+A code's bits are cut into m segments, and every segment value points to the codes that have it. Codes that differ in at
+most m r + a - 1 bits differ in at most r bits in one of the first a segments, or in at most r - 1 in one of the others. So
+a query probes all segment values within radius 0, then 1 and so on, in each round only as many segments as it takes to
+cover its k-th distance so far, and is done as soon as that distance is provably covered. Distances are verified where
+the buckets lie: tasks return the k best of each query. Where a round would probe more values than there are codes (or
+MASKS), the queries that are left are compared with all codes, in blocks, which is exact as well.
 
 Equal codes are one entry with their smallest k + 1 ids, which is all that ties by id can ask for; so copies don't pile up.
-Codes are the signs of a vector's components, which may have up to 64 of them. Null vectors, and vectors with null or NaN
-components, neither search nor are found. The row that searches is left out of its own result; of rows that repeat an id,
-the first code by value counts. Fewer than k other rows give shorter results. Other columns are left out.
+Buckets are cut into rows of about BUCKET codes, so a common segment value isn't gathered anywhere. Codes are the signs of
+a vector's components, which may have up to 64 of them. Null vectors, and vectors with null or NaN components, neither
+search nor are found. The row that searches is left out of its own result; of rows that repeat an id, the first code by
+value counts. Fewer than k other rows give shorter results. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinship.llm.common import stored
 
 TOP, BITS = 10, 64
+#: Codes that a segment value has on average, and codes of a bucket's row, about.
+SHARED, BUCKET = 32, 4096
 #: Rows of a block of queries that scan all codes, and values that a query probes at most in a round.
 BLOCK, MASKS = 512, 1 << 16
 
@@ -35,8 +41,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def _segments(bits: int, n: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment; about log2 of the number of codes long, so that a value points to a few codes."""
-    m = max(1, min(bits, round(bits / max(4, min(20, math.log2(max(2, n)))))))
+    """(first bit, bits) of each segment, so long that a value has about SHARED codes."""
+    m = max(1, min(bits, round(bits / max(4, min(22, math.log2(max(2, n / SHARED)))))))
     at = [bits * i // m for i in range(m + 1)]
     return list(zip(at[:-1], [b - a for a, b in itertools.pairwise(at)], strict=True))
 
@@ -46,9 +52,55 @@ def _part(code: Column, first: int, n: int) -> Column:
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best codes of each query, by distance and smallest id."""
+    """The k best codes of each query, by distance and smallest id; a code counts once."""
     near = Window.partitionBy("q").orderBy("d", "first", "code")
-    return found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k).drop("r")
+    return found.dropDuplicates(["q", "code"]).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k).drop("r")
+
+
+def _buckets(index: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """(s, v, codes, firsts): the codes of each segment value, in rows of about BUCKET."""
+    values = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _part(F.col("code"), *p).alias("v")) for s, p in enumerate(parts))))
+    rows = index.select("code", "first", values.alias("x")).select("code", "first", "x.s", "x.v")
+    large = rows.groupBy("s", "v").agg(F.ceil(F.count("*") / BUCKET).alias("n")).filter("n > 1")
+    dealt = rows.join(large, ["s", "v"], "left").withColumn("part", F.pmod(F.xxhash64("code"), F.coalesce("n", F.lit(1))))
+    pair = dealt.groupBy("s", "v", "part").agg(F.collect_list(F.struct("code", "first")).alias("x"))
+    return pair.select("s", "v", F.col("x.code").alias("codes"), F.col("x.first").alias("firsts"))
+
+
+def _verified(k: int):
+    """Of batches (q, qc, codes, firsts), the k best codes of each query that a task has seen."""
+
+    def nearest(q: int, lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        code, first, d = (np.concatenate(x) for x in zip(*lists, strict=True))
+        order = np.lexsort((code, first, d))
+        _, at = np.unique(code[order], return_index=True)
+        top = order[np.sort(at)[:k]]
+        return q, code[top], first[top], d[top]
+
+    def out(best):
+        if not best:
+            return
+        q, code, first, d = zip(*(nearest(q, x) for q, x in best.items()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q), [len(x) for x in code])), *(pa.array(np.concatenate(x)) for x in (code, first)), pa.array(np.concatenate(d), pa.int32())], names=["q", "code", "first", "d"])
+
+    def run(batches):
+        best: dict[int, list] = {}
+        for batch in batches:
+            codes, firsts = batch.column(2), batch.column(3)
+            ends = codes.offsets.to_numpy()
+            code, first = codes.values.to_numpy(), firsts.values.to_numpy()
+            for q, x, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(), ends[:-1], ends[1:], strict=True):
+                found = (code[a:b], first[a:b], np.bitwise_count((code[a:b] ^ x).view(np.uint64)).astype(np.int32))
+                mine = best.setdefault(q, [])
+                mine.append(found)
+                if len(mine) > 64:
+                    best[q] = [nearest(q, mine)[1:]]
+            if len(best) > 4096:
+                yield from out(best)
+                best = {}
+        yield from out(best)
+
+    return run
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, id_col: str = "id", code_col: str = "code") -> DataFrame:
@@ -63,24 +115,26 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS,
     n = index.count()
     parts = _segments(bits, n)
     m = len(parts)
-    hashed = stored(index.select("code", "first", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _part(F.col("code"), *p).alias("v")) for s, p in enumerate(parts)))).alias("x")).select("code", "first", "x.s", "x.v"), "index")
-    best, active = None, asked
+    buckets = stored(_buckets(index, parts), "buckets")
     keep = k + 1  # one entry may hold nothing but the query
+    best, active = None, asked.select("q", F.col("code").alias("qc"), F.lit(m).alias("need"))
     for radius in range(max(b for _, b in parts) + 1):
-        masks = [[sum(1 << i for i in c) for c in itertools.combinations(range(b), radius)] for _, b in parts]
-        if sum(map(len, masks)) > max(64, min(n, MASKS)):
-            scanned = _merged(None, _scanned(active, index, keep), keep)
+        masks = [(s, sum(1 << i for i in c)) for s, (_, b) in enumerate(parts) for c in itertools.combinations(range(b), radius)]
+        if len(masks) > max(64, min(n, MASKS)):
+            scanned = _best(_scanned(active, index, keep), keep)
             best = scanned if best is None else best.join(active.select("q"), "q", "left_anti").unionByName(scanned)
             break
-        probes = _probes(active, masks).select("q", "qc", "x.s", _valued(parts).bitwiseXOR(F.col("x.mask")).alias("v"))
-        differ = [F.bit_count(_part(F.col("qc").bitwiseXOR(F.col("code")), *p)) for p in parts]
-        earlier = F.lit(False)
-        for t, d in enumerate(differ):
-            earlier |= (d < radius) | ((d == radius) & (F.col("s") > t))
-        met = probes.join(hashed, ["s", "v"]).filter(~earlier).select("q", "code", "first", F.bit_count(F.col("qc").bitwiseXOR(F.col("code"))).alias("d"))
-        best = stored(_merged(best, met, keep), "best")
-        full = best.groupBy("q").agg(F.count("*").alias("c"), F.max("d").alias("worst")).filter((F.col("c") >= min(keep, n)) & (F.col("worst") <= m * (radius + 1) - 1)).select("q")
-        active = stored(active.join(full, "q", "left_anti"), "active")
+        table = codes.sparkSession.createDataFrame(masks, "s int, mask long")  # at most MASKS rows
+        value = F.lit(None).cast("long")
+        for s, p in enumerate(parts):
+            value = F.when(F.col("s") == s, _part(F.col("qc"), *p)).otherwise(value)
+        probes = active.join(F.broadcast(table), F.col("s") < F.col("need")).select("q", "qc", "s", value.bitwiseXOR(F.col("mask")).alias("v"))
+        met = probes.join(buckets, ["s", "v"]).select("q", "qc", "codes", "firsts").mapInArrow(_verified(keep), "q long, code long, first long, d int")
+        best = stored(_best(met if best is None else best.unionByName(met), keep), "best")
+        worst = best.groupBy("q").agg(F.count("*").alias("c"), F.max("d").alias("w")).filter(F.col("c") >= min(keep, n)).select("q", "w")
+        # segments that the next round has to probe: all, until k are found
+        need = F.when(F.col("w").isNull(), m).otherwise(F.least(F.lit(m), F.col("w") - m * (radius + 1) + 1))
+        active = stored(active.select("q", "qc").join(worst, "q", "left").select("q", "qc", need.cast("int").alias("need")).filter("need > 0"), "active")
         if active.isEmpty():
             break
     by_rank = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -88,31 +142,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS,
     return best.join(same, "q").join(index.select("code", "ids"), "code").select("query_id", F.explode("ids").alias("id"), F.col("d").alias("distance")).filter("id <> query_id").withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _probes(active: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """Each query with each mask; the masks are a table of at most MASKS rows, which all tasks get."""
-    table = active.sparkSession.createDataFrame([(s, mask) for s, each in enumerate(masks) for mask in each], "s int, mask long")
-    return active.select("q", F.col("code").alias("qc")).join(F.broadcast(table)).select("q", "qc", F.struct("s", "mask").alias("x"))
-
-
-def _valued(parts: list[tuple[int, int]]) -> Column:
-    value = F.lit(None).cast("long")
-    for s, p in enumerate(parts):
-        value = F.when(F.col("x.s") == s, _part(F.col("qc"), *p)).otherwise(value)
-    return value
-
-
-def _merged(best: DataFrame | None, met: DataFrame, k: int) -> DataFrame:
-    return _best(met if best is None else best.unionByName(met), k)
-
-
 def _scanned(active: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The k nearest codes of each query among all, found in blocks: every part of the codes meets every block of queries."""
-    import numpy as np
-    import pandas as pd
-
     parts, total = 64, active.count()
     blocks = max(1, math.ceil(total / BLOCK))
-    left = active.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "q", F.col("code").alias("qc"))
+    left = active.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "q", "qc")
     right = index.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("p"), "code", "first")
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
