@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INDIC = re.compile("[ऀ-෿]")
 #: Scripts (by their first code point) whose words drop the vowel that a last consonant implies.
@@ -81,7 +82,7 @@ def latin(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", romanize(text)) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _latin_udf(texts: pd.Series) -> pd.Series:
     return texts.map(latin, na_action="ignore")
 

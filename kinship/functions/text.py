@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinship.functions import dictionaries as words
-from kinship.functions.scripts import to_latin
 
 # The patterns of web addresses and of what sets a trade name off.
 _DOMAIN = r"(?:https?\s*:\s*/+\s*)?(?:www\.)?([a-z0-9][a-z0-9\-]*)\s*\.\s*(?:com|net|org|co\.in|in|co|biz|info|us|fr|io|shop|store)\b"
@@ -25,6 +24,11 @@ def table_of(table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def is_number(token: Column) -> Column:
     return token.rlike(r"^[0-9]+$")
 
@@ -38,8 +42,8 @@ def letters(tokens: Column) -> Column:
 
 
 def base_clean(text: Column) -> Column:
-    """Latin, lower case, without apostrophes; & and + spelled out, @ a space; null becomes empty."""
-    s = F.regexp_replace(F.lower(to_latin(F.coalesce(text, F.lit("")))), "[’'`´]", "")
+    """Lower case, without apostrophes; & and + spelled out, @ a space; null becomes empty. Text that may not be Latin goes through to_latin first, as a column of its own."""
+    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[’'`´]", "")
     return F.replace(F.replace(F.replace(s, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and ")), F.lit("@"), F.lit(" "))
 
 
@@ -56,14 +60,14 @@ def glue_letters(toks: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """Singular of an English plural; numbers and words of up to three letters stay."""
-    cut = F.when(token.endswith("ies") & (F.length(token) > 4), F.concat(F.expr("''"), F.regexp_replace(token, "ies$", "y")))
+    cut = F.when(token.endswith("ies") & (F.length(token) > 4), F.regexp_replace(token, "ies$", "y"))
     cut = cut.when(token.endswith("s") & ~token.rlike("(ss|us|is|os)$"), F.regexp_replace(token, "s$", ""))
     return F.when(is_number(token) | (F.length(token) <= 3), token).otherwise(cut.otherwise(token))
 
 
 def canon(token: Column, table: Column) -> Column:
     """The table's form of a token, else of its stem, else the stem."""
-    return F.coalesce(F.try_element_at(table, token), F.try_element_at(table, stem(token)), stem(token))
+    return let(stem(token), lambda root: F.coalesce(F.try_element_at(table, token), F.try_element_at(table, root), root))
 
 
 def fix_first_letter(token: Column, table: Column) -> Column:
@@ -86,22 +90,32 @@ def skeleton(token: Column) -> Column:
     for a, b in words.SOUND_RULES:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, r"(.)\1+", "$1")
-    bare = F.regexp_replace(s, "[aeiou]", "")
-    return F.when(is_number(token) | (token == ""), token).otherwise(F.when(bare != "", bare).otherwise(F.substring(s, 1, 1)))
+    bare = let(s, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "[aeiou]", ""), F.lit("")), F.substring(x, 1, 1)))
+    return F.when(is_number(token) | (token == ""), token).otherwise(bare)
 
 
 def split_ends(toks: Column) -> Column:
     """(core, legal, extra): legal, stop and generic words are taken off both ends, stop words out of the middle."""
+    return let(toks, _split_ends)
+
+
+def _split_ends(toks: Column) -> Column:
     legal, stop, edge = array_of(words.LEGAL), array_of(words.STOP), array_of(words.EDGE)
     ends = array_of([*words.LEGAL, *words.STOP, *words.EDGE])
     inner = F.filter(F.transform(toks, lambda t, i: F.when(~F.array_contains(ends, t), i)), lambda i: i.isNotNull())
-    first, last = F.array_min(inner), F.array_max(inner)
-    kept = F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(toks, first + 1, last - first + 1))
-    cut = F.when(first.isNull(), toks).otherwise(F.concat(F.slice(toks, F.lit(1), first), F.slice(toks, last + 2, F.size(toks))))
-    core = F.filter(kept, lambda t: ~F.array_contains(stop, t))
-    plain = F.filter(toks, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(legal, t))
-    pick = lambda among: F.array_sort(F.array_distinct(F.filter(cut, lambda t: F.array_contains(among, t))))
-    return F.struct(F.when(F.size(core) > 0, core).when(F.size(plain) > 0, plain).otherwise(toks).alias("core"), pick(legal).alias("legal"), pick(edge).alias("extra"))
+    bounds = F.struct(F.array_min(inner).alias("a"), F.array_max(inner).alias("b"))
+    pick = lambda cut, among: F.array_sort(F.array_distinct(F.filter(cut, lambda t: F.array_contains(among, t))))
+
+    def parted(at: Column) -> Column:
+        first, last = at["a"], at["b"]
+        kept = F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(toks, first + 1, last - first + 1))
+        cut = F.when(first.isNull(), toks).otherwise(F.concat(F.slice(toks, F.lit(1), first), F.slice(toks, last + 2, F.size(toks))))
+        core = F.filter(kept, lambda t: ~F.array_contains(stop, t))
+        plain = F.filter(toks, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(legal, t))
+        best = let(core, lambda c: F.when(F.size(c) > 0, c).otherwise(let(plain, lambda p: F.when(F.size(p) > 0, p).otherwise(toks))))
+        return F.struct(best.alias("core"), pick(cut, legal).alias("legal"), pick(cut, edge).alias("extra"))
+
+    return let(bounds, parted)
 
 
 def raw_name_tokens(name: Column) -> Column:
@@ -115,28 +129,33 @@ def name_parts(name: Column, translit: Column | None = None) -> Column:
     s = F.regexp_replace(base_clean(name), _DOMAIN, " $1 ")
     s = F.regexp_replace(fix_digits(s), r"\(\s*p\s*\)", " pvt ")
     s = F.replace(F.replace(s, F.lit("(india)"), F.lit(" ")), F.lit("."), F.lit(" "))
-    pieces = F.filter(F.split(s, _ALIAS), lambda p: F.trim(p) != "")
-    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(s))
     table = table_of(words.NAME_CANON)
 
     def form(t: Column) -> Column:
         t = F.coalesce(F.try_element_at(translit, t), t) if translit is not None else t
-        return canon(fix_first_letter(t, table), table)
+        return let(fix_first_letter(t, table), lambda x: canon(x, table))
+
+    def parted(piece: Column) -> Column:
+        toks = F.flatten(F.transform(F.split(piece, ","), lambda q: glue_letters(tokens(q))))
+        return split_ends(F.filter(F.transform(toks, form), lambda t: t != ""))
 
-    def parted(p: Column) -> Column:
-        return split_ends(F.filter(F.transform(F.flatten(F.transform(F.split(p, ","), lambda q: glue_letters(tokens(q)))), form), lambda t: t != ""))
+    def joined(parts: Column) -> Column:
+        cores = F.filter(F.transform(parts, lambda p: F.array_join(p["core"], " ")), lambda c: c != "")
+        alias = let(cores, lambda c: F.when(F.size(c) > 1, F.array_join(c, " | ")).otherwise(""))
+        return F.struct(parts[0]["core"].alias("core"), parts[0]["legal"].alias("legal"), parts[0]["extra"].alias("extra"), alias.alias("alias"))
 
-    parts = F.transform(pieces, parted)
-    cores = F.filter(F.transform(parts, lambda p: F.array_join(p["core"], " ")), lambda c: c != "")
-    return F.struct(parts[0]["core"].alias("core"), parts[0]["legal"].alias("legal"), parts[0]["extra"].alias("extra"), F.when(F.size(cores) > 1, F.array_join(cores, " | ")).otherwise("").alias("alias"))
+    pieces = let(s, lambda x: let(F.filter(F.split(x, _ALIAS), lambda p: F.trim(p) != ""), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(x))))
+    return let(F.transform(pieces, parted), joined)
 
 
 def _phrases(segment: Column) -> Column:
     """Phrases become their short forms, longest phrases first."""
     rows = sorted(((p, short) for short, group in words.ADDRESS_PHRASES.items() for p in group), key=lambda r: (-len(r[0]), r[0]))
+    pattern = {p: re.escape(p).replace(r"\ ", " ?") for p, _ in rows}
+    out = segment
     for phrase, short in rows:
-        segment = F.regexp_replace(segment, r"\b" + re.escape(phrase).replace(r"\ ", " ?") + r"\b", f" {short} ")
-    return segment
+        out = F.regexp_replace(out, rf"\b{pattern[phrase]}\b", f" {short} ")
+    return F.when(segment.rlike(r"\b(?:" + "|".join(pattern.values()) + r")\b"), out).otherwise(segment)
 
 
 def address_parts(address: Column) -> Column:
@@ -145,17 +164,25 @@ def address_parts(address: Column) -> Column:
     s = F.regexp_replace(s, r"\b([0-9]{3})\s([0-9]{3})\b(?=\s*(?:,|$))", "$1$2")
     s = F.regexp_replace(s, r"([0-9]+)(?:st|nd|rd|th)\b", "$1")
     table = table_of(words.ADDRESS_CANON)
-    segments = F.transform(F.split(s, ","), lambda g: glue_letters(tokens(_phrases(F.concat(F.lit(" "), F.regexp_replace(g, "[^a-z0-9]+", " "), F.lit(" "))))))
-    toks = F.filter(F.transform(F.flatten(segments), lambda t: canon(fix_first_letter(t, table), table)), lambda t: t != "")
+    plain = lambda g: F.concat(F.lit(" "), F.regexp_replace(g, "[^a-z0-9]+", " "), F.lit(" "))
+    segments = F.transform(F.transform(F.split(s, ","), plain), lambda g: glue_letters(tokens(_phrases(g))))
+    toks = F.filter(F.transform(F.flatten(segments), lambda t: let(fix_first_letter(t, table), lambda x: canon(x, table))), lambda t: t != "")
     return with_postal(toks)
 
 
 def with_postal(toks: Column) -> Column:
     """(tokens, postal, landmark) of an address's tokens; other numbers lose leading zeros."""
-    at = F.array_max(F.filter(F.transform(toks, lambda t, i: F.when(t.rlike("^[1-9][0-9]{4,5}$"), i)), lambda i: i.isNotNull()))
-    postal = F.when(at.isNotNull() & ((at > 0) | (F.size(toks) == 1)), F.get(toks, at)).otherwise("")
-    bare = F.transform(toks, lambda t: F.when(is_number(t) & (t != postal), F.regexp_replace(t, "^0+(?=[0-9])", "")).otherwise(t))
-    return F.struct(bare.alias("tokens"), postal.alias("postal"), F.arrays_overlap(bare, array_of(words.LANDMARKS)).cast("int").alias("landmark"))
+
+    def found(t: Column) -> Column:
+        last = F.array_max(F.filter(F.transform(t, lambda x, i: F.when(x.rlike("^[1-9][0-9]{4,5}$"), i)), lambda i: i.isNotNull()))
+        postal = let(last, lambda at: F.when(at.isNotNull() & ((at > 0) | (F.size(t) == 1)), F.get(t, at)).otherwise(""))
+        return let(postal, lambda p: bare(t, p))
+
+    def bare(t: Column, p: Column) -> Column:
+        short = F.transform(t, lambda x: F.when(is_number(x) & (x != p), F.regexp_replace(x, "^0+(?=[0-9])", "")).otherwise(x))
+        return let(short, lambda x: F.struct(x.alias("tokens"), p.alias("postal"), F.arrays_overlap(x, array_of(words.LANDMARKS)).cast("int").alias("landmark")))
+
+    return let(toks, found)
 
 
 def acronym(toks: Column) -> Column:

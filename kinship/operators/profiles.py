@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinship.functions import text
+from kinship.functions.scripts import to_latin
 
 
 def profiles(records: DataFrame, translit: Column | None = None) -> DataFrame:
     """records (entity_id, business_name, business_address, country, src) with token arrays, legal forms, aliases, postal codes and keys."""
-    name, address = text.name_parts(F.col("business_name"), translit), text.address_parts(F.col("business_address"))
-    parsed = records.withColumns({"__n": name, "__a": address})
+    latin = records.withColumns({"__name": to_latin(F.col("business_name")), "__address": to_latin(F.col("business_address"))})
+    parsed = latin.withColumns({"__n": text.name_parts(F.col("__name"), translit), "__a": text.address_parts(F.col("__address"))})
     flat = parsed.select("entity_id", "src", "country", text.country_key(F.col("country")).alias("country_key"), F.col("business_name").alias("raw_name"), F.col("business_address").alias("raw_addr"), F.col("__n.core").alias("core"), F.col("__n.legal").alias("legal"), F.col("__n.extra").alias("extra"), F.col("__n.alias").alias("alias"), F.col("__a.tokens").alias("addr"), F.col("__a.postal").alias("postal"), F.col("__a.landmark").alias("landmark"))
     return with_views(flat)
 
@@ -56,10 +57,10 @@ def learn_translit(pairs: DataFrame, least_count: int = 3, least_share: float =
     frequent enough, has its share, and the token is rare in Latin names. Leave hold-out records out of pairs.
     """
     indic = lambda c: F.col(c).rlike("[\\u0900-\\u0DFF]")
-    latin = pairs.filter(~indic("name_s1"))
-    both = latin.filter(indic("name_match")).select(text.raw_name_tokens(F.col("name_s1")).alias("y"), text.raw_name_tokens(F.col("name_match")).alias("x")).filter(F.size("x") == F.size("y"))
+    latin = pairs.filter(~indic("name_s1")).withColumns({"__s1": to_latin(F.col("name_s1")), "__match": to_latin(F.col("name_match"))})
+    both = latin.filter(indic("name_match")).select(text.raw_name_tokens(F.col("__s1")).alias("y"), text.raw_name_tokens(F.col("__match")).alias("x")).filter(F.size("x") == F.size("y"))
     met = both.select(F.explode(F.arrays_zip("x", "y")).alias("p")).select("p.x", "p.y").filter((F.col("x") != F.col("y")) & ~text.is_number(F.col("x")))
-    return translit_table(met, latin.select("s1_id", "name_s1").distinct().select(F.explode(text.raw_name_tokens(F.col("name_s1"))).alias("token")), least_count, least_share, latin_below)
+    return translit_table(met, latin.select("s1_id", "__s1").distinct().select(F.explode(text.raw_name_tokens(F.col("__s1"))).alias("token")), least_count, least_share, latin_below)
 
 
 def translit_table(met: DataFrame, latin_tokens: DataFrame, least_count: int = 3, least_share: float = 0.5, latin_below: int = 3) -> DataFrame:

@@ -23,6 +23,7 @@ def top_k(left: DataFrame, right: DataFrame, k: int, least: float = 0.0) -> Data
     left (grp, s1_id, v), right (grp, cand_id, src2, v). Both are cut into blocks; a task multiplies a block by a block and
     keeps k for each record, and a second step keeps the k best of these, so no more than k rows per block are shuffled.
     """
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # so that both may come from one table
     n_left = left.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("p"))
     n_right = right.groupBy("grp", "src2").agg(F.ceil(F.count("*") / BLOCK).alias("q"))
     blocks = n_left.join(n_right, "grp")
@@ -42,7 +43,8 @@ def top_k(left: DataFrame, right: DataFrame, k: int, least: float = 0.0) -> Data
         return pd.DataFrame({"s1_id": x["s1_id"].to_numpy()[row], "cand_id": y["cand_id"].to_numpy()[order[keep]], "src2": y["src2"].iat[0], "score": value[keep]})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    part = a.select("grp", "src2", "i", "j", "s1_id", "v").groupBy("grp", "src2", "i", "j").cogroup(b.select("grp", "src2", "i", "j", "cand_id", "v").groupBy("grp", "src2", "i", "j"))
+    own = lambda df, *columns: df.select(*(F.col(c).alias(c) for c in ("grp", "src2", "i", "j", *columns))).groupBy("grp", "src2", "i", "j")
+    part = own(a, "s1_id", "v").cogroup(own(b, "cand_id", "v"))
     found = part.applyInPandas(best, f"s1_id {kind(left, 's1_id')}, cand_id {kind(right, 'cand_id')}, src2 {kind(right, 'src2')}, score double")
     near = Window.partitionBy("s1_id", "src2").orderBy(F.round("score", 6).desc(), "cand_id")
     return found.withColumn("rk", F.row_number().over(near)).filter(F.col("rk") <= k)
