@@ -29,10 +29,10 @@ def _unit(ch: str) -> tuple[str, str]:
         return "closed", _CHILLU.get(what[14:].lower(), "")
     if what == "LETTER KHANDA TA":
         return "closed", "t"
-    vowel = re.fullmatch(r"(?:VOWEL SIGN|LETTER) (?:CANDRA |SHORT |VOCALIC )?([AEIOURL]{1,2})", what)
+    vowel = re.fullmatch(r"(?:VOWEL SIGN|LETTER) (?:CANDRA |SHORT )?([AEIOU]{1,2}|VOCALIC [RL]{1,2})", what)
     if vowel:
         v = vowel[1].lower()
-        v = {"r": "ri", "rr": "ri", "l": "li", "ll": "li"}.get(v, v) if "VOCALIC" in what else v
+        v = v[8] + "i" if v.startswith("vocalic") else v
         return ("sign" if "SIGN" in what else "vowel"), v[0] if v in ("aa", "ii", "uu", "ee", "oo") else v
     if what.startswith("LETTER ") and what.endswith("A"):
         c = what[7:-1].lower()
