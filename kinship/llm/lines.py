@@ -1,7 +1,8 @@
 """Operator 10: line dedup by winnowing over line hashes.
 
-A text is cut into lines: at newlines and, where sentences is set, after sentence ends too, so that passages inside longer
-lines are seen. Every window of `window` consecutive lines selects its smallest hash (the last of equal ones) as a
+A text is cut into lines: at newlines and, where sentences is set, after sentence ends too, and sentences of more than
+LONG words before words whose surroundings hash lowest among REACH words on either side, so that passages inside longer
+lines are seen wherever they begin. Every window of `window` consecutive lines selects its smallest hash (the last of equal ones) as a
 fingerprint, so equal runs of that many lines select equal fingerprints. Fingerprints that occur once drop out. The windows
 that selected one of the others are compared by the hash of all their lines, and a window that occurs earlier (by id, then
 line) marks its lines: marks of neighbouring windows extend a match both ways. Marked lines that touch are one run; runs of
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from kinship.llm.common import hashed_ranges, mixed, stored
 
 #: Lines of a window, and words of the shortest run that is deleted.
-WINDOW, MIN_WORDS = 3, 20
+WINDOW, MIN_WORDS = 2, 20
+#: Words of the longest sentence that isn't cut, and words on either side that a cut looks at.
+LONG, REACH = 16, 7
 _ID, _KEY, _MARKS = "__line_id", "__line_key", "__line_marks"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,7 +46,28 @@ def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
         mark = (a == 46) | (a == 33) | (a == 63)
         space = _SPACE[a]
         ends[1:] |= mark[:-2] & space[1:-1] & ~space[2:]
-    return np.append(np.flatnonzero(ends) + 1, len(a))
+    ends = np.append(np.flatnonzero(ends) + 1, len(a))
+    return np.union1d(ends, _cuts(text, ends)) if sentences else ends
+
+
+def _cuts(text: bytes, ends: np.ndarray) -> np.ndarray:
+    """Where sentences of many words are cut: before the word of the smallest value among its neighbours, if no other has the same."""
+    a = np.frombuffer(text.translate(_LOWER), np.uint8)
+    space = _SPACE[a]
+    word = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    if len(word) <= LONG:
+        return word[:0]
+    sentence = np.searchsorted(ends, word, "right")
+    long = np.bincount(sentence)[sentence] > LONG
+    if not long.any():
+        return word[:0]
+    value = np.zeros(len(word), np.uint64)
+    for k in (-4, -3, -2, 0, 1, 2, 3, 4):
+        value = value * np.uint64(257) + a[np.clip(word + k, 0, len(a) - 1)]
+    value = mixed(value)
+    most = np.full(REACH, np.iinfo(np.uint64).max)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, value, most)), REACH)
+    return word[long & (value < near[: len(word)].min(axis=1)) & (value < near[REACH + 1 :].min(axis=1))]
 
 
 def line_hashes(text: bytes, sentences: bool = True) -> np.ndarray:
@@ -86,6 +110,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def marked_windows(docs: DataFrame, window: int = WINDOW, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__line_id, __line_key, __line_marks: the first lines of all windows that occur earlier) of each document that has any."""
 
+    def lists(parts: list[np.ndarray], kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+
     def lined(batches):
         for batch in batches:
             rows, hashes, smallest = [], [], []
@@ -94,15 +121,19 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, sentences: bool = True
                 if len(h) >= window:
                     rows.append(i)
                     hashes.append(h.view(np.int64))
-                    smallest.append(winnowed(h, window))
+                    smallest.append(winnowed(h, window).astype(np.int32))
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes, pa.list_(pa.int64())), pa.array(smallest, pa.list_(pa.int32()))], names=[_ID, _KEY, "h", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(hashes, pa.int64()), lists(smallest, pa.int32())], names=[_ID, _KEY, "h", "m"])
+
+    def parts_of(column: pa.Array) -> list[np.ndarray]:
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def near(batches):
         for batch in batches:
             rows, starts, grams = [], [], []
-            for i, (h, m, at) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
-                h = np.array(h, np.int64).view(np.uint64)
+            for i, (h, m, at) in enumerate(zip(*map(parts_of, batch.columns[2:]), strict=True)):
+                h = h.view(np.uint64)
                 s = np.flatnonzero(np.isin(m, at))
                 g = np.zeros(len(s), np.uint64)
                 for k in range(window):

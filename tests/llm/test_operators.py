@@ -274,10 +274,15 @@ def test_urls_are_matched_as_of_their_fetch(spark):
     assert {r.blocked for r in urls.matched(captures, spark.createDataFrame([], "pattern string, action string, at int")).collect()} == {False}
 
 
-def brute_lines(texts, window=3, min_words=20):
+def parted(text):
+    data, ends = text.encode(), lines.line_ends(text.encode())
+    return [data[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def brute_lines(texts, window=2, min_words=20):
     seen, out = set(), {}
     for i, text in texts:
-        parts = re.split(r"(?<=\n)(?=[^\n])|(?<=[.!?]\s)(?=\S)", text)
+        parts = parted(text)
         key = [p.strip().lower() for p in parts]
         marked = set()
         for s in range(len(key) - window + 1):
@@ -309,6 +314,29 @@ def test_lines_match_brute_force(spark):
     assert got[len(texts)].text is None and got[0].score == "clash"
 
 
+def test_lines_are_cut_alike_wherever_a_passage_begins():
+    r = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    for _ in range(30):
+        passage, before, after = (prose(int(r.integers(1 << 30)), n, vocabulary) for n in (55, int(r.integers(0, 40)), int(r.integers(0, 40))))
+        one, two = parted(passage), parted(f"{before} {passage} {after}".strip())
+        assert "".join(two) == f"{before} {passage} {after}".strip()
+        inner = [p.strip() for p in one[1:-1]]
+        assert len(one) >= 3 and sum(p.strip() in inner for p in two) >= len(inner) - 2
+    assert parted("A b. C!\n\nd e") == ["A b. ", "C!\n\n", "d e"] and parted("") == [] and len(parted("so " * 500)) == 1
+
+
+def test_a_passage_inside_other_lines_goes(spark):
+    vocabulary = [f"v{i}" for i in range(3000)]
+    passage = prose(77, 60, vocabulary)
+    texts = [f"{prose(i, 30, vocabulary)} {passage} {prose(i + 50, 30, vocabulary)}" for i in range(4)]
+    got = {x.doc_id: x.text for x in lines.dedup(make(spark, texts)).collect()}
+    assert got[0] == texts[0]
+    for i in (1, 2, 3):
+        kept = sum(w in set(got[i].split()) for w in set(passage.split()))
+        assert kept < 30 and all(w in got[i].split() for w in prose(i, 30, vocabulary).split()[:20])
+
+
 def test_equal_rows_are_one_document(spark):
     text = ". ".join(prose(i, 12) for i in range(6))
     got = lines.dedup(make(spark, [text, text, text], ids=[1, 1, 2])).collect()
