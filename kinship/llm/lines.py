@@ -31,55 +31,70 @@ WINDOW, MIN_WORDS = 2, 20
 #: Words of the longest sentence that isn't cut, and words on either side that a cut looks at.
 LONG, REACH = 16, 7
 _ID, _KEY, _MARKS = "__line_id", "__line_key", "__line_marks"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: White space and sentences' ends among bytes.
+_KIND = np.array([1 if b in b" \t\n\v\f\r" else 2 if b in b".!?" else 0 for b in range(256)], np.uint8)
 
 
-def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
-    """Where each line of a text ends; its white space belongs to it, so the lines together are the text."""
+def _words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run without white space begins and ends."""
+    solid = np.zeros(len(a) + 2, np.int8)
+    solid[1:-1] = _KIND[a] != 1
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    """The minimum of each REACH neighbours, from minima of 2 and 4."""
+    n, size = REACH, 1
+    while size * 2 <= n:
+        x, size = np.minimum(x[:-size], x[size:]), size * 2
+    return np.minimum(x[: len(x) - (n - size)], x[n - size :])
+
+
+def _cut(text: bytes, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line ends, word begins, word ends) of a text; a line's white space belongs to it."""
     a = np.frombuffer(text, np.uint8)
-    if not len(a):
-        return np.zeros(0, np.int64)
-    ends = (a[:-1] == 10) & (a[1:] != 10)
-    if sentences and len(a) > 2:
-        mark = (a == 46) | (a == 33) | (a == 63)
-        space = _SPACE[a]
-        ends[1:] |= mark[:-2] & space[1:-1] & ~space[2:]
-    ends = np.append(np.flatnonzero(ends) + 1, len(a))
-    return np.union1d(ends, _cuts(text, ends)) if sentences else ends
-
-
-def _cuts(text: bytes, ends: np.ndarray) -> np.ndarray:
-    """Where sentences of many words are cut: before the word of the smallest value among its neighbours, if no other has the same."""
-    a = np.frombuffer(text.translate(_LOWER), np.uint8)
-    space = _SPACE[a]
-    word = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    if len(word) <= LONG:
-        return word[:0]
-    sentence = np.searchsorted(ends, word, "right")
-    long = np.bincount(sentence)[sentence] > LONG
-    if not long.any():
-        return word[:0]
-    value = np.zeros(len(word), np.uint64)
-    for k in (-4, -3, -2, 0, 1, 2, 3, 4):
-        value = value * np.uint64(257) + a[np.clip(word + k, 0, len(a) - 1)]
-    value = mixed(value)
-    most = np.full(REACH, np.iinfo(np.uint64).max)
-    near = np.lib.stride_tricks.sliding_window_view(np.concatenate((most, value, most)), REACH)
-    return word[long & (value < near[: len(word)].min(axis=1)) & (value < near[REACH + 1 :].min(axis=1))]
+    begin, end = _words(a)
+    if not len(a) or not len(begin):
+        return np.array([len(a)] if len(a) else [], np.int64), begin, end
+    after = np.append(begin[1:], len(a))  # where the space after a word ends
+    newline = np.flatnonzero((a[:-1] == 10) & (a[1:] != 10)) + 1
+    if not sentences:
+        return np.append(newline, len(a)), begin, end
+    stop = after[(_KIND[a[end - 1]] == 2) & (after - end == 1) & (after < len(a))]
+    marks = np.zeros(len(a) + 1, bool)
+    marks[newline], marks[stop], marks[len(a)] = True, True, True
+    ends = np.flatnonzero(marks)
+    first = np.searchsorted(begin, np.append(0, ends[:-1]))
+    count = np.diff(np.append(first, len(begin)))
+    if (count > LONG).any():
+        long = np.repeat(count > LONG, count)
+        padded = b"    " + text.translate(_LOWER) + b"        "
+        near = np.ndarray((len(a) + 5,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+        value = mixed(near[begin + 1].astype(np.uint64))  # three before the word, and its first five
+        most = np.full(REACH, np.iinfo(np.uint64).max)
+        low = _low(np.concatenate((most, value, most)))
+        marks[begin[long & (value < low[: len(value)]) & (value < low[REACH + 1 :])]] = True
+        marks[0] = False
+        ends = np.flatnonzero(marks)
+    return ends, begin, end
+
+
+def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
+    """Where each line of a text ends; the lines together are the text. Long sentences are cut before words whose surroundings have a smaller hash than those of all neighbours."""
+    return _cut(text, sentences)[0]
 
 
 def line_hashes(text: bytes, sentences: bool = True) -> np.ndarray:
     """The hash of each line."""
-    ends = line_ends(text, sentences)
-    solid = np.flatnonzero(~_SPACE[np.frombuffer(text, np.uint8)])
-    if not len(solid):
+    ends, begin, end = _cut(text, sentences)
+    if not len(begin):
         return np.zeros(len(ends), np.uint64)
-    first, last = np.searchsorted(solid, np.append(0, ends[:-1])), np.searchsorted(solid, ends)
-    full = last > first
-    start = solid[np.minimum(first, len(solid) - 1)]
-    return hashed_ranges(text.translate(_LOWER), start, np.where(full, solid[last - 1] + 1, start))
+    at = np.searchsorted(begin, np.append(0, ends))
+    first, last = at[:-1], at[1:]
+    start = begin[np.minimum(first, len(begin) - 1)]
+    return hashed_ranges(text.translate(_LOWER), start, np.where(last > first, end[last - 1], start))
 
 
 def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -104,11 +119,14 @@ def long_runs(starts: np.ndarray, text: bytes, ends: np.ndarray, window: int, mi
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({_ID: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), _KEY: F.xxhash64(text_col)})
+    """docs with what names a document: its id, and, only where ids repeat, its text's hash."""
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    unique = docs.select(ident.alias("i")).groupBy("i").count().filter("count > 1").isEmpty()
+    return docs.withColumns({_ID: ident, _KEY: F.lit(0).cast("long") if unique else F.xxhash64(text_col)})
 
 
-def marked_windows(docs: DataFrame, window: int = WINDOW, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__line_id, __line_key, __line_marks: the first lines of all windows that occur earlier) of each document that has any."""
+def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = True, text_col: str = "text") -> DataFrame:
+    """(__line_id, __line_key, __line_marks: the first lines of all windows that occur earlier) of each document that has any, from documents with their names."""
 
     def lists(parts: list[np.ndarray], kind) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
@@ -146,7 +164,7 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, sentences: bool = True
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(grams))], names=[_ID, _KEY, "s", "g"])
 
     key = f"{_ID} long, {_KEY} long"
-    lines = stored(_keyed(docs, id_col, text_col).filter(F.col(text_col).isNotNull()).select(_ID, _KEY, text_col).mapInArrow(lined, f"{key}, h array<long>, m array<int>"), "lines")
+    lines = stored(keyed.filter(F.col(text_col).isNotNull()).select(_ID, _KEY, text_col).mapInArrow(lined, f"{key}, h array<long>, m array<int>"), "lines")
     prints = lines.select(_ID, _KEY, F.explode(F.array_distinct("m")).alias("p"), "h").select(_ID, _KEY, "p", F.get("h", "p").alias("f"))
     common = prints.groupBy("f").count().filter("count > 1").select("f")
     places = prints.join(common, "f", "left_semi").groupBy(_ID, _KEY).agg(F.collect_set("p").alias("at"))
@@ -158,8 +176,9 @@ def marked_windows(docs: DataFrame, window: int = WINDOW, sentences: bool = True
 
 def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines deleted from the texts, and n_removed and words_removed, of lines and words."""
-    marks = marked_windows(docs, window, sentences, id_col, text_col)
-    both = _keyed(docs, id_col, text_col).join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
+    keyed = _keyed(docs, id_col, text_col)
+    marks = marked_windows(keyed, window, sentences, text_col)
+    both = keyed.join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
 
     def cut(batches):
         for batch in batches:

@@ -323,7 +323,7 @@ def test_lines_are_cut_alike_wherever_a_passage_begins():
         assert "".join(two) == f"{before} {passage} {after}".strip()
         inner = [p.strip() for p in one[1:-1]]
         assert len(one) >= 3 and sum(p.strip() in inner for p in two) >= len(inner) - 2
-    assert parted("A b. C!\n\nd e") == ["A b. ", "C!\n\n", "d e"] and parted("") == [] and len(parted("so " * 500)) == 1
+    assert parted("A b. C!\n\nd e") == ["A b. ", "C!\n\n", "d e"] and parted("") == [] and len(parted("so " * 500)) <= 3
 
 
 def test_a_passage_inside_other_lines_goes(spark):
