@@ -72,18 +72,37 @@ def expected_f(pairs: DataFrame, bias: float = 0.0, cfg: Config = Config(), p: s
 def _grid_scores(pairs: DataFrame, entities: DataFrame, grid: list[tuple[float, float]], beta: float, p: str) -> DataFrame:
     """(t2, t3, score): macro F-beta of every pair of thresholds, in one job.
 
-    A record's counts change only at its own probabilities, so each pair is spread over the grid's thresholds of its source
-    that it reaches, and counts are summed by record and threshold before sources are combined.
+    Each record's counts are summed once for every threshold of either source; the grid's sums are then made where the
+    records lie, so a task returns a row for each pair of thresholds, and pairs aren't multiplied by the grid.
     """
     spark = pairs.sparkSession
-    table = spark.createDataFrame(grid, "t2 double, t3 double")
-    reached = pairs.join(F.broadcast(table), above(F.col(p), F.col("src2"), F.col("t2"), F.col("t3")))
-    counts = reached.groupBy("t2", "t3", "s1_id").agg(F.count("*").alias("npred"), F.sum(F.col("label").cast("long")).alias("tp"))
-    # records without predictions score 1 without true matches, else 0: counted apart, not listed for every threshold
-    scored = counts.join(entities, "s1_id").groupBy("t2", "t3").agg(F.sum(fbeta(F.col("tp"), F.col("npred"), F.col("ntrue"), beta)).alias("f"), F.sum((F.col("ntrue") == 0).cast("long")).alias("blank"))
-    total = entities.agg(F.count("*").alias("n"), F.sum((F.col("ntrue") == 0).cast("long")).alias("empty"))
-    both = F.broadcast(table).join(scored, ["t2", "t3"], "left").crossJoin(total)
-    return both.select("t2", "t3", ((F.coalesce("f", F.lit(0.0)) + F.col("empty") - F.coalesce("blank", F.lit(0))) / F.col("n")).alias("score"))
+    axes = {2: sorted({a for a, _ in grid}), 3: sorted({b for _, b in grid})}
+    true = F.col("label").cast("boolean")
+
+    def counts(src: int, also: Column) -> Column:
+        mine = (F.col("src2") == 2) if src == 2 else (F.col("src2") != 2)
+        return F.array(*(F.sum((mine & also & (F.col(p) >= t)).cast("int")) for t in axes[src]))
+
+    made = pairs.groupBy("s1_id").agg(counts(2, F.lit(True)).alias("n2"), counts(2, true).alias("c2"), counts(3, F.lit(True)).alias("n3"), counts(3, true).alias("c3"))
+    rows = entities.join(made, "s1_id", "left").select("ntrue", "n2", "c2", "n3", "c3")
+    at2, at3 = ([axes[src].index(g[i]) for g in grid] for i, src in ((0, 2), (1, 3)))
+    b = beta * beta
+
+    def summed(frames):
+        total, n = np.zeros(len(grid)), 0
+        for f in frames:
+            none = {c: np.zeros(len(axes[int(c[1])]), np.int64) for c in ("n2", "c2", "n3", "c3")}
+            x = {c: np.stack([v if v is not None else none[c] for v in f[c]]) for c in none} if len(f) else none
+            true = f["ntrue"].to_numpy()[:, None]
+            if len(f):
+                predicted, hit = x["n2"][:, at2] + x["n3"][:, at3], x["c2"][:, at2] + x["c3"][:, at3]
+                total += np.where((predicted == 0) & (true == 0), 1.0, (1 + b) * hit / np.maximum(1e-12, b * true + predicted)).sum(axis=0)
+            n += len(f)
+        yield pd.DataFrame({"i": np.arange(len(grid)), "f": total, "n": n})
+
+    sums = rows.mapInPandas(summed, "i int, f double, n long").groupBy("i").agg((F.sum("f") / F.sum("n")).alias("score"))
+    table = spark.createDataFrame([(i, float(a), float(c)) for i, (a, c) in enumerate(grid)], "i int, t2 double, t3 double")
+    return table.join(sums, "i").select("t2", "t3", "score")
 
 
 def threshold_scores(pairs: DataFrame, entities: DataFrame, grid: list[tuple[float, float]], beta: float = 0.5, p: str = "p") -> DataFrame:

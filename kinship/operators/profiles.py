@@ -50,6 +50,19 @@ def token_idf(tokens: DataFrame) -> DataFrame:
     return counts.crossJoin(total).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def with_weights(profile: DataFrame, column: str, idf: DataFrame, out: str) -> DataFrame:
+    """Adds each record's tokens' weights as an array beside the tokens, so that pairs needn't look any up."""
+    tokens = profile.select("entity_id", F.posexplode(column).alias("pos", "token")).join(idf, "token")
+    made = tokens.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idf"))), lambda x: x["idf"]).alias(out))
+    return profile.join(made, "entity_id", "left").withColumn(out, F.coalesce(out, F.array().cast("array<double>")))
+
+
+def weighted_profiles(profile: DataFrame) -> DataFrame:
+    """Adds core_weight and addr_weight, by the split's own idf."""
+    with_core = with_weights(profile, "core", token_idf(profile.select("core")), "core_weight")
+    return with_weights(with_core, "addr_words", token_idf(profile.select("addr_words")), "addr_weight")
+
+
 def learn_translit(pairs: DataFrame, least_count: int = 3, least_share: float = 0.5, latin_below: int = 3) -> DataFrame:
     """(token, english) learned from true pairs (s1_id, name_s1, name_match): names of equally many tokens are aligned by position.
 

@@ -43,7 +43,7 @@ def featured(spark: SparkSession, folder: str, name: str, records: DataFrame, cf
     """(profiles, candidates, features) of a split; statistics are the split's own."""
     keep = lambda step, make, *more: cache.cached(spark, folder, f"{name}-{step}", [cfg, translit, embed, words, *more], make)
     table = text.table_of(translit) if translit else None
-    profile = keep("profiles", lambda: decoy.with_twins(profiles.profiles(records, table)))
+    profile = keep("profiles", lambda: profiles.weighted_profiles(decoy.with_twins(profiles.profiles(records, table))))
 
     def found() -> DataFrame:
         passes, cosines = [], {}
@@ -66,7 +66,7 @@ def featured(spark: SparkSession, folder: str, name: str, records: DataFrame, cf
         table = None
         if words:
             table = decoy.learn_decoy_words(paired.withColumns({"country_key": F.col("country_key1"), "words1": F.array_union("core1", "extra1"), "words2": F.array_union("core2", "extra2")}), cfg)
-        full = features.pair_features(paired, profiles.token_idf(profile.select("core")), profiles.token_idf(profile.select("addr_words")), table)
+        full = features.pair_features(paired, table)
         return full.select("s1_id", "cand_id", "src2", *feature_columns(full))
 
     return profile, pairs, keep("features", made, query is not None)

@@ -15,7 +15,7 @@ from kinship.plans.fixtures import PAIRS, PROFILES, VECTORS, Tables, rounded
 from kinship.sources import tsv
 
 #: For the fixtures: few keys may be as common as in real data, as there are 64 names.
-CFG = Config(max_key_pairs=20_000, min_word_pairs=3, tree_depth=3, tree_rounds=4)
+CFG = Config(max_key_pairs=20_000, min_word_pairs=3, tree_depth=3, tree_rounds=4, folds=2)
 GRID = [(a / 10, b / 10) for a in range(2, 9, 2) for b in range(2, 9, 2)]
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -358,6 +358,12 @@ def select_for_second_opinion(t):
 # Pair features ------------------------------------------------------------------------------------------------------
 
 
+def _overlapped(t: Tables) -> DataFrame:
+    profile = t.profiles()
+    weighted = profiles.with_weights(profile, "core", profiles.token_idf(profile.select("core")), "core_weight")
+    return features.with_overlap(features.with_records(t.pairs().select("s1_id", "cand_id"), weighted), "core", "core_weight", "n")
+
+
 @query(f"""
 WITH idf AS (SELECT token, ln(((SELECT count(*) FROM {P}) + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM (SELECT unnest(list_distinct(string_split(core_text, ' '))) AS token FROM {P}) GROUP BY token),
 a AS (SELECT s1_id, cand_id, unnest(list_distinct(string_split(core_text1, ' '))) AS token FROM {Q}), b AS (SELECT s1_id, cand_id, unnest(list_distinct(string_split(core_text2, ' '))) AS token FROM {Q}),
@@ -365,15 +371,12 @@ one AS (SELECT s1_id, cand_id, sum(idf) AS x FROM a JOIN idf USING (token) GROUP
 common AS (SELECT s1_id, cand_id, sum(idf) AS z FROM a JOIN b USING (s1_id, cand_id, token) JOIN idf USING (token) GROUP BY ALL)
 SELECT s1_id, cand_id, round(2 * coalesce(z, 0) / (x + y), 6) AS dice FROM one JOIN two USING (s1_id, cand_id) LEFT JOIN common USING (s1_id, cand_id)""")
 def idf_dice(t):
-    pairs = t.pairs().withColumns({"core1": F.split("core_text1", " "), "core2": F.split("core_text2", " ")})
-    scored = features.with_overlap(pairs, "core1", "core2", profiles.token_idf(t.profiles().select("core")), "n")
-    return rounded(scored.select("s1_id", "cand_id", F.col("n_dice").alias("dice")))
+    return rounded(_overlapped(t).select("s1_id", "cand_id", F.col("n_dice").alias("dice")))
 
 
 @query()
 def soft_dice(t):
-    pairs = t.pairs().withColumns({"core1": F.split("core_text1", " "), "core2": F.split("core_text2", " ")})
-    scored = features.with_overlap(pairs, "core1", "core2", profiles.token_idf(t.profiles().select("core")), "n")
+    scored = _overlapped(t)
     return rounded(scored.select("s1_id", "cand_id", *(c for c in scored.columns if c.startswith("n_"))))
 
 
@@ -487,15 +490,14 @@ for _kernel in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
 
 
 def _paired(t: Tables) -> DataFrame:
-    full = decoy.with_twins(profiles.with_views(t.profiles().withColumn("landmark", F.lit(0))))
+    full = profiles.weighted_profiles(decoy.with_twins(profiles.with_views(t.profiles().withColumn("landmark", F.lit(0)))))
     found = t.pairs().select("s1_id", "cand_id", "src2", "label", F.col("p").alias("bs"), F.col("q").alias("bsn"), F.col("q").alias("bsa"), F.lit(7).alias("mask"), F.lit(True).alias("fwd"), F.lit(False).alias("rev"))
     return features.quick_scores(features.with_records(found, full))
 
 
 @query()
 def pair_feature_table(t):
-    words = t.profiles().select(text.letters(F.col("addr")).alias("w"))
-    p = features.pair_features(features.global_context(_paired(t), CFG), profiles.token_idf(t.profiles().select("core")), profiles.token_idf(words))
+    p = features.pair_features(features.global_context(_paired(t), CFG))
     return p.drop(*(c for c, kind in p.dtypes if kind.startswith("array")))
 
 
@@ -653,6 +655,10 @@ def entity_holdout(t):
 _MODEL = ["bs", "qn", "qa", "bsn"]
 
 
+def _quick_fit(rows, columns, weight=None):
+    return model.monotone_fit(rows, columns, weight, 8)
+
+
 @query()
 def gbt_oof_stage1(t):
     scored, _ = model.out_of_fold(_paired(t), _MODEL, CFG)
@@ -661,10 +667,10 @@ def gbt_oof_stage1(t):
 
 @query()
 def stack_stage2(t):
-    scored, _ = model.out_of_fold(_paired(t), _MODEL, CFG, fitter=model.monotone_fit)
+    scored, _ = model.out_of_fold(_paired(t), _MODEL, CFG, fitter=_quick_fit)
     second = features.stacked(scored.drop("fold"))
     columns = ["p1", "p1_rk", "p1_gapmax", "p1_gap2", "p1_rk_rev", "bs", "qn", "is_s3"]
-    out, _ = model.out_of_fold(second, columns, CFG, "p2", fitter=model.monotone_fit)
+    out, _ = model.out_of_fold(second, columns, CFG, "p2", fitter=_quick_fit)
     return rounded(out.select("s1_id", "cand_id", "p1", "p2", ((F.col("p1") + F.col("p2")) / 2).alias("blend")))
 
 
