@@ -8,7 +8,8 @@ that selected one of the others are compared by the hash of all their lines, and
 line) marks its lines: marks of neighbouring windows extend a match both ways. Marked lines that touch are one run; runs of
 at least min_words words are deleted, all others stay.
 
-Only hashes and positions are shuffled until the last join, which brings the marks to their texts. Counts and first places
+Only hashes and positions are shuffled until the last join, which brings the marks to their texts; texts of documents that
+a map of MAP_BITS bits shows to have none pass by it, and where the map is full all texts are shuffled. Counts and first places
 are aggregated before they are shuffled, so common lines don't meet in one task.
 
 Null texts stay null and empty ones empty. Lines are compared without ASCII case and outer white space. Rows that agree in
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from kinship.llm.common import hashed_ranges, mixed, stored
 
+#: Bits of the map of documents that have marks: 1 MB, whatever their number.
+MAP_BITS = 1 << 23
 #: Lines of a window, and words of the shortest run that is deleted.
 WINDOW, MIN_WORDS = 2, 20
 #: Words of the longest sentence that isn't cut, and words on either side that a cut looks at.
@@ -166,7 +169,8 @@ def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = Tru
     key = f"{_ID} long, {_KEY} long"
     lines = stored(keyed.filter(F.col(text_col).isNotNull()).select(_ID, _KEY, text_col).mapInArrow(lined, f"{key}, h array<long>, m array<int>"), "lines")
     prints = lines.select(_ID, _KEY, F.explode(F.array_distinct("m")).alias("p"), "h").select(_ID, _KEY, "p", F.get("h", "p").alias("f"))
-    common = prints.groupBy("f").count().filter("count > 1").select("f")
+    # as a table of its own, so that both sides of the join are shuffled for it and a common fingerprint's rows can be split
+    common = stored(prints.groupBy("f").count().filter("count > 1").select("f"), "common")
     places = prints.join(common, "f", "left_semi").groupBy(_ID, _KEY).agg(F.collect_set("p").alias("at"))
     windows = lines.join(places, [_ID, _KEY]).mapInArrow(near, f"{key}, s int, g long")
     first = windows.groupBy("g").agg(F.min(F.struct(_ID, _KEY, "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
@@ -177,8 +181,9 @@ def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = Tru
 def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines deleted from the texts, and n_removed and words_removed, of lines and words."""
     keyed = _keyed(docs, id_col, text_col)
-    marks = marked_windows(keyed, window, sentences, text_col)
-    both = keyed.join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
+    marks = stored(marked_windows(keyed, window, sentences, text_col), "marks")
+    some, none = _parted(keyed, marks)
+    both = some.join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
 
     def cut(batches):
         for batch in batches:
@@ -199,7 +204,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sen
 
     docs_columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return both.mapInArrow(cut, f"{schema}, n_removed long, words_removed long")
+    zero = F.lit(0).cast("long")
+    return both.mapInArrow(cut, f"{schema}, n_removed long, words_removed long").union(none.select(*(docs[c] for c in docs.columns), zero.alias("n_removed"), zero.alias("words_removed")))
+
+
+def _parted(keyed: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed's documents that may have marks, and those that have none, by a map of bits that all tasks get."""
+    size = 1 << 15  # bits of one of Spark's bitmaps
+    place = F.pmod(F.xxhash64(_ID, _KEY), F.lit(MAP_BITS))
+    bucket, bit = F.floor(place / size), place % size
+    bits = marks.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.substr("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False))
+    shown = keyed.withColumn("__bucket", bucket).join(F.broadcast(stored(bits, "map")), "__bucket", "left")
+    return shown.filter(there).drop("__bucket", "__map"), shown.filter(~there).drop("__bucket", "__map")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
