@@ -169,11 +169,11 @@ def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = Tru
     key = f"{_ID} long, {_KEY} long"
     lines = stored(keyed.filter(F.col(text_col).isNotNull()).select(_ID, _KEY, text_col).mapInArrow(lined, f"{key}, h array<long>, m array<int>"), "lines")
     prints = lines.select(_ID, _KEY, F.explode(F.array_distinct("m")).alias("p"), "h").select(_ID, _KEY, "p", F.get("h", "p").alias("f"))
-    # as a table of its own, so that both sides of the join are shuffled for it and a common fingerprint's rows can be split
+    # tables of their own, so that both sides of a join are shuffled for it, and a common fingerprint's or window's rows can be split
     common = stored(prints.groupBy("f").count().filter("count > 1").select("f"), "common")
     places = prints.join(common, "f", "left_semi").groupBy(_ID, _KEY).agg(F.collect_set("p").alias("at"))
-    windows = lines.join(places, [_ID, _KEY]).mapInArrow(near, f"{key}, s int, g long")
-    first = windows.groupBy("g").agg(F.min(F.struct(_ID, _KEY, "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
+    windows = stored(lines.join(places, [_ID, _KEY]).mapInArrow(near, f"{key}, s int, g long"), "windows")
+    first = stored(windows.groupBy("g").agg(F.min(F.struct(_ID, _KEY, "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first"), "first")
     later = windows.join(first, "g").filter(F.struct(_ID, _KEY, "s") > F.col("first"))
     return later.groupBy(_ID, _KEY).agg(F.collect_set("s").alias(_MARKS))
 
