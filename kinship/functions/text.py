@@ -118,15 +118,20 @@ def _split_ends(toks: Column) -> Column:
     return let(bounds, parted)
 
 
+def collapse_domains(text: Column) -> Column:
+    """Web addresses of a lower-case text as the name that they hold: www.foo.com -> foo."""
+    return F.regexp_replace(text, _DOMAIN, " $1 ")
+
+
 def raw_name_tokens(name: Column) -> Column:
     """Clean tokens before any table is applied, for learning one."""
-    s = F.replace(F.regexp_replace(base_clean(name), _DOMAIN, " $1 "), F.lit("."), F.lit(" "))
+    s = F.replace(collapse_domains(base_clean(name)), F.lit("."), F.lit(" "))
     return F.flatten(F.transform(F.split(s, ","), lambda p: glue_letters(tokens(p))))
 
 
 def name_parts(name: Column, translit: Column | None = None) -> Column:
     """(core, legal, extra, alias) of a name: aliases are the cores of all parts around "doing business as" and the like, joined by " | ", empty if there is one part."""
-    s = F.regexp_replace(base_clean(name), _DOMAIN, " $1 ")
+    s = collapse_domains(base_clean(name))
     s = F.regexp_replace(fix_digits(s), r"\(\s*p\s*\)", " pvt ")
     s = F.replace(F.replace(s, F.lit("(india)"), F.lit(" ")), F.lit("."), F.lit(" "))
     table = table_of(words.NAME_CANON)

@@ -209,10 +209,19 @@ def addr_postal_numbers(t):
     return a.select("entity_id", "postal", F.array_join("n", " ").alias("numbers"), F.coalesce(F.get("n", F.lit(0)), F.lit("")).alias("first_number"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '://(?:www\\.)?([^/]+?)\\.(?:com|net|org)', 1)) AS name FROM {pages}")
+@query(f"SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/]+)', 1)), '{text._DOMAIN}', ' \\1 ', 'g') AS name FROM {{pages}}")
 def domain_collapse(t):
-    host = F.regexp_replace(F.regexp_extract("url", "://([^/]+)", 1), r"^(.*)\.([a-z]+)$", "$1.$2")
-    return t.table("pages").select("page_id", F.lower(F.regexp_extract(host, r"^(?:www\.)?(.+?)\.(?:com|net|org)", 1)).alias("name"))
+    return t.table("pages").select("page_id", text.collapse_domains(F.lower(F.regexp_extract("url", "://([^/]+)", 1))).alias("name"))
+
+
+@query("SELECT doc_id, lower(trim(coalesce(source, ''))) AS key FROM {documents}")
+def country_key(t):
+    return t.table("documents").select("doc_id", text.country_key(F.col("source")).alias("key"))
+
+
+@query("SELECT page_id, i AS initials FROM (SELECT page_id, list_filter(string_split(lower(regexp_extract(url, '://([^/]+)', 1)), '.'), lambda x: NOT regexp_full_match(x, '[0-9]+')) AS a, CASE WHEN len(a) >= 2 THEN array_to_string(list_transform(a, lambda x: substr(x, 1, 1)), '') ELSE '' END AS i FROM {pages})")
+def acronym_of_host(t):
+    return t.table("pages").select("page_id", text.acronym(F.split(F.lower(F.regexp_extract("url", "://([^/]+)", 1)), r"\.")).alias("initials"))
 
 
 @query()
@@ -647,6 +656,11 @@ def hard_negative_sample(t):
     return split.train_rows(pairs, 150, F.col("q") >= 0.8).select("s1_id", "cand_id", "label", F.round("weight", 6).alias("weight"))
 
 
+@query()
+def dev_sample(t):
+    return split.sample(t.s1().select("s1_id"), 100)
+
+
 @query()
 def entity_holdout(t):
     return t.s1().select("s1_id", split.held_out(F.col("s1_id")).alias("held_out"))
@@ -667,10 +681,9 @@ def gbt_oof_stage1(t):
 
 @query()
 def stack_stage2(t):
-    scored, _ = model.out_of_fold(_paired(t), _MODEL, CFG, fitter=_quick_fit)
-    second = features.stacked(scored.drop("fold"))
-    columns = ["p1", "p1_rk", "p1_gapmax", "p1_gap2", "p1_rk_rev", "bs", "qn", "is_s3"]
-    out, _ = model.out_of_fold(second, columns, CFG, "p2", fitter=_quick_fit)
+    pairs = t.pairs().select("s1_id", "cand_id", "src2", "label", F.col("p").alias("p1"), F.col("q").alias("bs"))
+    columns = ["p1", "p1_rk", "p1_gapmax", "p1_gap2", "p1_rk_rev", "bs", "is_s3"]
+    out, _ = model.out_of_fold(features.stacked(pairs), columns, CFG, "p2", fitter=_quick_fit)
     return rounded(out.select("s1_id", "cand_id", "p1", "p2", ((F.col("p1") + F.col("p2")) / 2).alias("blend")))
 
 
