@@ -58,6 +58,24 @@ def drop_stored(first: int = 0, end: int | None = None) -> None:
 atexit.register(drop_stored)
 
 
+#: Bits of a map of keys: 1 MB, whatever their number.
+MAP_BITS = 1 << 23
+
+
+def with_membership(rows: DataFrame, keys: DataFrame, names: list[str], out: str = "__maybe") -> DataFrame:
+    """rows with a column that is true for all rows whose names are among keys', and for few others, found without a shuffle.
+
+    All tasks get a map of MAP_BITS bits. Where that is full, the column is true for all rows.
+    """
+    size = 1 << 15  # bits of one of Spark's bitmaps
+    place = F.pmod(F.xxhash64(*names), F.lit(MAP_BITS))
+    bucket, bit = F.floor(place / size), place % size
+    bits = stored(keys.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map")), "map")
+    byte = F.conv(F.hex(F.substr("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False))
+    return rows.withColumn("__bucket", bucket).join(F.broadcast(bits), "__bucket", "left").withColumn(out, there).drop("__bucket", "__map")
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text is divisible by folds; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

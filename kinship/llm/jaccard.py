@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import mixed, shingles, slices, stored, texts
+from kinship.llm.common import mixed, shingles, slices, stored, texts, with_membership
 from kinship.llm.components import components
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.9999
@@ -138,7 +138,9 @@ def _content(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     c1 = [int(x.sum().astype(np.int64)) for x in s]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(c1, pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "c", "c1", "s"])
 
-    here = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(wanted.select("rep", F.col("c1").alias("c")), "rep")
+    wanted = stored(wanted.select("rep", F.col("c1").alias("c")), "wanted")
+    rows = with_membership(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")), wanted, ["rep"])
+    here = rows.filter("__maybe").join(wanted, "rep")
     return here.select("rep", "c", "t").mapInArrow(run, "rep long, c long, c1 long, s binary").filter("c = c1").select("rep", "s")
 
 

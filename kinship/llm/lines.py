@@ -9,7 +9,7 @@ line) marks its lines: marks of neighbouring windows extend a match both ways. M
 at least min_words words are deleted, all others stay.
 
 Only hashes and positions are shuffled until the last join, which brings the marks to their texts; texts of documents that
-a map of MAP_BITS bits shows to have none pass by it, and where the map is full all texts are shuffled. Counts and first places
+a map of bits shows to have none pass by it, and where the map is full all texts are shuffled. Counts and first places
 are aggregated before they are shuffled, so common lines don't meet in one task.
 
 Null texts stay null and empty ones empty. Lines are compared without ASCII case and outer white space. Rows that agree in
@@ -25,10 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import hashed_ranges, mixed, stored
+from kinship.llm.common import hashed_ranges, mixed, stored, with_membership
 
-#: Bits of the map of documents that have marks: 1 MB, whatever their number.
-MAP_BITS = 1 << 23
 #: Lines of a window, and words of the shortest run that is deleted.
 WINDOW, MIN_WORDS = 2, 20
 #: Words of the longest sentence that isn't cut, and words on either side that a cut looks at.
@@ -182,7 +180,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sen
     """docs with the repeated lines deleted from the texts, and n_removed and words_removed, of lines and words."""
     keyed = _keyed(docs, id_col, text_col)
     marks = stored(marked_windows(keyed, window, sentences, text_col), "marks")
-    some, none = _parted(keyed, marks)
+    shown = with_membership(keyed, marks, [_ID, _KEY])
+    some, none = shown.filter("__maybe"), shown.filter("NOT __maybe")
     both = some.join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
 
     def cut(batches):
@@ -208,18 +207,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sen
     return both.mapInArrow(cut, f"{schema}, n_removed long, words_removed long").union(none.select(*(docs[c] for c in docs.columns), zero.alias("n_removed"), zero.alias("words_removed")))
 
 
-def _parted(keyed: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed's documents that may have marks, and those that have none, by a map of bits that all tasks get."""
-    size = 1 << 15  # bits of one of Spark's bitmaps
-    place = F.pmod(F.xxhash64(_ID, _KEY), F.lit(MAP_BITS))
-    bucket, bit = F.floor(place / size), place % size
-    bits = marks.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
-    byte = F.conv(F.hex(F.substr("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    there = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False))
-    shown = keyed.withColumn("__bucket", bucket).join(F.broadcast(stored(bits, "map")), "__bucket", "left")
-    return shown.filter(there).drop("__bucket", "__map"), shown.filter(~there).drop("__bucket", "__map")
-
-
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that earlier ones have."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
