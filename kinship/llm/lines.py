@@ -30,7 +30,7 @@ from kinship.llm.common import hashed_ranges, mixed, stored, with_membership
 #: Lines of a window, and words of the shortest run that is deleted.
 WINDOW, MIN_WORDS = 2, 20
 #: Words of the longest sentence that isn't cut, and words on either side that a cut looks at.
-LONG, REACH = 16, 7
+LONG, REACH = 18, 8
 _ID, _KEY, _MARKS = "__line_id", "__line_key", "__line_marks"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: White space and sentences' ends among bytes.
