@@ -140,7 +140,7 @@ def _content(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
     wanted = stored(wanted.select("rep", F.col("c1").alias("c")), "wanted")
     rows = with_membership(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")), wanted, ["rep"])
-    here = rows.filter("__maybe").join(wanted, "rep")
+    here = rows.filter("__maybe").join(wanted.hint("merge"), "rep")  # a list that grows with the input isn't broadcast
     return here.select("rep", "c", "t").mapInArrow(run, "rep long, c long, c1 long, s binary").filter("c = c1").select("rep", "s")
 
 
