@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import slices
+from kinship.llm.common import slices, small_batches
 
 #: Pre-tokens that a worker remembers at most.
 CACHE = 300_000
@@ -110,6 +110,7 @@ class ByteBpe:
 
 def transcode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, ids (binary, little-endian unsigned 32-bit) and decoded (binary, from the ids)."""
+    docs = small_batches(docs)
     model = serialised_model(read_ranks(ranks_path))  # about 1 MB, fixed by the vocabulary
 
     def run(batches):

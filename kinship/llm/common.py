@@ -58,6 +58,18 @@ def drop_stored(first: int = 0, end: int | None = None) -> None:
 atexit.register(drop_stored)
 
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH rows at most: with the default of 10,000, batches of long texts, which executors hold several times, fill their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
+
+
 #: Bits of a map of keys: 1 MB, whatever their number.
 MAP_BITS = 1 << 23
 

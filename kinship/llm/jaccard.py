@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import mixed, shingles, slices, stored, texts, with_membership
+from kinship.llm.common import mixed, shingles, slices, small_batches, stored, texts, with_membership
 from kinship.llm.components import components
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.9999
@@ -146,6 +146,7 @@ def _content(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, group: int = GROUP, cells: int = CELLS, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, class_id (the smallest id with the same set), n_links (other rows linked directly) and component_id (the smallest id that links reach)."""
+    docs = small_batches(docs)
     runs = runs_needed(threshold, recall)
     if runs >= 1 << RUN_BITS:
         raise ValueError("too many runs")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, slices, texts
+from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts
 
 #: Places of the n-gram sets, a power of two.
 BINS = 1 << 14
@@ -98,6 +98,7 @@ def solve(bits: np.ndarray, y: np.ndarray, landmarks: np.ndarray, ridge: float =
 
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from rows of docs where train holds, and text and language are not null; None where there are none."""
+    docs = small_batches(docs)
     labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     counts = dict(labelled.groupBy("l").count().collect())  # as many rows as there are languages
     if not counts:
@@ -127,6 +128,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = L
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id and text with lang_pred, score (0 to 1, how surely the language is this one) and kin (the largest kernel value with a landmark)."""
+    docs = small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x BINS bits: under 1 MB
 
     def run(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, texts
+from kinship.llm.common import WORD_BYTES, small_batches, texts
 
 CONTAINMENT = 0.8
 #: (phrase, label): those whose places are counted.
@@ -153,6 +153,7 @@ class Join:
 
 def scan(docs: DataFrame, known: list[Template] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, places (phrase, first word), labels (distinct, sorted) and score, the largest share met."""
+    docs = small_batches(docs)
     known = known if known is not None else templates()
     join = Join(known, frequencies(docs, known, text_col), containment)
     shared = docs.sparkSession.sparkContext.broadcast(join)  # the templates' words

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import hashed_ranges, mixed, stored, with_membership
+from kinship.llm.common import hashed_ranges, mixed, small_batches, stored, with_membership
 
 #: Lines of a window, and words of the shortest run that is deleted.
 WINDOW, MIN_WORDS = 2, 20
@@ -178,6 +178,7 @@ def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = Tru
 
 def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines deleted from the texts, and n_removed and words_removed, of lines and words."""
+    docs = small_batches(docs)
     keyed = _keyed(docs, id_col, text_col)
     marks = stored(marked_windows(keyed, window, sentences, text_col), "marks")
     shown = with_membership(keyed, marks, [_ID, _KEY])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinship.llm.byte_bpe import byte_alphabet
-from kinship.llm.common import slices, stored
+from kinship.llm.common import slices, small_batches, stored
 
 #: Parts of each length's documents that are numbered apart, so that one common length doesn't meet in one task.
 SALTS = 64
@@ -91,6 +91,7 @@ class WordBpe:
 
 def lengths(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, tokens and the checksums of its whole windows, of the rest and of the rest's binary pieces."""
+    docs = small_batches(docs)
     with open(tokenizer_path, "rb") as f:
         data = f.read()  # a vocabulary file, under 2 MB
     shared = docs.sparkSession.sparkContext.broadcast(data)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, slices, texts, word_hashes
+from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, word_hashes
 
 #: Labelled documents that training sees at most.
 POSITIVE, NEGATIVE = 4000, 8000
@@ -119,6 +119,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight:
 
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the documents that labels names and that aren't held out."""
+    docs = small_batches(docs)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("y"))
     total = dict(known.groupBy("y").count().collect())  # two rows
     chosen = [known.filter(F.col("y") == k).orderBy(F.xxhash64(id_col, F.lit(2)), id_col).limit(n) for k, n in ((1, positive), (0, negative))]
@@ -141,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns with score and offending, the sentences at 0.5 or more as (begin, end, score) by characters."""
+    docs = small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights at most: 12 MB
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
