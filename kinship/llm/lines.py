@@ -1,8 +1,10 @@
 """Operator 10: line dedup by winnowing over line hashes.
 
 A text is cut into lines: at newlines and, where sentences is set, after sentence ends too, and sentences of more than
-LONG words before words whose surroundings hash lowest among REACH words on either side, so that passages inside longer
-lines are seen wherever they begin. Every window of `window` consecutive lines selects its smallest hash (the last of equal ones) as a
+LONG words before the word that hashes lowest (the last of equal ones) of each REACH consecutive words of the sentence. So
+a sentence is cut by its own words only, no REACH words are without a cut, and of a passage in it at most LONG words at
+either end are cut otherwise than elsewhere: of any passage of more than 2 x LONG + MIN_WORDS = 50 words that occurs earlier, MIN_WORDS or
+more words go, wherever it begins (unless REACH of its words in a row are one), and so does every repeated line of MIN_WORDS words, whatever its neighbours. Every window of `window` consecutive lines selects its smallest hash (the last of equal ones) as a
 fingerprint, so equal runs of that many lines select equal fingerprints. Fingerprints that occur once drop out. The windows
 that selected one of the others are compared by the hash of all their lines, and a window that occurs earlier (by id, then
 line) marks its lines: marks of neighbouring windows extend a match both ways. Marked lines that touch are one run; runs of
@@ -29,13 +31,19 @@ from kinship.llm.common import hashed_ranges, mixed, small_batches, stored, with
 
 #: Lines of a window, and words of the shortest run that is deleted.
 WINDOW, MIN_WORDS = 2, 20
-#: Words of the longest sentence that isn't cut, and words on either side that a cut looks at.
-LONG, REACH = 18, 8
+#: Words of which one is cut before, and of the longest sentence that isn't cut: a passage's first word, the REACH - 1 words whose
+#: cuts depend on what is before it, and REACH - 1 words without a cut.
+REACH = 8
+LONG = 2 * REACH - 1
 _ID, _KEY, _MARKS = "__line_id", "__line_key", "__line_marks"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: White space and sentences' ends among bytes.
 _KIND = np.array([1 if b in b" \t\n\v\f\r" else 2 if b in b".!?" else 0 for b in range(256)], np.uint8)
 
+#: The lower half of a number, and the bits of three bytes and a word's first ones.
+_LAST, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+_FIRST = np.array([(1 << 8 * (3 + n)) - 1 for n in range(6)], np.uint64)
+
 
 def _words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run without white space begins and ends."""
@@ -45,12 +53,13 @@ def _words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _low(x: np.ndarray) -> np.ndarray:
-    """The minimum of each REACH neighbours, from minima of 2 and 4."""
-    n, size = REACH, 1
-    while size * 2 <= n:
-        x, size = np.minimum(x[:-size], x[size:]), size * 2
-    return np.minimum(x[: len(x) - (n - size)], x[n - size :])
+def _chosen(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The places of the smallest key of each REACH consecutive places of one group; keys have their places in the lower half, from the highest down."""
+    low = key
+    for step in (1, 2, 4):  # minima of 2, 4 and REACH
+        low = np.minimum(low[:-step], low[step:])
+    inside = (group[: len(low)] == group[REACH - 1 :]) & (low <= ~_LAST)
+    return np.unique(_LAST - (low[inside] & _LAST)).astype(np.int64)
 
 
 def _cut(text: bytes, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,20 +79,24 @@ def _cut(text: bytes, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first = np.searchsorted(begin, np.append(0, ends[:-1]))
     count = np.diff(np.append(first, len(begin)))
     if (count > LONG).any():
-        long = np.repeat(count > LONG, count)
-        padded = b"    " + text.translate(_LOWER) + b"        "
-        near = np.ndarray((len(a) + 5,), "<u8", padded, 0, (1,))  # the eight bytes from each place
-        value = mixed(near[begin + 1].astype(np.uint64))  # three before the word, and its first five
-        most = np.full(REACH, np.iinfo(np.uint64).max)
-        low = _low(np.concatenate((most, value, most)))
-        marks[begin[long & (value < low[: len(value)]) & (value < low[REACH + 1 :])]] = True
+        group = np.repeat(np.arange(len(count)), count)
+        place = np.flatnonzero((count > LONG)[group])
+        group = group[place]
+        padded = b"   " + text.translate(_LOWER) + b"        "
+        near = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from three before each place
+        kept = _FIRST[np.minimum(end[place] - begin[place], 5)]  # three before the word, and its first five
+        key = (mixed(near[begin[place]] & kept) | _LAST) - np.arange(len(place), dtype=np.uint64)
+        opens = np.append(True, group[1:] != group[:-1])  # no place to cut: a sentence begins there anyway
+        opens[1:] |= key[1:] >> _HALF == key[:-1] >> _HALF  # as is a word that only repeats the one before
+        key[opens] |= ~_LAST
+        marks[begin[place[_chosen(key, group)]]] = True
         marks[0] = False
         ends = np.flatnonzero(marks)
     return ends, begin, end
 
 
 def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
-    """Where each line of a text ends; the lines together are the text. Long sentences are cut before words whose surroundings have a smaller hash than those of all neighbours."""
+    """Where each line of a text ends; the lines together are the text. Long sentences are cut before the word with the smallest hash of each REACH."""
     return _cut(text, sentences)[0]
 
 

@@ -337,6 +337,30 @@ def test_a_passage_inside_other_lines_goes(spark):
         assert kept < 30 and all(w in got[i].split() for w in prose(i, 30, vocabulary).split()[:20])
 
 
+def repeated_words(one, two):
+    """The words of two that go when one is an earlier document."""
+    pairs = [list(zip(h[:-1], h[1:])) for h in (lines.line_hashes(x.encode()).tolist() for x in (one, two))]
+    starts = np.array([i for i, x in enumerate(pairs[1]) if x in pairs[0]], np.int64)
+    return lines.long_runs(starts, two.encode(), lines.line_ends(two.encode()), lines.WINDOW, lines.MIN_WORDS)[1]
+
+
+@pytest.mark.parametrize("vocabulary", [[f"w{i}" for i in range(3000)], "the of a and it x to so I".split()])
+def test_every_passage_of_51_words_goes(vocabulary):
+    r = np.random.default_rng(21)
+    around = [f"p{i}" for i in range(9000)]
+    found = []
+    for k in range(1000):
+        passage = prose(k, 51, vocabulary)
+        if k % 2:  # sentences end in it, anywhere
+            words = passage.split()
+            for j in r.integers(0, 51, 2):
+                words[j] += "."
+            passage = " ".join(words)
+        one, two = (f"{prose(int(r.integers(1 << 30)), int(r.integers(0, 60)), around)} {passage} {prose(int(r.integers(1 << 30)), int(r.integers(0, 60)), around)}" for _ in range(2))
+        found.append(repeated_words(one, two))
+    assert min(found) >= lines.MIN_WORDS
+
+
 def test_equal_rows_are_one_document(spark):
     text = ". ".join(prose(i, 12) for i in range(6))
     got = lines.dedup(make(spark, [text, text, text], ids=[1, 1, 2])).collect()
