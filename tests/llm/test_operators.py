@@ -361,6 +361,16 @@ def test_every_passage_of_51_words_goes(vocabulary):
     assert min(found) >= lines.MIN_WORDS
 
 
+@pytest.mark.parametrize("n", [20, 21, 25, 30, 50])
+def test_every_repeated_line_goes_whatever_its_neighbours(n):
+    r = np.random.default_rng(22)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for k in range(300):
+        line = prose(k, n, vocabulary)
+        one, two = ("\n".join((prose(int(r.integers(1 << 30)), int(r.integers(3, 40)), vocabulary), line, prose(int(r.integers(1 << 30)), int(r.integers(3, 40)), vocabulary))) for _ in range(2))
+        assert repeated_words(one, two) >= n
+
+
 def test_equal_rows_are_one_document(spark):
     text = ". ".join(prose(i, 12) for i in range(6))
     got = lines.dedup(make(spark, [text, text, text], ids=[1, 1, 2])).collect()
