@@ -38,9 +38,8 @@ RUN_BITS = 6
 
 
 def runs_needed(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this chance: one run's chosen common shingles are about Poisson."""
-    common = 2 / (1 + threshold)  # of two sets of equal size, as a share of the size
-    return math.ceil(math.log(1 - recall) / math.log(math.exp(-common / threshold)))
+    """Runs after which a pair at the threshold has met with this chance: the chosen common shingles of a run are about Poisson, with a mean of 1 where one set contains the other, and more otherwise."""
+    return math.ceil(-math.log(1 - recall))
 
 
 def _chosen(sets: np.ndarray, key: np.ndarray, share: float) -> np.ndarray:

@@ -212,6 +212,24 @@ def test_near_copies_match_brute_force(spark, group, depth):
     assert all(rows[i].n_links == len(links[i]) and rows[i].component_id == root[i] for i in range(len(texts)))
 
 
+def pairs_at_the_threshold(n, contained):
+    r = np.random.default_rng(31)
+    for _ in range(n):
+        x = common.mixed(r.integers(1 << 62, size=216).astype(np.uint64))
+        yield (x[:200], x[:160]) if contained else (x[:180], np.concatenate((x[:160], x[180:200])))
+
+
+def production_runs():
+    return jaccard.runs_needed(jaccard.THRESHOLD, jaccard.RECALL)
+
+
+def test_production_runs_meet_the_recall():
+    missed = 0
+    for a, b in pairs_at_the_threshold(20_000, True):
+        missed += not len(np.intersect1d(*(jaccard.first_paths(x, production_runs(), 0.8) for x in (a, b))))
+    assert missed <= 6  # 0.9 are expected of 10 runs, 18 of 7
+
+
 def test_jaccard_of_repeated_ids_and_none(spark):
     docs = make(spark, ["a b c d e f", "a b c d e f", None, "x y z"], ids=[4, 4, 4, None])
     rows = jaccard.near_duplicates(docs).collect()
