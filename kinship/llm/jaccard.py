@@ -2,9 +2,9 @@
 
 A text is the set of its shingles (hashes of five consecutive words, without case and signs). In each of several
 independent runs a set chooses each of its shingles j with a chance of 1 / (threshold x size), by a hash that all sets
-share, and goes into the bucket of every shingle chosen; a bucket of too many sets is split the same way, by a hash of
-the path so far. Sets of similarity s meet in a bucket with a chance that grows with s, and runs repeat until pairs at
-the threshold are missed with a chance of 1 - recall at most. A bucket that is small, or whose depth is used up, is
+share, and goes into the bucket of every shingle chosen; a bucket of too many sets is split the same way, by hashes of
+the path so far, SPLITS times independently, unless that leaves no fewer pairs to compare than the bucket has. Sets of similarity s meet in a bucket with a chance that grows with s, and runs repeat until pairs at
+the threshold are missed with a chance of 1 - recall at most, through all splits. A bucket that is small, isn't worth splitting, or whose depth is used up, is
 compared by brute force: shared shingles are counted as a product of presence matrices, so similarities are exact.
 
 Texts of equal sets are one class, compared once and weighted by its number of texts. Buckets of one class are dropped
@@ -33,13 +33,18 @@ from kinship.llm.components import components
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.9999
 #: Sets and shingles of a bucket that is compared as it is, and how often a larger one is split.
 GROUP, CELLS, DEPTH = 2048, 1 << 22, 2
+#: Independent splits of a bucket: three keep the target at any depth within the same number of runs.
+SPLITS = 3
 #: The bits of a bucket's number that name its run.
 RUN_BITS = 6
 
 
-def runs_needed(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this chance: the chosen common shingles of a run are about Poisson, with a mean of 1 where one set contains the other, and more otherwise."""
-    return math.ceil(-math.log(1 - recall))
+def runs_needed(recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has met with this chance, even if all its buckets are split to the full depth. A run's chosen common shingles are about Poisson, with a mean of 1 where one set contains the other, and more otherwise."""
+    met = 1.0  # the chance that a pair of a bucket meets below it
+    for _ in range(depth):
+        met = 1 - math.exp(-SPLITS * met)
+    return math.ceil(-math.log(1 - recall) / met)
 
 
 def _chosen(sets: np.ndarray, key: np.ndarray, share: float) -> np.ndarray:
@@ -58,11 +63,11 @@ def first_paths(sets: np.ndarray, runs: int, threshold: float) -> np.ndarray:
 
 
 def next_paths(sets: np.ndarray, node: int, threshold: float) -> np.ndarray:
-    """The buckets that a set goes to within one bucket."""
+    """The buckets that a set goes to within one bucket, of all its splits."""
     low = (1 << (63 - RUN_BITS)) - 1
-    key = mixed(np.array([node], np.uint64) + np.uint64(0x2545F4914F6CDD1D))
-    j = np.nonzero(_chosen(sets, key, 1 / (threshold * len(sets)))[0])[0]
-    return np.int64(node & ~low) | (mixed(sets[j] + key) >> np.uint64(RUN_BITS + 1)).astype(np.int64)
+    keys = mixed(np.uint64(node) + np.arange(1, SPLITS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    split, j = np.nonzero(_chosen(sets, keys, 1 / (threshold * len(sets))))
+    return np.int64(node & ~low) | (mixed(sets[j] + keys[split]) >> np.uint64(RUN_BITS + 1)).astype(np.int64)
 
 
 def shared_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -146,7 +151,7 @@ def _content(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, group: int = GROUP, cells: int = CELLS, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, class_id (the smallest id with the same set), n_links (other rows linked directly) and component_id (the smallest id that links reach)."""
     docs = small_batches(docs)
-    runs = runs_needed(threshold, recall)
+    runs = runs_needed(recall, depth)
     if runs >= 1 << RUN_BITS:
         raise ValueError("too many runs")
     all_sets = stored(_sets(docs, id_col, text_col, runs, threshold), "sets")
@@ -161,28 +166,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     large = stored(members.join(sizes.filter(~small).select("node"), "node").select("rep", "node"), "large")
     wanted = classes.join(kept[0].select("rep").unionByName(large.select("rep")).distinct(), "rep", "left_semi")
     content = stored(_content(docs, wanted, id_col, text_col), "shingles")
-    for level in range(depth + 1):
+    sized = lambda rows, *more: rows.join(content.select("rep", (F.octet_length("s") / 8).cast("long").alias("n")), "rep").groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), *more).filter("k > 1")
+
+    def split(batches):
+        for batch in batches:
+            rep, node, parent = [], [], []
+            for r, x, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = next_paths(np.frombuffer(s, np.uint64), x, threshold)
+                rep += [r] * len(found)
+                node += found.tolist()
+                parent += [x] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(node, pa.int64()), pa.array(parent, pa.int64())], names=["rep", "node", "parent"])
+
+    for _ in range(depth):
         if large.isEmpty():
             break
-        counts = large.join(content.select("rep", (F.octet_length("s") / 8).cast("long").alias("n")), "rep").groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells")).filter("k > 1")
-        if level == depth:
-            kept.append(large.join(counts, "node").select("rep", "node", "k", "cells"))
-            break
-
-        def split(batches):
-            for batch in batches:
-                rep, node = [], []
-                for r, x, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    found = next_paths(np.frombuffer(s, np.uint64), x, threshold)
-                    rep += [r] * len(found)
-                    node += found.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(node, pa.int64())], names=["rep", "node"])
-
-        below = stored(large.join(content, "rep").select("rep", "node", "s").mapInArrow(split, "rep long, node long"), "below")
-        counts = below.join(content.select("rep", (F.octet_length("s") / 8).cast("long").alias("n")), "rep").groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells")).filter("k > 1")
-        counts = stored(counts, "buckets")
-        kept.append(below.join(counts.filter(small), "node").select("rep", "node", "k", "cells"))
+        below = stored(large.join(content, "rep").select("rep", "node", "s").mapInArrow(split, "rep long, node long, parent long"), "below")
+        counts = stored(sized(below, F.first("parent").alias("parent")), "buckets")
+        pairs = counts.groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("pairs")).withColumnRenamed("parent", "node")
+        whole = stored(sized(large).join(pairs, "node", "left").withColumn("apart", F.coalesce("pairs", F.lit(0)) < F.col("k") * F.col("k")), "whole")
+        kept.append(large.join(whole.filter("NOT apart"), "node").select("rep", "node", "k", "cells"))
+        counts = counts.join(whole.filter("apart").select(F.col("node").alias("parent")), "parent", "left_semi")
+        kept.append(below.join(counts.filter(small).select("node", "k", "cells"), "node").select("rep", "node", "k", "cells"))
         large = stored(below.join(counts.filter(~small).select("node"), "node").select("rep", "node"), "large")
+    if not large.isEmpty():
+        kept.append(large.join(sized(large), "node").select("rep", "node", "k", "cells"))
     placed = kept[0]
     for more in kept[1:]:
         placed = placed.unionByName(more)

@@ -220,7 +220,7 @@ def pairs_at_the_threshold(n, contained):
 
 
 def production_runs():
-    return jaccard.runs_needed(jaccard.THRESHOLD, jaccard.RECALL)
+    return jaccard.runs_needed(jaccard.RECALL, jaccard.DEPTH)
 
 
 def test_production_runs_meet_the_recall():
@@ -230,6 +230,15 @@ def test_production_runs_meet_the_recall():
     assert missed <= 6  # 0.9 are expected of 10 runs, 18 of 7
 
 
+@pytest.mark.parametrize("contained", [True, False])
+def test_production_runs_meet_the_recall_below_two_splits(contained):
+    def meet(a, b, nodes, depth):
+        return len(nodes) > 0 and (not depth or any(meet(a, b, np.intersect1d(*(jaccard.next_paths(x, int(node), 0.8) for x in (a, b))), depth - 1) for node in nodes))
+
+    pairs = list(pairs_at_the_threshold(3000, contained))
+    assert sum(not meet(a, b, np.intersect1d(*(jaccard.first_paths(x, production_runs(), 0.8) for x in (a, b))), jaccard.DEPTH) for a, b in pairs) <= 3
+
+
 def test_jaccard_of_repeated_ids_and_none(spark):
     docs = make(spark, ["a b c d e f", "a b c d e f", None, "x y z"], ids=[4, 4, 4, None])
     rows = jaccard.near_duplicates(docs).collect()
