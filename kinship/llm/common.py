@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 1 << 20
 
-_MADE: list[tuple[SparkSession, str] | None] = []
+_MADE: list[tuple | None] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, a temporary one in local mode, as in tests; on a cluster that is an error, as each machine would have its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="kinship-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -32,7 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinship/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append((spark, path))
+    _MADE.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))  # which outlive the session
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,12 +50,9 @@ def drop_stored(first: int = 0, end: int | None = None) -> None:
         made, _MADE[i] = _MADE[i], None
         if made is None:
             continue
-        spark, path = made
-        try:
-            jvm = spark._jvm
-            jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
-        except Exception:  # the session has ended; its folder goes with it
-            return
+        jvm, conf, path = made
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 atexit.register(drop_stored)
@@ -70,22 +70,59 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-#: Bits of a map of keys: 1 MB, whatever their number.
-MAP_BITS = 1 << 23
+#: Bits of a map of keys for each key, and of one of Spark's bitmaps. MAP_BITS: of a whole map, at least and at most (1 and 64 MB).
+KEY_BITS, PAGE_BITS, MAP_BITS = 16, 1 << 15, (1 << 23, 1 << 29)
 
 
-def with_membership(rows: DataFrame, keys: DataFrame, names: list[str], out: str = "__maybe") -> DataFrame:
-    """rows with a column that is true for all rows whose names are among keys', and for few others, found without a shuffle.
+def unused(name: str, df: DataFrame) -> str:
+    """name, or name with underscores, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    All tasks get a map of MAP_BITS bits. Where that is full, the column is true for all rows.
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names: outputs of an operator replace columns that are called alike."""
+    gone = {n.lower() for n in names}
+    return df.select(*(df[c] for c in df.columns if c.lower() not in gone))
+
+
+def with_membership(rows: DataFrame, keys: DataFrame, names: list[str], out: str) -> DataFrame:
+    """rows with a column out that is true for all rows whose names are among keys', and for few others, found without a shuffle.
+
+    All tasks get a map of KEY_BITS bits for each key, within MAP_BITS: with 2 ** 25 keys it holds one of 16 bits, so that a row of
+    no key is taken for one in 16 cases, and with more keys more often. Only the speed depends on it.
     """
-    size = 1 << 15  # bits of one of Spark's bitmaps
-    place = F.pmod(F.xxhash64(*names), F.lit(MAP_BITS))
-    bucket, bit = F.floor(place / size), place % size
-    bits = stored(keys.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map")), "map")
-    byte = F.conv(F.hex(F.substr("__map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    count = keys.count()
+    size = min(max(MAP_BITS[0], 1 << (KEY_BITS * count).bit_length()), MAP_BITS[1])
+    number, page = unused("__page", rows), unused("__map", rows)
+    place = F.pmod(F.xxhash64(*names), F.lit(size))
+    bucket, bit = F.floor(place / PAGE_BITS), place % PAGE_BITS
+    bits = stored(keys.select(bucket.alias(number), bit.alias("__bit")).groupBy(number).agg(F.bitmap_construct_agg("__bit").alias(page)), "map")
+    byte = F.conv(F.hex(F.substr(page, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     there = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False))
-    return rows.withColumn("__bucket", bucket).join(F.broadcast(bits), "__bucket", "left").withColumn(out, there).drop("__bucket", "__map")
+    return rows.withColumn(number, bucket).join(F.broadcast(bits), number, "left").withColumn(out, there).drop(number, page)
+
+
+#: Keys that are split, at most, and rows of a key that isn't, at least.
+HOT_KEYS, COOL_ROWS = 10_000, 4096
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame, total: int) -> DataFrame:
+    """rows joined with table on keys, inner; each common key's rows are dealt to parts that get table's rows of it each.
+
+    sizes has the keys and n, their numbers of rows, which add up to total at most. A key is common from total / HOT_KEYS rows on,
+    so there are at most HOT_KEYS such keys, which every task gets to know; a part has about that many rows. Rows are dealt by a hash
+    of all their columns and of the partition that they come from, so that a task that runs again deals them alike.
+    """
+    part, parts = unused("__part", rows), unused("__parts", rows)
+    limit = max(COOL_ROWS, total // HOT_KEYS)
+    hot = stored(sizes.filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias(parts)), "hot")
+    deal = F.broadcast(hot)  # at most HOT_KEYS rows
+    dealt = rows.join(deal, keys, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    spread = table.join(deal, keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(spread, [*keys, part]).drop(part)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -119,7 +156,8 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of an odd number and those of its inverse, n at least of each."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         with np.errstate(over="ignore"):
@@ -158,7 +196,7 @@ def word_hashes(text: bytes, most: int = 1 << 17) -> np.ndarray:
             inside[1:-1] = a != 32
             edges = np.flatnonzero(np.diff(inside))
             if len(edges):
-                power, inverse = _powers(len(a))
+                power, inverse = powers(len(a))
                 sums = np.zeros(len(a) + 1, np.uint64)
                 np.cumsum(_RANDOM[a] * power[: len(a)], out=sums[1:])
                 out.append(mixed((sums[edges[1::2]] - sums[edges[::2]]) * inverse[edges[::2]]))
@@ -177,7 +215,7 @@ def hashed_ranges(data: bytes, starts: np.ndarray, ends: np.ndarray, most: int =
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + most)))
             used = np.arange(i, j)[ends[i:j] > starts[i:j]]
             low, high = starts[i], ends[used[-1]]
-            power, inverse = _powers(int(high - low))
+            power, inverse = powers(int(high - low))
             sums = np.zeros(high - low + 1, np.uint64)
             np.cumsum(_RANDOM[a[low:high]] * power[: high - low], out=sums[1:])
             out[used] = mixed((sums[ends[used] - low] - sums[starts[used] - low]) * inverse[starts[used] - low])

@@ -32,3 +32,10 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components have not converged")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def smallest_names(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, least) for each node of links (u, v): the smallest name of its component, from names (node, name), which has each node once."""
+    found = stored(components(links).join(names, "node"), "named")
+    least = stored(found.groupBy("component").agg(F.min("name").alias("least")), "least")
+    return found.join(least, "component").select("node", "least")

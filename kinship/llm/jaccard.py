@@ -7,14 +7,16 @@ the path so far, SPLITS times independently, unless that leaves no fewer pairs t
 the threshold are missed with a chance of 1 - recall at most, through all splits. A bucket that is small, isn't worth splitting, or whose depth is used up, is
 compared by brute force: shared shingles are counted as a product of presence matrices, so similarities are exact.
 
-Texts of equal sets are one class, compared once and weighted by its number of texts. Buckets of one class are dropped
-before any set is sent, and of buckets with the same members one is kept. A pair that meets in several buckets is counted
-in the first, which both members know. Buckets of more than GROUP sets or CELLS shingles are cut into blocks, and each
+Texts of equal sets are one class, compared once and weighted by its number of texts. A class has a number of its own and is
+named by the smallest id (of equal ones, the smallest hash of a text) among its rows, so that ids may repeat. Buckets of one
+class are dropped before any set is sent, and of buckets with the same members one is kept. A pair that meets in several buckets
+is counted in the first, which both members know. Buckets of more than GROUP sets or CELLS shingles are cut into blocks, and each
 pair of blocks is a task of its own: its memory is bounded and nothing is left out. Tasks return a row for each member,
 how many texts it links with and a root of its component there, and no pairs.
 
 Null ids, null texts and texts without words link with nothing; shorter texts than five words have one shingle. Rows that repeat
-count as copies. Ids have to be integers; other columns are left out; an empty table gives an empty result.
+count as copies, and rows that share an id but not a text are compared each by its own text. Ids may be of any type that can be
+ordered; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import mixed, shingles, slices, small_batches, stored, texts, with_membership
-from kinship.llm.components import components
+from kinship.llm.common import mixed, shingles, slices, small_batches, split_join, stored, texts, with_membership
+from kinship.llm.components import smallest_names
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.9999
 #: Sets and shingles of a bucket that is compared as it is, and how often a larger one is split.
@@ -100,9 +102,9 @@ def compare(sets: list[np.ndarray], nodes: list[np.ndarray], node: int, half: np
     return linked, linked & (shared_counts([x[x < node] for x in nodes]) == 0) if linked.any() else linked
 
 
-def roots(linked: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    """The smallest id that links reach from each member."""
-    root = rep.copy()
+def roots(linked: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The smallest number that links reach from each member."""
+    root = number.copy()
     a, b = np.nonzero(linked)
     while True:
         new = root.copy()
@@ -113,11 +115,11 @@ def roots(linked: np.ndarray, rep: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, runs: int, threshold: float) -> DataFrame:
-    """One row per row of docs: id, c1 and c2 (a hash of its set), n (its size) and nodes (its first buckets)."""
+    """One row per row of docs: id, t (a hash of its text), c1 and c2 (a hash of its set), n (its size) and nodes (its first buckets)."""
 
     def run(batches):
         for batch in batches:
-            data = texts(batch, text_col)
+            data = texts(batch, "text")
             for a, b in slices([len(x) for x in data]):
                 rows = []
                 for text in data[a:b]:
@@ -125,107 +127,108 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, runs: int, threshold: flo
                     with np.errstate(over="ignore"):
                         rows.append((int(s.sum().astype(np.int64)), int(mixed(s + np.uint64(7)).sum().astype(np.int64)), len(s), first_paths(s, runs, threshold)))
                 c1, c2, n, nodes = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "c1", "c2", "n", "nodes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "t", "c1", "c2", "n", "nodes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, c1 long, c2 long, n long, nodes array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, t long, c1 long, c2 long, n long, nodes array<long>")
 
 
 def _content(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, s: its shingles as bytes) of wanted's classes."""
+    """(class, s: its shingles as bytes) of wanted's classes, each once: from the text that names the class."""
 
     def run(batches):
         for batch in batches:
-            data = texts(batch, "t")
+            data = texts(batch, "text")
             for a, b in slices([len(x) for x in data]):
-                s = [shingles(x, WIDTH) for x in data[a:b]]
-                with np.errstate(over="ignore"):
-                    c1 = [int(x.sum().astype(np.int64)) for x in s]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(c1, pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["rep", "c", "c1", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingles(x, WIDTH).tobytes() for x in data[a:b]], pa.binary())], names=["class", "s"])
 
-    wanted = stored(wanted.select("rep", F.col("c1").alias("c")), "wanted")
-    rows = with_membership(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")), wanted, ["rep"])
-    here = rows.filter("__maybe").join(wanted.hint("merge"), "rep")  # a list that grows with the input isn't broadcast
-    return here.select("rep", "c", "t").mapInArrow(run, "rep long, c long, c1 long, s binary").filter("c = c1").select("rep", "s")
+    wanted = stored(wanted.select("name.id", "name.t", "class"), "wanted")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    once = with_membership(rows, wanted, ["id", "t"], "maybe").filter("maybe").groupBy("id", "t").agg(F.min("text").alias("text"))
+    here = once.join(wanted.hint("merge"), ["id", "t"])  # a list that grows with the input isn't broadcast
+    return here.select("class", "text").mapInArrow(run, "class long, s binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, group: int = GROUP, cells: int = CELLS, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, class_id (the smallest id with the same set), n_links (other rows linked directly) and component_id (the smallest id that links reach)."""
+    """One row per row of docs: id, text_hash (xxhash64 of its text), class_id (the smallest id with the same set), n_links (other rows linked directly), component_id (the smallest id that links reach) and first (whether the row is the component's first, by id and hash; equal rows are so together)."""
     docs = small_batches(docs)
     runs = runs_needed(recall, depth)
     if runs >= 1 << RUN_BITS:
         raise ValueError("too many runs")
     all_sets = stored(_sets(docs, id_col, text_col, runs, threshold), "sets")
-    classes = all_sets.filter("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
-    classes = stored(classes, "classes")
-    members = classes.select("rep", "n", F.explode("nodes").alias("node"))
-    sizes = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).cast("string").alias("who")).filter("k > 1")
+    known = all_sets.filter("n > 0 AND id IS NOT NULL")
+    # numbered as they are written: the numbers are read again with the rows
+    classes = stored(known.groupBy("c1", "c2").agg(F.min(F.struct("id", "t")).alias("name"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("nodes").alias("nodes")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = classes.select("class", "n", F.explode("nodes").alias("node"))
+    sizes = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).cast("string").alias("who")).filter("k > 1")
     small = (F.col("k") <= group) & (F.col("cells") <= cells)
     sizes = stored(sizes, "buckets")
     only = sizes.filter(small).groupBy("who", "k").agg(F.min("node").alias("node"), F.first("cells").alias("cells"))
-    kept = [members.join(only, "node").select("rep", "node", "k", "cells")]
-    large = stored(members.join(sizes.filter(~small).select("node"), "node").select("rep", "node"), "large")
-    wanted = classes.join(kept[0].select("rep").unionByName(large.select("rep")).distinct(), "rep", "left_semi")
+    kept = [members.join(only, "node").select("class", "node", "k", "cells")]
+    large = stored(members.join(sizes.filter(~small).select("node"), "node").select("class", "node"), "large")
+    wanted = classes.join(kept[0].select("class").unionByName(large.select("class")).distinct(), "class", "left_semi")
     content = stored(_content(docs, wanted, id_col, text_col), "shingles")
-    sized = lambda rows, *more: rows.join(content.select("rep", (F.octet_length("s") / 8).cast("long").alias("n")), "rep").groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), *more).filter("k > 1")
+    sized = lambda rows, *more: rows.join(content.select("class", (F.octet_length("s") / 8).cast("long").alias("n")), "class").groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), *more).filter("k > 1")
 
     def split(batches):
         for batch in batches:
-            rep, node, parent = [], [], []
+            numbers, node, parent = [], [], []
             for r, x, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = next_paths(np.frombuffer(s, np.uint64), x, threshold)
-                rep += [r] * len(found)
+                numbers += [r] * len(found)
                 node += found.tolist()
                 parent += [x] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(node, pa.int64()), pa.array(parent, pa.int64())], names=["rep", "node", "parent"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(node, pa.int64()), pa.array(parent, pa.int64())], names=["class", "node", "parent"])
 
     for _ in range(depth):
         if large.isEmpty():
             break
-        below = stored(large.join(content, "rep").select("rep", "node", "s").mapInArrow(split, "rep long, node long, parent long"), "below")
+        below = stored(large.join(content, "class").select("class", "node", "s").mapInArrow(split, "class long, node long, parent long"), "below")
         counts = stored(sized(below, F.first("parent").alias("parent")), "buckets")
         pairs = counts.groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("pairs")).withColumnRenamed("parent", "node")
         whole = stored(sized(large).join(pairs, "node", "left").withColumn("apart", F.coalesce("pairs", F.lit(0)) < F.col("k") * F.col("k")), "whole")
-        kept.append(large.join(whole.filter("NOT apart"), "node").select("rep", "node", "k", "cells"))
+        kept.append(large.join(whole.filter("NOT apart"), "node").select("class", "node", "k", "cells"))
         counts = counts.join(whole.filter("apart").select(F.col("node").alias("parent")), "parent", "left_semi")
-        kept.append(below.join(counts.filter(small).select("node", "k", "cells"), "node").select("rep", "node", "k", "cells"))
-        large = stored(below.join(counts.filter(~small).select("node"), "node").select("rep", "node"), "large")
+        kept.append(below.join(counts.filter(small).select("node", "k", "cells"), "node").select("class", "node", "k", "cells"))
+        large = stored(below.join(counts.filter(~small).select("node"), "node").select("class", "node"), "large")
     if not large.isEmpty():
-        kept.append(large.join(sized(large), "node").select("rep", "node", "k", "cells"))
+        kept.append(large.join(sized(large), "node").select("class", "node", "k", "cells"))
     placed = kept[0]
     for more in kept[1:]:
         placed = placed.unionByName(more)
-    placed = stored(placed.dropDuplicates(["rep", "node"]), "placed")
+    placed = stored(placed.dropDuplicates(["class", "node"]), "placed")
     found = _compared(placed, classes, content, threshold, group, cells)
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    by_class = classes.join(sums, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("c1", "c2", "rep", "mult", "links", "component")
-    known = F.col("rep").isNotNull() & F.col("id").isNotNull()
-    of = lambda c, other: F.when(known, c).otherwise(other)
-    return all_sets.join(by_class, ["c1", "c2"], "left").select(F.col("id").alias(id_col), of(F.col("rep"), F.col("id")).alias("class_id"), of(F.col("mult") - 1 + F.coalesce("links", F.lit(0)), F.lit(0).cast("long")).alias("n_links"), of(F.coalesce("component", "rep"), F.col("id")).alias("component_id"))
+    sums = found.groupBy("class").agg(F.sum("links").alias("links"))
+    joined = smallest_names(found.select(F.col("class").alias("u"), F.col("root").alias("v")), classes.select(F.col("class").alias("node"), "name")).withColumnRenamed("node", "class")
+    by_class = classes.join(sums, "class", "left").join(joined, "class", "left").select("c1", "c2", "name", F.coalesce("least", "name").alias("least"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    linked = split_join(known.select("id", "t", "c1", "c2"), by_class, ["c1", "c2"], classes.select("c1", "c2", F.col("mult").alias("n")), known.count())
+    linked = linked.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("name.id").alias("class_id"), F.col("links").alias("n_links"), F.col("least.id").alias("component_id"), ((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t"))).alias("first"))
+    alone = all_sets.filter("n = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    return linked.unionByName(alone)
 
 
 def _compared(placed: DataFrame, classes: DataFrame, content: DataFrame, threshold: float, group: int, cells: int) -> DataFrame:
-    """(rep, links, root) of the members that link, from every bucket or pair of blocks."""
+    """(class, links, root) of the members that link, from every bucket or pair of blocks."""
     blocks = F.greatest(F.ceil(F.col("k") / group), F.ceil(F.col("cells") / cells)).cast("int")
-    own = placed.groupBy("rep").agg(F.collect_set("node").alias("nodes"))  # a few for each run
-    dealt = placed.select("rep", "node", blocks.alias("b")).withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("b")).cast("int"))
+    own = placed.groupBy("class").agg(F.collect_set("node").alias("nodes"))  # a few for each run
+    dealt = placed.select("class", "node", blocks.alias("b")).withColumn("mine", F.pmod(F.xxhash64("class", F.lit(3)), F.col("b")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
-    dealt = dealt.select("rep", "node", "mine", "b", other.alias("o")).select("rep", "node", "b", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
-    rows = dealt.join(classes.select("rep", "mult"), "rep").join(own, "rep").join(content, "rep")
+    dealt = dealt.select("class", "node", "mine", "b", other.alias("o")).select("class", "node", "b", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
+    rows = dealt.join(classes.select("class", "mult"), "class").join(own, "class").join(content, "class")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep")
-        rep, mult = rows["rep"].to_numpy(), rows["mult"].to_numpy(np.float64)
+        rows = rows.sort_values("class")
+        number, mult = rows["class"].to_numpy(), rows["mult"].to_numpy(np.float64)
         sets = [np.frombuffer(x, np.uint64) for x in rows["s"]]
         nodes = [np.asarray(x, np.int64) for x in rows["nodes"]]
         half = rows["mine"].to_numpy() if rows["i"].iat[0] != rows["j"].iat[0] else None
         linked, counted = compare(sets, nodes, int(rows["node"].iat[0]), half, threshold)
         some = linked.any(axis=1)
-        return pd.DataFrame({"rep": rep[some], "links": (counted[some] @ mult).astype(np.int64), "root": roots(linked, rep)[some]})
+        return pd.DataFrame({"class": number[some], "links": (counted[some] @ mult).astype(np.int64), "root": roots(linked, number)[some]})
 
-    return stored(rows.groupBy("node", "i", "j").applyInPandas(run, "rep long, links long, root long"), "found")
+    return stored(rows.groupBy("node", "i", "j").applyInPandas(run, "class long, links long, root long"), "found")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
