@@ -3,20 +3,26 @@
 A text is cut into lines: at newlines and, where sentences is set, after sentence ends too, and sentences of more than
 LONG words before the word that hashes lowest (the last of equal ones) of each REACH consecutive words of the sentence. So
 a sentence is cut by its own words only, no REACH words are without a cut, and of a passage in it at most LONG words at
-either end are cut otherwise than elsewhere: of any passage of more than 2 x LONG + MIN_WORDS = 50 words that occurs earlier, MIN_WORDS or
-more words go, wherever it begins (unless REACH of its words in a row are one), and so does every repeated line of MIN_WORDS words, whatever its neighbours. Every window of `window` consecutive lines selects its smallest hash (the last of equal ones) as a
-fingerprint, so equal runs of that many lines select equal fingerprints. Fingerprints that occur once drop out. The windows
-that selected one of the others are compared by the hash of all their lines, and a window that occurs earlier (by id, then
-line) marks its lines: marks of neighbouring windows extend a match both ways. Marked lines that touch are one run; runs of
-at least min_words words are deleted, all others stay.
-
-Only hashes and positions are shuffled until the last join, which brings the marks to their texts; texts of documents that
-a map of bits shows to have none pass by it, and where the map is full all texts are shuffled. Counts and first places
-are aggregated before they are shuffled, so common lines don't meet in one task.
-
-Null texts stay null and empty ones empty. Lines are compared without ASCII case and outer white space. Rows that agree in
-id and text are one document and treated alike; rows that agree in id only are told apart by their texts' hash, by which
-ties are broken; null ids come first. Extra columns stay as they are.
+either end are cut otherwise than elsewhere: of any passage of more than 2 x LONG + MIN_WORDS = 50 words that occurs earlier,
+MIN_WORDS or more words go, wherever it begins (unless REACH of its words in a row are one).
+
+A window is a shortest run of lines of at least min_words words: from a line on, or up to one. Every window selects its
+smallest line hash (the last of equal ones) as a fingerprint, so equal windows select equal fingerprints at equal places.
+Fingerprints that occur once drop out. The places of the others are joined: the windows that selected them are named by the
+hash of all their lines, and a window is matched with the place where it occurs first (by id, then line). Matches of one
+earlier document at one distance are one run, which so extends both ways along the pair. A run of lines is deleted exactly if
+it has min_words words or more and occurs, as a whole, earlier: each of its lines lies in a window within it, and each
+window within it occurs where it does; and no window is deleted that doesn't itself occur in one earlier place. So nothing is
+stitched together from several documents, and a single line of min_words words is enough.
+
+Only hashes and positions are shuffled until the last join, which brings the matches to their texts; texts of documents that
+a map of bits shows to have none pass by it. Counts and first places are aggregated before they are shuffled, so common lines
+don't meet in one task.
+
+Null texts stay null and empty ones empty. Lines are compared without ASCII case and outer white space; lines without words
+belong to the next one. Rows that agree in id and text are one document and treated alike; rows that agree in id only are told
+apart by their texts' hash, by which ties are broken; null ids come first. Ids are integers or else compared as strings. Extra
+columns stay as they are, but for those that are called like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,18 +30,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinship.llm.common import hashed_ranges, mixed, small_batches, stored, with_membership
+from kinship.llm.common import hashed_ranges, mixed, powers, small_batches, stored, unused, with_membership, without
 
-#: Lines of a window, and words of the shortest run that is deleted.
-WINDOW, MIN_WORDS = 2, 20
+#: Words of the shortest run that is deleted.
+MIN_WORDS = 20
 #: Words of which one is cut before, and of the longest sentence that isn't cut: a passage's first word, the REACH - 1 words whose
 #: cuts depend on what is before it, and REACH - 1 words without a cut.
 REACH = 8
 LONG = 2 * REACH - 1
-_ID, _KEY, _MARKS = "__line_id", "__line_key", "__line_marks"
+#: Stands for a null id: before all others.
+NO_ID = -(2**63)
+#: What the operator adds.
+OUTPUTS = ("n_removed", "words_removed", "runs")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: White space and sentences' ends among bytes.
 _KIND = np.array([1 if b in b" \t\n\v\f\r" else 2 if b in b".!?" else 0 for b in range(256)], np.uint8)
@@ -70,14 +80,22 @@ def _cut(text: bytes, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return np.array([len(a)] if len(a) else [], np.int64), begin, end
     after = np.append(begin[1:], len(a))  # where the space after a word ends
     newline = np.flatnonzero((a[:-1] == 10) & (a[1:] != 10)) + 1
-    if not sentences:
-        return np.append(newline, len(a)), begin, end
-    stop = after[(_KIND[a[end - 1]] == 2) & (after - end == 1) & (after < len(a))]
     marks = np.zeros(len(a) + 1, bool)
-    marks[newline], marks[stop], marks[len(a)] = True, True, True
+    marks[newline], marks[len(a)] = True, True
+    if sentences:
+        marks[after[(_KIND[a[end - 1]] == 2) & (after - end == 1) & (after < len(a))]] = True
     ends = np.flatnonzero(marks)
-    first = np.searchsorted(begin, np.append(0, ends[:-1]))
-    count = np.diff(np.append(first, len(begin)))
+    words = np.searchsorted(begin, ends)  # before each end
+    if words[-1] and (keep := np.diff(np.append(0, words)) > 0).sum() < len(ends):  # lines without words belong to the next one, or the last
+        marks[ends[~keep]] = False
+        if not keep[-1]:
+            marks[ends[np.flatnonzero(keep)[-1]]] = False
+            marks[len(a)] = True
+        ends = np.flatnonzero(marks)
+        words = np.searchsorted(begin, ends)
+    if not sentences:
+        return ends, begin, end
+    count = np.diff(np.append(0, words))
     if (count > LONG).any():
         group = np.repeat(np.arange(len(count)), count)
         place = np.flatnonzero((count > LONG)[group])
@@ -100,62 +118,89 @@ def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
     return _cut(text, sentences)[0]
 
 
-def line_hashes(text: bytes, sentences: bool = True) -> np.ndarray:
-    """The hash of each line."""
+def line_hashes(text: bytes, sentences: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each line, and its words."""
     ends, begin, end = _cut(text, sentences)
     if not len(begin):
-        return np.zeros(len(ends), np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.searchsorted(begin, np.append(0, ends))
-    first, last = at[:-1], at[1:]
-    start = begin[np.minimum(first, len(begin) - 1)]
-    return hashed_ranges(text.translate(_LOWER), start, np.where(last > first, end[last - 1], start))
+    return hashed_ranges(text.translate(_LOWER), begin[at[:-1]], end[at[1:] - 1]), np.diff(at)
+
+
+def windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last line) of each shortest run of lines of at least min_words words that begins or that ends with a line, in order. Every line has a word at least."""
+    n, before = len(words), np.append(0, np.cumsum(words))
+    first = np.searchsorted(before, before[-1] - min_words, "right")  # lines after which there are words enough
+    last = np.searchsorted(before, min_words)  # the first line up to which there are
+    ahead = np.searchsorted(before, before[:first] + min_words) - 1
+    back = np.searchsorted(before, before[last:] - min_words, "right") - 1
+    both = np.unique(np.concatenate((np.arange(first) * n + ahead, back * n + np.arange(last - 1, n))))
+    return both // n, both % n
 
 
-def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+def winnowed(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The place of each window's smallest hash, the last one of equals."""
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    return np.arange(len(views)) + window - 1 - views.argmin(axis=1)
-
-
-def long_runs(starts: np.ndarray, text: bytes, ends: np.ndarray, window: int, min_words: int) -> tuple[np.ndarray, int]:
-    """Which lines go, from the first lines of marked windows, and the words in them."""
-    marked = np.zeros(len(ends) + 2, np.int8)
-    for k in range(window):
-        marked[starts + k + 1] = 1
-    edges = np.flatnonzero(np.diff(marked))
-    gone, words = np.zeros(len(ends), bool), 0
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        n = len(text[ends[a - 1] if a else 0 : ends[b - 1]].split())
-        if n >= min_words:
-            gone[a:b] = True
-            words += n
-    return gone, words
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with what names a document: its id, and, only where ids repeat, its text's hash."""
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    place = np.arange(len(hashes), dtype=np.uint64)
+    low, out = (hashes & ~_LAST) | (_LAST - place), np.zeros(len(first), np.uint64)
+    step, lines = 1, last - first + 1
+    while True:  # low: minima of `step` lines
+        here = (lines >= step) & (lines < 2 * step)
+        out[here] = np.minimum(low[first[here]], low[last[here] - step + 1])
+        if len(low) <= step:
+            return (_LAST - (out & _LAST)).astype(np.int64)
+        low, step = np.minimum(low[:-step], low[step:]), 2 * step
+
+
+def window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of all lines of each window."""
+    power, inverse = powers(len(hashes))
+    with np.errstate(over="ignore"):
+        sums = np.append(np.uint64(0), np.cumsum(hashes * power[: len(hashes)]))
+        return mixed((sums[last + 1] - sums[first]) * inverse[first])
+
+
+def matched_runs(matches: list[tuple], words: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Which lines go, and (first line, lines, words, source) of each matched run, from (first line, last line, source, its first line) of each window that occurs earlier. Windows of one source at one distance that touch are one run."""
+    gone, runs, open_runs = np.zeros(len(words), bool), [], {}
+    for first, last, source, at in sorted(matches, key=lambda m: m[:2]):
+        gone[first : last + 1] = True
+        run = open_runs.get((source, first - at))
+        if run is not None and first <= run[1] + 1:
+            run[1] = max(run[1], last)
+        else:
+            run = open_runs[source, first - at] = [first, last, source]
+            runs.append(run)
+    return gone, [(a, b - a + 1, int(words[a : b + 1].sum()), source) for a, b, source in runs]
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What names a document: its id, not null, and, only where ids repeat, its text's hash."""
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    else:
+        ident = F.concat(F.lit("."), F.coalesce(F.concat(F.lit("."), docs[id_col].cast("string")), F.lit("")))
     unique = docs.select(ident.alias("i")).groupBy("i").count().filter("count > 1").isEmpty()
-    return docs.withColumns({_ID: ident, _KEY: F.lit(0).cast("long") if unique else F.xxhash64(text_col)})
+    return ident, F.lit(0).cast("long") if unique else F.xxhash64(text_col)
 
 
-def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = True, text_col: str = "text") -> DataFrame:
-    """(__line_id, __line_key, __line_marks: the first lines of all windows that occur earlier) of each document that has any, from documents with their names."""
+def matched_windows(texts: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
+    """(id, key, matches: first and last line, source and its first line of all windows that occur earlier) of each document that has any, from (id, key, text)."""
 
     def lists(parts: list[np.ndarray], kind) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
     def lined(batches):
         for batch in batches:
-            rows, hashes, smallest = [], [], []
+            rows, hashes, counts, smallest = [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                h = line_hashes(text, sentences)
-                if len(h) >= window:
+                h, words = line_hashes(text, sentences)
+                if words.sum() >= min_words:
                     rows.append(i)
                     hashes.append(h.view(np.int64))
-                    smallest.append(winnowed(h, window).astype(np.int32))
+                    counts.append(np.minimum(words, min_words))  # more make no difference to the windows
+                    smallest.append(np.unique(winnowed(h, *windows(counts[-1], min_words))))
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(hashes, pa.int64()), lists(smallest, pa.int32())], names=[_ID, _KEY, "h", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(hashes, pa.int64()), lists(counts, pa.int32()), lists(smallest, pa.int32())], names=["id", "key", "h", "c", "p"])
 
     def parts_of(column: pa.Array) -> list[np.ndarray]:
         ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
@@ -163,62 +208,72 @@ def marked_windows(keyed: DataFrame, window: int = WINDOW, sentences: bool = Tru
 
     def near(batches):
         for batch in batches:
-            rows, starts, grams = [], [], []
-            for i, (h, m, at) in enumerate(zip(*map(parts_of, batch.columns[2:]), strict=True)):
+            rows, spots, names = [], [], []
+            for i, (h, words, at) in enumerate(zip(*map(parts_of, batch.columns[2:]), strict=True)):
                 h = h.view(np.uint64)
-                s = np.flatnonzero(np.isin(m, at))
-                g = np.zeros(len(s), np.uint64)
-                for k in range(window):
-                    g = mixed(g * np.uint64(3) + h[s + k])
-                rows.append(np.full(len(s), i))
-                starts.append(s)
-                grams.append(g.view(np.int64))
+                first, last = windows(words, min_words)
+                wanted = np.zeros(len(h), bool)
+                wanted[at] = True
+                some = wanted[winnowed(h, first, last)]
+                first, last = first[some], last[some]
+                rows.append(np.full(len(first), i))
+                spots.append(first * (min_words + 1) + (last - first))
+                names.append(window_hashes(h, first, last).view(np.int64))
             if rows:
                 take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(grams))], names=[_ID, _KEY, "s", "g"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(spots)), pa.array(np.concatenate(names))], names=["id", "key", "w", "g"])
 
-    key = f"{_ID} long, {_KEY} long"
-    lines = stored(keyed.filter(F.col(text_col).isNotNull()).select(_ID, _KEY, text_col).mapInArrow(lined, f"{key}, h array<long>, m array<int>"), "lines")
-    prints = lines.select(_ID, _KEY, F.explode(F.array_distinct("m")).alias("p"), "h").select(_ID, _KEY, "p", F.get("h", "p").alias("f"))
+    key = f"id {texts.schema['id'].dataType.simpleString()}, key long"
+    lines = stored(texts.filter("text IS NOT NULL").select("id", "key", "text").mapInArrow(lined, f"{key}, h array<long>, c array<int>, p array<int>"), "lines")
+    prints = lines.select("id", "key", F.explode("p").alias("p"), "h").select("id", "key", "p", F.get("h", "p").alias("f"))
     # tables of their own, so that both sides of a join are shuffled for it, and a common fingerprint's or window's rows can be split
     common = stored(prints.groupBy("f").count().filter("count > 1").select("f"), "common")
-    places = prints.join(common, "f", "left_semi").groupBy(_ID, _KEY).agg(F.collect_set("p").alias("at"))
-    windows = stored(lines.join(places, [_ID, _KEY]).mapInArrow(near, f"{key}, s int, g long"), "windows")
-    first = stored(windows.groupBy("g").agg(F.min(F.struct(_ID, _KEY, "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first"), "first")
-    later = windows.join(first, "g").filter(F.struct(_ID, _KEY, "s") > F.col("first"))
-    return later.groupBy(_ID, _KEY).agg(F.collect_set("s").alias(_MARKS))
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated lines deleted from the texts, and n_removed and words_removed, of lines and words."""
-    docs = small_batches(docs)
-    keyed = _keyed(docs, id_col, text_col)
-    marks = stored(marked_windows(keyed, window, sentences, text_col), "marks")
-    shown = with_membership(keyed, marks, [_ID, _KEY])
-    some, none = shown.filter("__maybe"), shown.filter("NOT __maybe")
-    both = some.join(marks, [_ID, _KEY], "left").select(*(docs[c] for c in docs.columns), _MARKS)
+    places = prints.join(common, "f", "left_semi").groupBy("id", "key").agg(F.collect_set("p").alias("at"))
+    found = stored(lines.select("id", "key", "h", "c").join(places, ["id", "key"]).mapInArrow(near, f"{key}, w long, g long"), "windows")
+    first = stored(found.groupBy("g").agg(F.min(F.struct("id", "key", "w")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first"), "first")
+    later = found.join(first, "g").filter(F.struct("id", "key", "w") > F.col("first"))
+    line = lambda w: F.floor(w / (min_words + 1)).cast("int")
+    match = F.struct(line(F.col("w")).alias("a"), (line(F.col("w")) + F.col("w") % (min_words + 1)).cast("int").alias("b"), F.col("first.id").alias("source"), line(F.col("first.w")).alias("at"))
+    return later.groupBy("id", "key").agg(F.collect_set(match).alias("matches"))
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated lines deleted from the texts, n_removed and words_removed, of lines and words, and runs: the first line, lines, words and source (the id of the earlier document) of each match."""
+    docs = small_batches(without(docs, *OUTPUTS))
+    ident, text_hash = _named(docs, id_col, text_col)
+    matches = stored(matched_windows(docs.select(ident.alias("id"), text_hash.alias("key"), F.col(text_col).alias("text")), min_words, sentences), "matches")
+    own = {n: unused(f"__{n}", docs) for n in ("id", "key", "matches", "maybe")}
+    matches = matches.select(*(F.col(n).alias(own[n]) for n in ("id", "key", "matches")))
+    shown = with_membership(docs.withColumns({own["id"]: ident, own["key"]: text_hash}), matches, [own["id"], own["key"]], own["maybe"])
+    some, none = shown.filter(F.col(own["maybe"])), shown.filter(~F.col(own["maybe"]))
+    both = some.join(matches, [own["id"], own["key"]], "left").select(*docs.columns, own["matches"])
+    fields, integral = [*docs.columns], isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    at = fields.index(text_col)
+    run_type = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("words", pa.int64()), ("source", pa.int64() if integral else pa.string())]))
 
     def cut(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            marks = batch.column(len(docs_columns))
-            changed = pc.is_valid(marks)
-            texts, lines, words = [], np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            matches = batch.column(len(fields))
+            changed = pc.is_valid(matches)
+            texts, lines, words, runs = [], np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))]
             for i in np.flatnonzero(changed.to_numpy(zero_copy_only=False)):
                 text = batch.column(at)[i].as_py().encode()
-                ends = line_ends(text, sentences)
-                gone, words[i] = long_runs(np.array(marks[i].as_py()), text, ends, window, min_words)
-                lines[i] = gone.sum()
+                ends, begin, _ = _cut(text, sentences)
                 edges = np.append(0, ends)
+                count = np.diff(np.searchsorted(begin, edges))
+                gone, found = matched_runs([tuple(m.values()) for m in matches[i].as_py()], count)
+                lines[i], words[i] = gone.sum(), count[gone].sum()
+                for a, n, k, source in found:
+                    runs[i].append({"line": a, "lines": n, "words": k, "source": (source if source != NO_ID else None) if integral else source[2:] if len(source) > 1 else None})
                 texts.append(b"".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)).decode())
             columns = batch.columns[:-1]
             columns[at] = pc.replace_with_mask(columns[at], changed, pa.array(texts, columns[at].type))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(words)], names=[*docs_columns, "n_removed", "words_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(words), pa.array(runs, run_type)], names=[*fields, *OUTPUTS])
 
-    docs_columns = docs.columns
+    run_schema = f"array<struct<line:int,lines:int,words:bigint,source:{'bigint' if integral else 'string'}>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     zero = F.lit(0).cast("long")
-    return both.mapInArrow(cut, f"{schema}, n_removed long, words_removed long").union(none.select(*(docs[c] for c in docs.columns), zero.alias("n_removed"), zero.alias("words_removed")))
+    return both.mapInArrow(cut, f"{schema}, n_removed long, words_removed long, runs {run_schema}").union(none.select(*fields, zero.alias("n_removed"), zero.alias("words_removed"), F.array().cast(run_schema).alias("runs")))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

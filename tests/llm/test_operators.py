@@ -134,38 +134,85 @@ def test_sentences_are_numbered_like_their_spans():
     assert len(toxicity.spans(text)) == n
 
 
-def test_embeddings_match_brute_force(spark):
+def brute_embeddings(rows, threshold=covertree.THRESHOLD):
+    """(links, component) of each (id, vector, label), vectors being fine or None; equal ids are told apart by their place."""
+    n = len(rows)
+    unit = [None if v is None else np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) for _, v, _ in rows]
+    linked = np.array([[i != j and a is not None and b is not None and len(a) == len(b) and rows[i][2] == rows[j][2] and float(a @ b) >= threshold for j, b in enumerate(unit)] for i, a in enumerate(unit)])
+    root = [None] * n
+    for i in range(n):
+        if root[i] is None:
+            reach, todo = {i}, [i]
+            while todo:
+                new = set(np.flatnonzero(linked[todo.pop()]).tolist()) - reach
+                reach |= new
+                todo += new
+            for j in reach:
+                root[j] = min(rows[k][0] for k in reach)
+    return linked.sum(axis=1), root
+
+
+@pytest.mark.parametrize("chunk", [40, 4096])
+def test_embeddings_match_brute_force(spark, chunk):
     r = np.random.default_rng(8)
     centres = r.standard_normal((12, 16))
     x = np.repeat(centres, 25, axis=0) + r.standard_normal((300, 16)) * r.choice([0.05, 0.2, 0.3], (300, 1))
     x[10:14] = x[9]
     rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x.astype(np.float32))]
-    bad = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, rows[0][1], None), (1004, [None] * 16, 1), (1005, [], 1), (1006, [1.0], 1)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int")
-    got = {g.vec_id: g for g in covertree.near_duplicates(df, chunk=40).collect()}
-    v = np.array([x for _, x, _ in rows], np.float64)
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    label = np.arange(300) % 3
-    linked = (v @ v.T >= covertree.THRESHOLD) & (label[:, None] == label[None])
-    np.fill_diagonal(linked, False)
-    root = np.arange(300)
-    for _ in range(300):
-        root = np.minimum(root, np.where(linked, root[None], 999).min(axis=1))
-    assert linked.sum() > 1000
-    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (linked[i].sum(), root[i], root[i] == i) for i in range(300))
-    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, _, _ in bad)
+    rows += [(int(i), (2 * x[i]).astype(np.float32).tolist(), int(i % 3)) for i in range(0, 40, 3)]  # ids that repeat, of one direction
+    rows += [(5, x[200].astype(np.float32).tolist(), 2), (5, x[200].astype(np.float32).tolist(), 2), (299, [1.0] + [0.0] * 15, 0)]  # of others
+    bad = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, rows[0][1], None), (1004, [None] * 16, 1), (1005, [], 1), (1006, [1.0], 1), (None, rows[0][1], 0)]
+    df = spark.createDataFrame([(*a, "clash", 1.0) for a in rows + bad], "vec_id long, embedding array<float>, label int, class string, v double")
+    got = covertree.near_duplicates(df, chunk=max(64, chunk)).collect()
+    links, root = brute_embeddings(rows)
+    assert links.sum() > 1000
+    want = [(i, int(n), c, c == i) for (i, _, _), n, c in zip(rows, links, root)] + [(i, 0, i, True) for i, _, _ in bad]
+    key = lambda t: (t[0] is None, *map(str, t))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert covertree.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_ids_of_different_vectors_are_apart(spark):
+    rows = [("a", [1.0, 0.0], 1), ("a", [0.0, 1.0], 1), ("b", [1.0, 0.1], 1)]
+    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, "a", True), ("a", 1, "a", True), ("b", 1, "a", False)]
+
+
+def test_chunks_far_apart_are_not_compared(spark):
+    r = np.random.default_rng(3)
+    x = covertree.unit(np.repeat(r.standard_normal((40, 32)), 60, axis=0) + 0.08 * r.standard_normal((2400, 32)))
+    classes = spark.createDataFrame([(i, 1, v.tolist(), 1, 32) for i, v in enumerate(x)], "class long, label int, v array<double>, mult long, dim int")
+    cells = covertree.dealt(classes, 100).cache()
+    assert cells.count() == 2400 and cells.select("class").distinct().count() == 2400
+    sizes = cells.groupBy("cell").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100
+    trees = cells.withColumn("single", F.lit(False)).groupBy(covertree.KEY).applyInPandas(covertree._planted, "label int, dim int, cell string, n long, centre array<double>, radius double, tree binary").cache()
+    pairs = {(p.p, p.q) for p in covertree.chunk_pairs(trees.drop("tree"), 0.93).collect()}
+    n = trees.count()
+    assert n >= 24 and len(pairs) <= 4 * n < n * n / 4  # of n * n / 2
+    cell = {c["class"]: c.cell for c in cells.collect()}
+    near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    assert len(near) > 1000 and all(tuple(sorted((cell[i], cell[j]))) in pairs for i, j in near)
+    found = covertree.near_duplicates(classes.select(F.col("class").alias("vec_id"), F.col("v").alias("embedding"), "label"), chunk=100).agg(F.sum("n_links")).first()[0]
+    assert found == 2 * len(near)
+
+
+def test_one_direction_that_no_centres_divide(spark):
+    df = spark.createDataFrame([(i, [float(i + 1), 2.0 * (i + 1)], 1) for i in range(300)], "vec_id long, embedding array<double>, label int")
+    assert {(g.n_links, g.component_id) for g in covertree.near_duplicates(df, chunk=64).collect()} == {(299, 0)}
+
+
 def test_cover_tree_holds_its_invariants():
     x = covertree.unit(np.random.default_rng(2).standard_normal((500, 5)))
     tree = covertree.Tree(x)
     assert sorted(tree.order) == list(range(500))
-    for node, kids in enumerate(tree.children):
-        a, b = tree.range[node]
-        assert covertree.distances(x[[tree.centre[node]]], x[tree.order[a:b]]).max() <= tree.radius[node] + 1e-12
+    for node, (first, last) in enumerate(tree.kids):
+        (a, b), kids = tree.range[node], range(first, last)
+        assert covertree.distances(x[[tree.centre[node]]], x[tree.order[a:b]]).max() <= tree.radius[node] + covertree.SLACK
         assert sum(tree.range[k][1] - tree.range[k][0] for k in kids) in (0, b - a)
-        assert all(tree.radius[k] <= tree.radius[node] / 2 + 1e-12 for k in kids)
+        assert all(tree.radius[k] <= tree.radius[node] / 2 + 1e-7 for k in kids)
+        d = covertree.distances(x[tree.centre[first:last]], x[tree.centre[first:last]]) + 9 * np.eye(last - first)
+        assert not len(d) or d.min() > tree.radius[node] / 2
 
 
 def test_language_is_learned(spark):
@@ -246,6 +293,36 @@ def test_jaccard_of_repeated_ids_and_none(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark, kind):
+    base, other = prose(1, 60, [f"w{i}" for i in range(300)]), prose(2, 60, [f"u{i}" for i in range(300)])
+    near = base.replace(base.split()[30], "edit", 1)
+    cases = [[(1, base), (1, base), (2, near)], [(1, base), (1, other), (2, near)], [(3, near), (1, other), (1, base), (1, base.upper()), (2, other), (2, None)]]
+    for rows in cases:
+        links, _ = brute_jaccard([t for _, t in rows])
+        reach = [{i} | set(x) for i, x in enumerate(links)]
+        for _ in rows:
+            reach = [set().union(*(reach[j] for j in r)) for r in reach]
+        want = sorted((str(i), len(x), str(min(rows[j][0] for j in r))) for (i, _), x, r in zip(rows, links, reach))
+        docs = make(spark, [t for _, t in rows], ids=[i for i, _ in rows]).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({"class": F.lit(1), "maybe": F.lit("x"), "t": F.lit(2)})
+        got = jaccard.near_duplicates(docs).collect()
+        assert sorted((str(x.doc_id), x.n_links, str(x.component_id)) for x in got) == want
+
+
+def test_production_settings_find_planted_pairs(spark):
+    r = np.random.default_rng(41)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for i in range(60):  # pairs just above the threshold: one text goes on where the other ends, or one word of it differs
+        base = prose(int(r.integers(1 << 30)), 104 + 4 * i % 50, vocabulary).split()
+        n = len(base)
+        texts += [" ".join(base), " ".join(base[: n - (n - 4) // 5])]
+    links, root = brute_jaccard(texts)
+    assert sum(map(len, links)) >= 100
+    rows = {x.doc_id: x for x in jaccard.near_duplicates(make(spark, texts)).collect()}
+    assert all((rows[i].n_links, rows[i].component_id) == (len(links[i]), root[i]) for i in range(len(texts)))
+
+
 def test_packing_covers_every_id_once(spark):
     texts = ODD + [prose(i, int(10 + 13 * i % 700)) for i in range(80)] + [prose(1, 4000), "same words here"] * 3
     path, window = public_tokenizers.path("word_bpe_49k.json"), 256
@@ -306,39 +383,98 @@ def parted(text):
     return [data[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def brute_lines(texts, window=2, min_words=20):
-    seen, out = set(), {}
-    for i, text in texts:
-        parts = parted(text)
-        key = [p.strip().lower() for p in parts]
-        marked = set()
-        for s in range(len(key) - window + 1):
-            k = tuple(key[s : s + window])
-            if k in seen:
-                marked |= set(range(s, s + window))
-            seen.add(k)
-        gone, run = set(), []
-        for p in [*sorted(marked), None]:
-            if run and p != run[-1] + 1 if p is not None else run:
-                gone |= set(run) if len("".join(parts[x] for x in run).split()) >= min_words else set()
-                run = []
-            run.append(p)
-        out[i] = "".join(p for j, p in enumerate(parts) if j not in gone)
+def own_lines(text, reach=8):
+    """The lines of a text by the rules in lines' docstring, word by word."""
+    data = text.encode()
+    places = [m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", data)]
+    if not places:
+        return [text] if text else []
+    cuts = {m.end() for m in re.finditer(rb"\n(?=[^\n])", data)}
+    cuts |= {b for (_, a), (b, _) in zip(places, places[1:]) if b == a + 1 and data[a - 1 : a] in (b".", b"!", b"?")}
+    small = b"   " + bytes(c + 32 if 65 <= c <= 90 else c for c in data) + b" " * 8
+    edges = sorted(cuts | {0, len(data)})
+    for x, y in zip(edges, edges[1:]):
+        inside = [p for p in places if x <= p[0] < y]
+        if len(inside) < 2 * reach:
+            continue
+        keys = []
+        for a, b in inside:
+            value = int.from_bytes(small[a : a + 3 + min(b - a, 5)], "little")
+            keys.append(int(common.mixed(np.array([value], np.uint64))[0]) >> 32)
+        free = [k > 0 and keys[k] != keys[k - 1] for k in range(len(keys))]
+        for k in range(len(keys) - reach + 1):
+            if able := [j for j in range(k, k + reach) if free[j]]:
+                cuts.add(inside[min(able, key=lambda j: (keys[j], -j))][0])
+    edges, out = sorted(cuts - {0, len(data)}), []
+    for x, y in zip([0, *edges], [*edges, len(data)]):
+        piece = data[x:y]
+        if out and not out[-1].strip() or out and not piece.strip() and y == len(data):
+            out[-1] += piece
+        else:
+            out.append(piece)
+    return [x.decode() for x in out]
+
+
+def brute_lines(texts, min_words=20):
+    """What stays of each (id, text) in order: all runs of min_words words or more go that one earlier place has as a whole; found by comparing all places of all pairs of texts."""
+    parts = [own_lines(t) for _, t in texts]
+    keys = [["".join(c.lower() if "A" <= c <= "Z" else c for c in p).strip(" \t\n\v\f\r") for p in x] for x in parts]
+    words = [[len(p.encode().split()) for p in x] for x in parts]
+    where, out = collections.defaultdict(list), {}
+    for d, key in enumerate(keys):
+        for i, k in enumerate(key):
+            where[k].append((d, i))
+    for d, (name, _) in enumerate(texts):
+        gone, done = set(), set()
+        for i, k in enumerate(keys[d]):
+            for e, j in where[k]:
+                if (e, j) >= (d, i) or (e, i - j, i) in done:
+                    continue
+                n = 0
+                while i + n < len(keys[d]) and j + n < len(keys[e]) and keys[d][i + n] == keys[e][j + n]:
+                    done.add((e, i - j, i + n))
+                    n += 1
+                if sum(words[d][i : i + n]) >= min_words:
+                    gone |= set(range(i, i + n))
+        out[name] = "".join(p for j, p in enumerate(parts[d]) if j not in gone)
     return out
 
 
+def test_lines_are_cut_by_the_rules():
+    r = np.random.default_rng(14)
+    for k in range(120):
+        words = prose(k, int(r.integers(0, 160)), [f"w{i}" for i in range(40)] + ["é", "A", "b."]).split()
+        text = "".join(w + str(r.choice([" ", " ", " ", " ", ". ", "\n", "\n\n", "  ", " \n ", "! "])) for w in words)
+        text = str(r.choice(["", "\n \n", " "])) + text
+        assert parted(text) == own_lines(text)
+    assert parted(" \n") == [" \n"] and parted("a\n \n\t\nb\n \n") == ["a\n", " \n\t\nb\n \n"]
+
+
+def test_runs_of_several_documents_are_not_stitched(spark):
+    a, b, c, y, z = (prose(i, 8, [f"{k}{j}" for j in range(99)]) + ". " for i, k in enumerate("abcyz"))
+    texts = [a + b + z, y + b + c, a + b + c, z + a + b + c, y + b + c + a]
+    got = {x.doc_id: x for x in lines.dedup(make(spark, texts)).collect()}
+    assert [got[i].text for i in range(5)] == [a + b + z, y + b + c, a + b + c, z, a]
+    assert [tuple(x) for x in got[3].runs] == [(1, 3, 24, 2)] and [tuple(x) for x in got[4].runs] == [(0, 3, 24, 1)] and got[2].runs == []
+
+
 def test_lines_match_brute_force(spark):
     r = np.random.default_rng(4)
     sentences = [prose(i, int(r.integers(2, 14))) + str(r.choice([". ", ".\n", "! ", "\n\n"])) for i in range(60)]
     texts = []
     for a, n in zip(r.integers(0, 50, 60), r.integers(0, 8, 60)):
         texts.append("".join(sentences[int(j)] for j in [*r.integers(0, 60, 6), *range(a, a + n)]))
-    texts += ["x. " * 50, "", texts[3], "A B c.  \n " * 30]
+    texts += ["x. " * 50, "", texts[3], "A B c.  \n " * 30, prose(99, 25), prose(99, 25).upper(), "q", prose(99, 25) + "\n\n"]
     got = {x.doc_id: x for x in lines.dedup(make(spark, [*texts, None])).collect()}
     want = brute_lines(list(enumerate(texts)))
     assert any(want[i] != t for i, t in enumerate(texts[:60]))
     assert all(got[i].text == want[i] for i in range(len(texts)))
     assert got[len(texts)].text is None and got[0].score == "clash"
+    assert want[texts.index(prose(99, 25).upper())] == ""
+    strings = make(spark, texts).withColumn("doc_id", F.format_string("d%04d", "doc_id")).withColumns({"n_removed": F.lit("clash"), "RUNS": F.lit(1), "__id": F.lit(2), "__maybe": F.lit(3), "matches": F.lit(4)})
+    named = {x.doc_id: x for x in lines.dedup(strings).collect()}
+    assert all(named[f"d{i:04d}"].text == want[i] and named[f"d{i:04d}"]["__maybe"] == 3 for i in range(len(texts)))
+    assert all(x.source.startswith("d0") for r in named.values() for x in r.runs) and sum(len(r.runs) for r in named.values()) > 20
 
 
 def test_lines_are_cut_alike_wherever_a_passage_begins():
@@ -366,9 +502,11 @@ def test_a_passage_inside_other_lines_goes(spark):
 
 def repeated_words(one, two):
     """The words of two that go when one is an earlier document."""
-    pairs = [list(zip(h[:-1], h[1:])) for h in (lines.line_hashes(x.encode()).tolist() for x in (one, two))]
-    starts = np.array([i for i, x in enumerate(pairs[1]) if x in pairs[0]], np.int64)
-    return lines.long_runs(starts, two.encode(), lines.line_ends(two.encode()), lines.WINDOW, lines.MIN_WORDS)[1]
+    (h, words), (before, more) = (lines.line_hashes(x.encode()) for x in (two, one))
+    first, last = lines.windows(words, lines.MIN_WORDS)
+    known = lines.window_hashes(before, *lines.windows(more, lines.MIN_WORDS))
+    some = np.isin(lines.window_hashes(h, first, last), known)
+    return words[lines.matched_runs([(a, b, 0, 0) for a, b in zip(first[some].tolist(), last[some].tolist())], words)[0]].sum()
 
 
 @pytest.mark.parametrize("vocabulary", [[f"w{i}" for i in range(3000)], "the of a and it x to so I".split()])
