@@ -5,7 +5,8 @@ and read again as the next one's docs. All but the last return the columns of do
   language   rows go whose text has no letter, or no likeness to any text that the model was fitted on
   toxicity   rows go that score 0.5 or more
   lines      runs of lines that earlier documents have are cut out; rows go that this leaves without a word
-  near       of each group of near copies the document with the smallest id stays; rows without an id stay
+  near       of each group of near copies the document with the smallest id (then the smallest hash of its text) stays, and of rows
+             that agree in id and text, if that has words, one; rows without an id or without words stay
   packing    what is left, in sequences of at most 2048 tokens: one row per piece
 Null columns are passed on; an empty table stays empty.
 """
@@ -21,7 +22,7 @@ from kinship.llm import common, jaccard, language, lines, packing, toxicity
 
 #: The least kernel value with a landmark; real text of any language that is learned lies far above.
 LEAST_KIN = 0.05
-ROW = "__whole_row"
+ROW, ID, HASH, GONE, MAYBE = "__whole_row", "__row_id", "__row_hash", "__row_gone", "__row_maybe"
 
 
 def _carried(docs: DataFrame, *columns: str) -> DataFrame:
@@ -42,20 +43,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.dedup(_carried(docs, "doc_id", "text")).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cut = lines.dedup(_carried(docs, "doc_id", "text")).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     return cut.select(F.col(ROW).withField("text", F.col("text")).alias(ROW)).select(f"{ROW}.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = common.stored(jaccard.near_duplicates(docs), "near")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    # rows that share an id: of equal texts one stays
-    text = kept.withColumn("__hash", F.xxhash64("text"))
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(text.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "__hash"]).select(docs.columns))
+    """Rows are told apart by id and text, so that rows which only share an id are judged each by its own text."""
+    found = common.stored(jaccard.near_duplicates(docs).filter("doc_id IS NOT NULL"), "near")
+    words = found.filter("first AND n_links > 0")
+    twice = words.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash", F.lit(False).alias(GONE))
+    touched = found.filter("NOT first").select("doc_id", "text_hash", F.lit(True).alias(GONE)).distinct().unionByName(twice)
+    touched = common.stored(touched, "touched")
+    # rows that the others link with, and rows that are alike: only these are shuffled
+    rows = common.with_membership(docs.withColumns({ID: F.col("doc_id"), HASH: F.xxhash64("text")}), touched.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)), [ID, HASH], MAYBE)
+    maybe = F.col(MAYBE) & F.col(ID).isNotNull()
+    named = touched.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH), GONE)
+    some = rows.filter(maybe).join(named, [ID, HASH], "left")
+    once = some.filter(~F.col(GONE)).dropDuplicates([ID, HASH])  # of rows with one id and text any one
+    kept = rows.filter(~maybe).select(docs.columns).unionByName(some.filter(F.col(GONE).isNull()).select(docs.columns))
+    return kept.unionByName(once.select(docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
