@@ -8,7 +8,7 @@ powers of two fill every window without a gap, and the last, partial one is deal
 powers of two, which need no padding. So padding is zero, and only few documents are cut more than the window asks for.
 
 Only numbers travel: each document keeps the checksums of the pieces that a plan may ask for, so texts are tokenised once.
-The histogram that the driver gets has window x SALTS cells, whatever the input.
+The histogram that the driver gets has at most window x SALTS cells, whatever the input.
 
 Null and empty texts are packed as the end id alone. Repeated rows and ids are packed once for each row. An empty table
 gives an empty result; other columns are left out.
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from kinship.llm.byte_bpe import byte_alphabet
 from kinship.llm.common import slices, small_batches, stored
 
-#: Parts of each length's documents that are numbered apart, so that one common length doesn't meet in one task.
-SALTS = 64
+#: Parts of each length's documents that are numbered apart, at least and at most, and documents for which there is one more: so a
+#: common length doesn't meet in one task.
+SALTS, SALTED = (64, 1024), 1 << 20
 #: Words, and chunks between white space, that a worker remembers at most of each.
 CACHE = 250_000
 #: How the vocabulary's file splits normalised text.
@@ -52,7 +53,8 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens are found in texts before they are split, whatever their case.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_alphabet()))
         self.split = regex.compile(pattern).findall
@@ -78,9 +80,16 @@ class WordBpe:
                 ids.append(x)
             known[chunk] = b"".join(ids)
 
+    def _chunks(self, text: str) -> list[str] | None:
+        """What lies between white space; None if the text has to go through the tokenizer as a whole."""
+        if self.odd(text):
+            return None
+        small = text.lower()
+        return None if any(t in small for t in self.added) else small.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers. Texts with rarer scripts go through the tokenizer as a whole."""
-        plain = [None if self.odd(t) else t.lower().split() for t in texts]
+        """The ids of each text as little-endian unsigned 32-bit integers. Texts with rarer scripts or added tokens go through the tokenizer as a whole."""
+        plain = [self._chunks(t) for t in texts]
         chunks = set().union(*(x for x in plain if x))
         if len(self.known) > CACHE:
             self.known.clear()
@@ -226,10 +235,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. The window is a power of two."""
     if window & (window - 1):
         raise ValueError("the window has to be a power of two")
-    rest, salt = (F.col("n") % window).cast("int"), F.pmod(F.xxhash64(id_col, "n", "rest"), F.lit(SALTS)).cast("int")
-    known = stored(lengths(docs, tokenizer_path, window, end_id, id_col, text_col), "lengths").withColumns({"length": rest, "salt": salt})
+    rest = (F.col("n") % window).cast("int")
+    coded = lengths(docs, tokenizer_path, window, end_id, id_col, text_col)
+    # the hash is stored with the rows, as it takes the task into account: so rows that are alike are dealt out, too
+    known = stored(coded.withColumn("hash", F.xxhash64(id_col, "n", "rest", F.monotonically_increasing_id())), "lengths")
+    salts = min(SALTS[1], max(SALTS[0], known.count() // SALTED))
+    known = known.withColumns({"length": rest, "salt": F.pmod("hash", F.lit(salts)).cast("int")})
     cells = known.groupBy("length", "salt").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / window)).alias("f")).toPandas()
-    count, full = np.zeros((window, SALTS), np.int64), np.zeros((window, SALTS), np.int64)
+    count, full = np.zeros((window, salts), np.int64), np.zeros((window, salts), np.int64)
     count[cells["length"], cells["salt"]] = cells["c"]
     full[cells["length"], cells["salt"]] = cells["f"]
     by_length = count.sum(axis=1)
