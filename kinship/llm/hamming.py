@@ -1,17 +1,18 @@
 """Operator 3: exact top-k search over binary codes by incremental multi-index hashing.
 
 A code's bits are cut into m segments, and every segment value points to the codes that have it. Codes that differ in at
-most m r + a - 1 bits differ in at most r bits in one of the first a segments, or in at most r - 1 in one of the others. So
-a query probes all segment values within radius 0, then 1 and so on, in each round only as many segments as it takes to
-cover its k-th distance so far, and is done as soon as that distance is provably covered. Distances are verified where
-the buckets lie: tasks return the k best of each query. Where a round would probe more values than there are codes (or
-MASKS), the queries that are left are compared with all codes, in blocks, which is exact as well.
+most m r + a - 1 bits differ in at most r bits in one of the first a, or in at most r - 1 in one of the others. So
+a query probes all segment values within radius 0, then 1 and so on, segment by segment, until its k-th distance so far is
+provably covered; a step takes as many segments as have MASKS values together, or a part of one segment's. Distances are
+verified where the buckets lie, which meet the queries that probe them in blocks: tasks return the k best of each query.
+Nothing else ends a search, whatever the size: at the last radius every code has been met.
 
 Equal codes are one entry with their smallest k + 1 ids, which is all that ties by id can ask for; so copies don't pile up.
-Buckets are cut into rows of about BUCKET codes, so a common segment value isn't gathered anywhere. Codes are the signs of
-a vector's components, which may have up to 64 of them. Null vectors, and vectors with null or NaN components, neither
-search nor are found. The row that searches is left out of its own result; of rows that repeat an id, the first code by
-value counts. Fewer than k other rows give shorter results. Other columns are left out.
+Buckets are cut into rows of about BUCKET codes, and so are the queries that probe one, so a common segment value isn't
+gathered anywhere. Codes are the signs of a vector's components, which may have up to 64 of them: longer vectors are an error.
+Null vectors, and vectors with null or NaN components, neither search nor are found. The row that searches is left out of
+its own result; of rows that repeat an id, the first code by value counts. Fewer than k other rows give shorter results. Other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,14 +30,15 @@ from kinship.llm.common import stored
 TOP, BITS = 10, 64
 #: Codes that a segment value has on average, and codes of a bucket's row, about.
 SHARED, BUCKET = 32, 4096
-#: Rows of a block of queries that scan all codes, and values that a query probes at most in a round.
-BLOCK, MASKS = 512, 1 << 16
+#: Values that a query probes in a step, at most, and codes times queries of a matrix of distances.
+MASKS, MATRIX = 4096, 1 << 21
 
 
 def sign_code(vector: Column) -> Column:
     """The signs of a vector's components as a number: bit i is set if component i is positive. Null if one is null or NaN."""
     bits = F.aggregate(F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)) | (F.size(vector) > BITS), None).otherwise(bits)
+    long = F.raise_error(F.format_string("a code has %d bits at most, and a vector %d components", F.lit(BITS), F.size(vector)))
+    return F.when(F.size(vector) > BITS, long.cast("long")).when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), None).otherwise(bits)
 
 
 def _segments(bits: int, n: int) -> list[tuple[int, int]]:
@@ -68,42 +69,65 @@ def _buckets(index: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
 
 
 def _verified(k: int):
-    """Of batches (q, qc, codes, firsts), the k best codes of each query that a task has seen."""
+    """Of batches (queries, their codes, codes, firsts), the k best codes of each query that a task has seen."""
 
-    def nearest(q: int, lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def nearest(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         code, first, d = (np.concatenate(x) for x in zip(*lists, strict=True))
         order = np.lexsort((code, first, d))
         _, at = np.unique(code[order], return_index=True)
         top = order[np.sort(at)[:k]]
-        return q, code[top], first[top], d[top]
+        return code[top], first[top], d[top]
 
     def out(best):
         if not best:
             return
-        q, code, first, d = zip(*(nearest(q, x) for q, x in best.items()), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q), [len(x) for x in code])), *(pa.array(np.concatenate(x)) for x in (code, first)), pa.array(np.concatenate(d), pa.int32())], names=["q", "code", "first", "d"])
+        code, first, d = zip(*map(nearest, best.values()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best)), [len(x) for x in code])), *(pa.array(np.concatenate(x)) for x in (code, first)), pa.array(np.concatenate(d), pa.int32())], names=["q", "code", "first", "d"])
+
+    def parts(column: pa.Array) -> list[np.ndarray]:
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def run(batches):
         best: dict[int, list] = {}
         for batch in batches:
-            codes, firsts = batch.column(2), batch.column(3)
-            ends = codes.offsets.to_numpy()
-            code, first = codes.values.to_numpy(), firsts.values.to_numpy()
-            for q, x, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(), ends[:-1], ends[1:], strict=True):
-                found = (code[a:b], first[a:b], np.bitwise_count((code[a:b] ^ x).view(np.uint64)).astype(np.int32))
-                mine = best.setdefault(q, [])
-                mine.append(found)
-                if len(mine) > 64:
-                    best[q] = [nearest(q, mine)[1:]]
-            if len(best) > 4096:
-                yield from out(best)
-                best = {}
+            for qs, asked, code, first in zip(*map(parts, batch.columns), strict=True):
+                order = np.lexsort((code, first))  # ties go to smaller ids
+                code, first = code[order], first[order]
+                for a in range(0, len(qs), max(1, MATRIX // len(code))):
+                    some = slice(a, a + max(1, MATRIX // len(code)))
+                    d = np.bitwise_count((asked[some, None] ^ code[None]).view(np.uint64)).astype(np.int32)
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    for q, at, near in zip(qs[some].tolist(), top, np.take_along_axis(d, top, axis=1), strict=True):
+                        mine = best.setdefault(q, [])
+                        mine.append((code[at], first[at], near))
+                        if len(mine) > 64:
+                            best[q] = [nearest(mine)]
+                if len(best) > 4096:
+                    yield from out(best)
+                    best = {}
         yield from out(best)
 
     return run
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, id_col: str = "id", code_col: str = "code") -> DataFrame:
+def _steps(parts: list[tuple[int, int]], radius: int, most: int):
+    """(masks of segments, segments that are done by then) of each step of a round."""
+    masks: list[tuple[int, int]] = []
+    for s, (_, bits) in enumerate(parts):
+        if masks and len(masks) + math.comb(bits, radius) > most:
+            yield masks, s
+            masks = []
+        for flipped in itertools.combinations(range(bits), radius):
+            if len(masks) == most:
+                yield masks, s
+                masks = []
+            masks.append((s, sum(1 << i for i in flipped)))
+    if masks:
+        yield masks, len(parts)
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, most: int = MASKS, id_col: str = "id", code_col: str = "code") -> DataFrame:
     """(query_id, rank, id, distance) of the k codes nearest to each query but itself; ties go to smaller ids."""
     clean = lambda df: df.filter(F.col(id_col).isNotNull() & F.col(code_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(code_col).alias("code"))
     rows = clean(codes)
@@ -112,29 +136,24 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS,
     few = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256))).withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
     index = stored(few.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("first", F.col("ids")[0]), "codes")
     asked = stored(clean(queries).groupBy("code").agg(F.min("id").alias("q")), "asked")  # equal queries search once
-    n = index.count()
+    n, blocks = index.count(), 1 + asked.count() // BUCKET
     parts = _segments(bits, n)
     m = len(parts)
     buckets = stored(_buckets(index, parts), "buckets")
     keep = k + 1  # one entry may hold nothing but the query
-    best, active = None, asked.select("q", F.col("code").alias("qc"), F.lit(m).alias("need"))
-    for radius in range(max(b for _, b in parts) + 1):
-        masks = [(s, sum(1 << i for i in c)) for s, (_, b) in enumerate(parts) for c in itertools.combinations(range(b), radius)]
-        if len(masks) > max(64, min(n, MASKS)):
-            scanned = _best(_scanned(active, index, keep), keep)
-            best = scanned if best is None else best.join(active.select("q"), "q", "left_anti").unionByName(scanned)
-            break
-        table = codes.sparkSession.createDataFrame(masks, "s int, mask long")  # at most MASKS rows
-        value = F.lit(None).cast("long")
-        for s, p in enumerate(parts):
-            value = F.when(F.col("s") == s, _part(F.col("qc"), *p)).otherwise(value)
-        probes = active.join(F.broadcast(table), F.col("s") < F.col("need")).select("q", "qc", "s", value.bitwiseXOR(F.col("mask")).alias("v"))
-        met = probes.join(buckets, ["s", "v"]).select("q", "qc", "codes", "firsts").mapInArrow(_verified(keep), "q long, code long, first long, d int")
+    best, active = None, asked.select("q", F.col("code").alias("qc"))
+    value = F.lit(None).cast("long")
+    for s, p in enumerate(parts):
+        value = F.when(F.col("s") == s, _part(F.col("qc"), *p)).otherwise(value)
+    for masks, covered in ((x, m * radius + done - 1) for radius in range(max(b for _, b in parts) + 1) for x, done in _steps(parts, radius, most)):
+        table = codes.sparkSession.createDataFrame(masks, "s int, mask long")  # at most `most` rows
+        probes = active.join(F.broadcast(table)).select("q", "qc", "s", value.bitwiseXOR(F.col("mask")).alias("v"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"))
+        asking = probes.groupBy("s", "v", "b").agg(F.collect_list(F.struct("q", "qc")).alias("x")).select("s", "v", F.col("x.q").alias("q"), F.col("x.qc").alias("qc"))
+        met = asking.join(buckets, ["s", "v"]).select("q", "qc", "codes", "firsts").mapInArrow(_verified(keep), "q long, code long, first long, d int")
         best = stored(_best(met if best is None else best.unionByName(met), keep), "best")
+        # a query is done when its last distance is covered, as soon as it has as many as it wants, or all there are
         worst = best.groupBy("q").agg(F.count("*").alias("c"), F.max("d").alias("w")).filter(F.col("c") >= min(keep, n)).select("q", "w")
-        # segments that the next round has to probe: all, until k are found
-        need = F.when(F.col("w").isNull(), m).otherwise(F.least(F.lit(m), F.col("w") - m * (radius + 1) + 1))
-        active = stored(active.select("q", "qc").join(worst, "q", "left").select("q", "qc", need.cast("int").alias("need")).filter("need > 0"), "active")
+        active = stored(active.join(worst, "q", "left").filter(F.col("w").isNull() | (F.col("w") > covered)).select("q", "qc"), "active")
         if active.isEmpty():
             break
     by_rank = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -142,28 +161,6 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS,
     return best.join(same, "q").join(index.select("code", "ids"), "code").select("query_id", F.explode("ids").alias("id"), F.col("d").alias("distance")).filter("id <> query_id").withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _scanned(active: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k nearest codes of each query among all, found in blocks: every part of the codes meets every block of queries."""
-    parts, total = 64, active.count()
-    blocks = max(1, math.ceil(total / BLOCK))
-    left = active.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "q", "qc")
-    right = index.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("p"), "code", "first")
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            code, first = b["code"].to_numpy(), b["first"].to_numpy()
-            order = np.lexsort((code, first))
-            code, first = code[order], first[order]
-            for q, x in zip(a["q"].to_numpy(), a["qc"].to_numpy(), strict=True):
-                d = np.bitwise_count((code ^ x).view(np.uint64)).astype(np.int32)
-                top = np.argsort(d, kind="stable")[:k]
-                out.append(pd.DataFrame({"q": q, "code": code[top], "first": first[top], "d": d[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "code": [], "first": [], "d": []})
-
-    return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(near, "q long, code long, first long, d int").join(active.select("q"), "q", "left_semi")
-
-
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors whose sign codes are nearest to each vector with an id divisible by 100."""
     codes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
