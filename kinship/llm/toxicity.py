@@ -4,11 +4,13 @@ A document is a bag of sentences. A sentence's chance is the logistic function o
 document's chance is the noisy-or of its sentences': one minus the product of their complements. The weights are trained
 from document labels alone, by gradient descent through the noisy-or, and then say which sentences offend.
 
-Training sees at most POSITIVE and NEGATIVE labelled documents, chosen by the hash of their ids and weighted back to the
-shares that they stand for. Words that fewer than RARE of them hold, or whose documents are toxic about as often as others (by less than
+Training sees at most POSITIVE and NEGATIVE labelled documents, and SAMPLE bytes of text of each kind, chosen by the hash of
+their ids and weighted back to the shares that they stand for; of rows that share an id the text with the smallest hash is seen.
+Words that fewer than RARE of them hold, or whose documents are toxic about as often as others (by less than
 SURE standard deviations), have no weight: so single wrong labels aren't learned by heart. Null and empty texts are scored as bags
 without words; labels of a document that contradict each other count as toxic; repeated rows are scored as rows; without
-labels of both kinds everything scores the share of the one kind; other columns are left out.
+labels of both kinds everything scores the share of the one kind. Other columns stay, but for those that are called like an
+output, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, word_hashes
+from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, without, word_hashes
 
-#: Labelled documents that training sees at most.
-POSITIVE, NEGATIVE = 4000, 8000
+#: Labelled documents that training sees at most, and bytes of either kind's texts: the driver gets 8 bytes for each word.
+POSITIVE, NEGATIVE, SAMPLE = 4000, 8000, 1 << 25
 #: Documents that a word has to occur in, and standard deviations by which its toxic ones have to differ from chance.
 RARE, SURE = 4, 4.0
 #: Places of the weights, as a power of two.
@@ -83,6 +85,16 @@ class Model:
         return score
 
 
+def loss_slope(w: np.ndarray, word: np.ndarray, sentence: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The gradient of the bags' weighted log loss by the words' weights and, last, the bias. word: the number of each word that has a weight, sentence: the sentence that it stands in, bag: the bag of each sentence."""
+    s = w[-1] + np.bincount(sentence, weights=w[word], minlength=len(bag))
+    p = 1 / (1 + np.exp(-np.clip(s, -50, 50)))
+    clean = np.exp(-np.bincount(bag, weights=np.logaddexp(0, s), minlength=len(y)))
+    slope = np.where(y > 0, -clean / np.maximum(1e-9, 1 - clean), 1.0) * weight
+    d = p * slope[bag]
+    return np.append(np.bincount(word, weights=d[sentence], minlength=len(w) - 1), d.sum())
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 2e-4) -> Model:
     """Weights under which the noisy-or of the sentences explains the labels; gradient descent with Adam over all bags."""
     prior = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
@@ -105,44 +117,46 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight:
     w[-1] = np.log(prior / 4 / max(1.0, first[-1] / len(bags)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        s = w[-1] + np.bincount(sentence, weights=w[word], minlength=first[-1])
-        p = 1 / (1 + np.exp(-np.clip(s, -50, 50)))
-        clean = np.exp(-np.bincount(bag, weights=np.logaddexp(0, s), minlength=len(bags)))
-        slope = np.where(y > 0, -clean / np.maximum(1e-9, 1 - clean), 1.0) * weight
-        d = p * slope[bag]
-        g = np.append(np.bincount(word, weights=d[sentence], minlength=len(places)), d.sum())
+        g = loss_slope(w, word, sentence, bag, y, weight)
         g[:-1] += ridge * w[:-1] / len(places) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (1 - t / rounds / 1.1) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(places.astype(np.int32), w[:-1], float(w[-1]), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the documents that labels names and that aren't held out."""
     docs = small_batches(docs)
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     total = dict(known.groupBy("y").count().collect())  # two rows
-    chosen = [known.filter(F.col("y") == k).orderBy(F.xxhash64(id_col, F.lit(2)), id_col).limit(n) for k, n in ((1, positive), (0, negative))]
+    order = F.xxhash64("id", F.lit(2))
+    chosen = [known.filter(F.col("y") == k).orderBy(order, "id").limit(n) for k, n in ((1, positive), (0, negative))]
     few = chosen[0].unionByName(chosen[1])  # at most positive + negative ids
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("h", F.coalesce(F.xxhash64("t"), F.lit(0)))
+    seen = named.join(F.broadcast(few), "id").groupBy("y", "id").agg(F.min(F.struct("h", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n"))).alias("s"))
+    rows = seen.select("y", "id", "s.h", "s.n", order.alias("o")).toPandas().sort_values(["y", "o", "id"])  # no texts
+    rows = rows[rows.groupby("y")["n"].cumsum() <= sample]
+    if rows.empty:
+        return Model(np.zeros(0, np.int32), np.zeros(0), -30.0, 0.0)
+    picked = docs.sparkSession.createDataFrame(list(zip(rows["y"].tolist(), rows["id"].tolist(), rows["h"].tolist(), strict=True)), f"y int, id {docs.schema[id_col].dataType.simpleString()}, h long")
 
     def bags(batches):
         for batch in batches:
             data = texts(batch, "t")
             for a, b in slices([len(x) for x in data]):
                 words, sentences, n = zip(*map(sentence_words, data[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in words], pa.binary()), pa.array([x.tobytes() for x in sentences], pa.binary()), pa.array(n, pa.int32())], names=["y", "w", "s", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in words], pa.binary()), pa.array([x.tobytes() for x in sentences], pa.binary()), pa.array(n, pa.int32())], names=["y", "id", "w", "s", "n"])
 
-    rows = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(few), id_col).select("y", "t").mapInArrow(bags, "y int, w binary, s binary, n int").toPandas()
-    if rows.empty:
-        return Model(np.zeros(0, np.int32), np.zeros(0), -30.0, 0.0)
+    found = named.join(F.broadcast(picked), ["id", "h"]).select("y", "id", "t").mapInArrow(bags, f"y int, id {docs.schema[id_col].dataType.simpleString()}, w binary, s binary, n int")
+    rows = found.groupBy("y", "id").agg(F.first("w").alias("w"), F.first("s").alias("s"), F.first("n").alias("n")).toPandas().sort_values(["y", "id"])  # rows that repeat are alike
     y = rows["y"].to_numpy()
     share = np.array([total.get(0, 0) / max(1, (y == 0).sum()), total.get(1, 0) / max(1, (y == 1).sum())])
     return train([(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32), n) for w, s, n in zip(rows["w"], rows["s"], rows["n"], strict=True)], y, share[y])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs' columns with score and offending, the sentences at 0.5 or more as (begin, end, score) by characters."""
-    docs = small_batches(docs)
+    docs = small_batches(without(docs, "score", "offending"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights at most: 12 MB
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
