@@ -7,7 +7,8 @@ driver. A batch of texts is scored as two matrix products: presence x landmarks,
 
 Training sees at most SAMPLE labelled texts, equally many of each language as far as there are, chosen by the hash of
 their ids; their packed presence bits (2 kB each) are all that the driver gets. Null and letterless texts are `und` with
-score 0, as is everything where nothing can be learned; repeated rows count as rows; other columns are left out.
+score 0, as is everything where nothing can be learned; repeated rows count as rows. Other columns stay, but for those that are
+called like an output, which are replaced. Training learns the LANGUAGES most common languages at most: others are taken for noise.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts
+from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, without
 
 #: Places of the n-gram sets, a power of two.
 BINS = 1 << 14
 #: Labelled texts that training sees at most, and landmarks among them.
 SAMPLE, LANDMARKS = 3200, 192
+#: Languages that are learned, at most: as many as may have a landmark each.
+LANGUAGES = 192
+#: What a text may fall short of the fitted ones: a share of the least kernel value, and of the least output.
+KIN_SHARE, OUTPUT_SLACK = 0.7, 0.1
 #: Rows of a matrix product.
 ROWS = 64
 UNKNOWN = "und"
@@ -65,11 +70,13 @@ def presence(items: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: the languages, the landmarks' bits and a column of coefficients for each language."""
+    """What scoring needs: the languages, the landmarks' bits, a column of coefficients for each language, and the least kernel value with a landmark and the least output that a text in one of the languages has."""
 
     languages: list[str]
     bits: np.ndarray
     coefficients: np.ndarray
+    least_kin: float = 0.0
+    least_output: float = -np.inf
 
     def scorer(self):
         z = np.unpackbits(self.bits, axis=1).astype(np.float32).T.copy()
@@ -96,13 +103,24 @@ def solve(bits: np.ndarray, y: np.ndarray, landmarks: np.ndarray, ridge: float =
     return root @ np.linalg.solve(features.T @ features + ridge * len(x) * np.eye(features.shape[1]), features.T @ y)
 
 
+def limits(bits: np.ndarray, landmarks: np.ndarray, coefficients: np.ndarray) -> tuple[float, float]:
+    """The least kernel value and the least output that a text may have to count as one of a learned language: a bit below the fitted texts' own, where a landmark's with itself doesn't count."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
+    k = (x @ x[landmarks].T).astype(float)
+    output = (k @ coefficients).max(axis=1)
+    k[landmarks, np.arange(len(landmarks))] = 0
+    return KIN_SHARE * float(k.max(axis=1).min()), float(output.min()) - OUTPUT_SLACK
+
+
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from rows of docs where train holds, and text and language are not null; None where there are none."""
     docs = small_batches(docs)
     labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = dict(labelled.groupBy("l").count().collect())  # as many rows as there are languages
+    counts = dict(labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect())
     if not counts:
         return None
+    labelled = labelled.filter(F.col("l").isin(*counts))
     each = max(1, sample // len(counts))
     part = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1_000_000)) / 1_000_000
     odds = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * each / n + 30 / n))))
@@ -123,12 +141,13 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = L
     bits = np.stack([np.frombuffer(x, np.uint8) for x in rows["bits"]])
     y = np.where(rows["l"].to_numpy()[:, None] == np.array(languages)[None], 1.0, -1.0)
     chosen = np.arange(min(landmarks, len(rows)))  # by rank, so each language has its share
-    return Model(languages, bits[chosen], solve(bits, y, chosen))
+    coefficients = solve(bits, y, chosen)
+    return Model(languages, bits[chosen], coefficients, *limits(bits, chosen, coefficients))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and text with lang_pred, score (0 to 1, how surely the language is this one) and kin (the largest kernel value with a landmark)."""
-    docs = small_batches(docs)
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs' columns with lang_pred, score (0 to 1, how surely the language is this one), kin (the largest kernel value with a landmark) and learned (whether kernel value and output are those of texts in the languages that were fitted; false for `und`)."""
+    docs = small_batches(without(docs, "lang_pred", "score", "kin", "learned"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS x BINS bits: under 1 MB
 
     def run(batches):
@@ -138,21 +157,22 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             for a in range(0, len(data), ROWS):
                 part = data[a : a + ROWS]
                 known = np.array([has_letter(x) for x in part]) & (scorer is not None)
-                lang, score, kin = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part))
+                lang, score, kin, learned = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), bool)
                 if known.any():
                     f, near = scorer([x for x, k in zip(part, known, strict=True) if k])
                     e = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
                     score[known], kin[known] = (e.max(axis=1) / e.sum(axis=1)), near
+                    learned[known] = (near >= shared.value.least_kin) & (f.max(axis=1) >= shared.value.least_output)
                     for i, best in zip(np.flatnonzero(known), f.argmax(axis=1), strict=True):
                         lang[i] = shared.value.languages[best]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, len(part)) for c in batch.columns), pa.array(lang), pa.array(score, pa.float64()), pa.array(kin, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "kin"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, len(part)) for c in batch.columns), pa.array(lang), pa.array(score, pa.float64()), pa.array(kin, pa.float64()), pa.array(learned)], names=[*batch.schema.names, "lang_pred", "score", "kin", "learned"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, kin double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, kin double, learned boolean")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, ~held_out(F.col("doc_id")))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "kin")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "kin", "learned")
