@@ -7,8 +7,8 @@ either end are cut otherwise than elsewhere: of any passage of more than 2 x LON
 MIN_WORDS or more words go, wherever it begins (unless REACH of its words in a row are one).
 
 A window is a shortest run of lines of at least min_words words: from a line on, or up to one. Every window selects its
-smallest line hash (the last of equal ones) as a fingerprint, so equal windows select equal fingerprints at equal places.
-Fingerprints that occur once drop out. The places of the others are joined: the windows that selected them are named by the
+smallest line hash (the last of equal ones) as a fingerprint, so equal windows select equal fingerprints at equal places; hashes
+of lines of few words count as larger than others, as such lines recur by chance. Fingerprints that occur once drop out. The places of the others are joined: the windows that selected them are named by the
 hash of all their lines, and a window is matched with the place where it occurs first (by id, then line). Matches of one
 earlier document at one distance are one run, which so extends both ways along the pair. A run of lines is deleted exactly if
 it has min_words words or more and occurs, as a whole, earlier: each of its lines lies in a window within it, and each
@@ -20,13 +20,15 @@ a map of bits shows to have none pass by it. Counts and first places are aggrega
 don't meet in one task.
 
 Null texts stay null and empty ones empty. Lines are compared without ASCII case and outer white space; lines without words
-belong to the next one. Rows that agree in id and text are one document and treated alike; rows that agree in id only are told
+belong to the one before, or to the first one. Rows that agree in id and text are one document and treated alike; rows that agree in id only are told
 apart by their texts' hash, by which ties are broken; null ids come first. Ids are integers or else compared as strings. Extra
 columns stay as they are, but for those that are called like an output, which are replaced.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinship.llm.common import hashed_ranges, mixed, powers, small_batches, stored, unused, with_membership, without
+from kinship.llm.common import hashed_ranges, mixed, powers, slices, small_batches, stored, unused, with_membership, without
 
 #: Words of the shortest run that is deleted.
 MIN_WORDS = 20
@@ -72,83 +74,80 @@ def _chosen(key: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.unique(_LAST - (low[inside] & _LAST)).astype(np.int64)
 
 
-def _cut(text: bytes, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line ends, word begins, word ends) of a text; a line's white space belongs to it."""
-    a = np.frombuffer(text, np.uint8)
+@dataclass
+class Lines:
+    """The lines that have words of some texts, in order."""
+
+    start: np.ndarray  # of each, in the bytes of its text
+    words: np.ndarray
+    hash: np.ndarray
+    text: np.ndarray  # the first line of each text, and after the last one
+
+
+def cut_lines(texts: list[bytes], sentences: bool = True) -> Lines:
+    """The lines of texts, which are worked off side by side, three spaces apart."""
+    data = (b"   " + b"   ".join(texts) + b" " * 11).translate(_LOWER)
+    a = np.frombuffer(data, np.uint8)
+    begins = np.cumsum([3, *(len(t) + 3 for t in texts)])  # of texts
     begin, end = _words(a)
-    if not len(a) or not len(begin):
-        return np.array([len(a)] if len(a) else [], np.int64), begin, end
-    after = np.append(begin[1:], len(a))  # where the space after a word ends
-    newline = np.flatnonzero((a[:-1] == 10) & (a[1:] != 10)) + 1
     marks = np.zeros(len(a) + 1, bool)
-    marks[newline], marks[len(a)] = True, True
-    if sentences:
-        marks[after[(_KIND[a[end - 1]] == 2) & (after - end == 1) & (after < len(a))]] = True
-    ends = np.flatnonzero(marks)
-    words = np.searchsorted(begin, ends)  # before each end
-    if words[-1] and (keep := np.diff(np.append(0, words)) > 0).sum() < len(ends):  # lines without words belong to the next one, or the last
-        marks[ends[~keep]] = False
-        if not keep[-1]:
-            marks[ends[np.flatnonzero(keep)[-1]]] = False
-            marks[len(a)] = True
-        ends = np.flatnonzero(marks)
-        words = np.searchsorted(begin, ends)
-    if not sentences:
-        return ends, begin, end
-    count = np.diff(np.append(0, words))
-    if (count > LONG).any():
+    marks[begins] = True
+    marks[np.flatnonzero((a[:-1] == 10) & (a[1:] != 10)) + 1] = True
+    if sentences and len(begin):
+        stop = (_KIND[a[end[:-1] - 1]] == 2) & (begin[1:] - end[:-1] == 1)
+        marks[begin[1:][stop]] = True
+    at = np.flatnonzero(marks)
+    first = np.searchsorted(begin, at)  # words before each mark
+    count = np.diff(np.append(first, len(begin)))
+    if sentences and (count > LONG).any():
         group = np.repeat(np.arange(len(count)), count)
         place = np.flatnonzero((count > LONG)[group])
         group = group[place]
-        padded = b"   " + text.translate(_LOWER) + b"        "
-        near = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from three before each place
+        near = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each place on
         kept = _FIRST[np.minimum(end[place] - begin[place], 5)]  # three before the word, and its first five
-        key = (mixed(near[begin[place]] & kept) | _LAST) - np.arange(len(place), dtype=np.uint64)
+        key = (mixed(near[begin[place] - 3] & kept) | _LAST) - np.arange(len(place), dtype=np.uint64)
         opens = np.append(True, group[1:] != group[:-1])  # no place to cut: a sentence begins there anyway
         opens[1:] |= key[1:] >> _HALF == key[:-1] >> _HALF  # as is a word that only repeats the one before
         key[opens] |= ~_LAST
         marks[begin[place[_chosen(key, group)]]] = True
-        marks[0] = False
-        ends = np.flatnonzero(marks)
-    return ends, begin, end
+        at = np.flatnonzero(marks)
+        first = np.searchsorted(begin, at)
+        count = np.diff(np.append(first, len(begin)))
+    at, first, count = (x[count > 0] for x in (at, first, count))
+    text = np.searchsorted(at, begins)
+    hashes = hashed_ranges(data, begin[first], end[first + count - 1]) if len(at) else np.zeros(0, np.uint64)
+    return Lines(at - np.repeat(begins[:-1], np.diff(text)), count, hashes, text)
 
 
 def line_ends(text: bytes, sentences: bool = True) -> np.ndarray:
-    """Where each line of a text ends; the lines together are the text. Long sentences are cut before the word with the smallest hash of each REACH."""
-    return _cut(text, sentences)[0]
-
-
-def line_hashes(text: bytes, sentences: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each line, and its words."""
-    ends, begin, end = _cut(text, sentences)
-    if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.searchsorted(begin, np.append(0, ends))
-    return hashed_ranges(text.translate(_LOWER), begin[at[:-1]], end[at[1:] - 1]), np.diff(at)
-
-
-def windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last line) of each shortest run of lines of at least min_words words that begins or that ends with a line, in order. Every line has a word at least."""
-    n, before = len(words), np.append(0, np.cumsum(words))
-    first = np.searchsorted(before, before[-1] - min_words, "right")  # lines after which there are words enough
-    last = np.searchsorted(before, min_words)  # the first line up to which there are
-    ahead = np.searchsorted(before, before[:first] + min_words) - 1
-    back = np.searchsorted(before, before[last:] - min_words, "right") - 1
-    both = np.unique(np.concatenate((np.arange(first) * n + ahead, back * n + np.arange(last - 1, n))))
-    return both // n, both % n
-
-
-def winnowed(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The place of each window's smallest hash, the last one of equals."""
-    place = np.arange(len(hashes), dtype=np.uint64)
-    low, out = (hashes & ~_LAST) | (_LAST - place), np.zeros(len(first), np.uint64)
+    """Where each line of a text ends; the lines together are the text."""
+    return np.append(cut_lines([text], sentences).start[1:], len(text)) if text else np.zeros(0, np.int64)
+
+
+def windows(words: np.ndarray, text: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last line) of each shortest run of lines of at least min_words words that begins or that ends with a line; none reaches over the end of a text. Every line has a word at least."""
+    before = np.append(0, np.cumsum(words))
+    sizes = np.diff(text)
+    ahead, back = before[:-1] + min_words, before[1:] - min_words
+    first = np.flatnonzero(ahead <= np.repeat(before[text[1:]], sizes))
+    last = np.flatnonzero(back >= np.repeat(before[text[:-1]], sizes))
+    to, since = np.zeros(len(words), np.int64), np.searchsorted(before, back[last], "right") - 1
+    to[first] = np.searchsorted(before, ahead[first]) - 1
+    new = to[since] != last
+    return np.concatenate((first, since[new])), np.concatenate((to[first], last[new]))
+
+
+def winnowed(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of each window's smallest hash, the last one of equals; lines of fewer words come after all others."""
+    few = np.array([3, 3, 2, 2, 1, 1, 0], np.uint64)[np.minimum(words, 6)] << np.uint64(62)
+    low, out = ((hashes >> np.uint64(2) | few) & ~_LAST) | (_LAST - np.arange(len(hashes), dtype=np.uint64)), np.zeros(len(first), np.uint64)
     step, lines = 1, last - first + 1
-    while True:  # low: minima of `step` lines
-        here = (lines >= step) & (lines < 2 * step)
+    most = lines.max(initial=0)
+    while step <= most:  # low: minima of `step` lines
+        here = np.flatnonzero((lines >= step) & (lines < 2 * step))
         out[here] = np.minimum(low[first[here]], low[last[here] - step + 1])
-        if len(low) <= step:
-            return (_LAST - (out & _LAST)).astype(np.int64)
         low, step = np.minimum(low[:-step], low[step:]), 2 * step
+    return (_LAST - (out & _LAST)).astype(np.int64)
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -159,18 +158,19 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
         return mixed((sums[last + 1] - sums[first]) * inverse[first])
 
 
-def matched_runs(matches: list[tuple], words: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """Which lines go, and (first line, lines, words, source) of each matched run, from (first line, last line, source, its first line) of each window that occurs earlier. Windows of one source at one distance that touch are one run."""
-    gone, runs, open_runs = np.zeros(len(words), bool), [], {}
-    for first, last, source, at in sorted(matches, key=lambda m: m[:2]):
-        gone[first : last + 1] = True
-        run = open_runs.get((source, first - at))
-        if run is not None and first <= run[1] + 1:
-            run[1] = max(run[1], last)
-        else:
-            run = open_runs[source, first - at] = [first, last, source]
-            runs.append(run)
-    return gone, [(a, b - a + 1, int(words[a : b + 1].sum()), source) for a, b, source in runs]
+def matched_runs(first: np.ndarray, last: np.ndarray, source: np.ndarray, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last line) of each matched run and the place of one of its matches, from the windows that occur earlier: their lines, the number of the source, its first line, and the text. Windows of one text and source at one distance that touch are one run."""
+    order = np.lexsort((first, first - at, source, text))
+    f, to = first[order], last[order]
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (text, source, first - at):
+        same &= np.diff(x[order]) == 0
+    pair = np.append(0, np.cumsum(~same))[: len(order)]
+    step = int(last.max(initial=0)) + 2
+    reach = np.maximum.accumulate(pair * step + to) if len(order) else to  # the last line so far, of one pair
+    new = np.append(True, ~same | (f[1:] + pair[1:] * step > reach[:-1] + 1))[: len(order)]
+    starts = np.flatnonzero(new)
+    return np.stack((f[starts], np.maximum.reduceat(to, starts) if len(starts) else to)), order[starts]
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -186,45 +186,42 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]
 def matched_windows(texts: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
     """(id, key, matches: first and last line, source and its first line of all windows that occur earlier) of each document that has any, from (id, key, text)."""
 
-    def lists(parts: list[np.ndarray], kind) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+    def lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     def lined(batches):
         for batch in batches:
-            rows, hashes, counts, smallest = [], [], [], []
-            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                h, words = line_hashes(text, sentences)
-                if words.sum() >= min_words:
-                    rows.append(i)
-                    hashes.append(h.view(np.int64))
-                    counts.append(np.minimum(words, min_words))  # more make no difference to the windows
-                    smallest.append(np.unique(winnowed(h, *windows(counts[-1], min_words))))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists(hashes, pa.int64()), lists(counts, pa.int32()), lists(smallest, pa.int32())], names=["id", "key", "h", "c", "p"])
-
-    def parts_of(column: pa.Array) -> list[np.ndarray]:
-        ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-        return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            data = batch.column(2).cast(pa.binary()).to_pylist()
+            for a, b in slices([len(x) for x in data]):
+                cut = cut_lines(data[a:b], sentences)
+                few = np.minimum(cut.words, min_words)  # more make no difference to the windows
+                first, last = windows(few, cut.text, min_words)
+                place = np.zeros(len(few), bool)
+                place[winnowed(cut.hash, few, first, last)] = True
+                place = np.flatnonzero(place)
+                ends = np.searchsorted(place, cut.text)
+                place -= np.repeat(cut.text[:-1], np.diff(ends))
+                some = pa.array(np.diff(ends) > 0)
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists(cut.text, pa.array(cut.hash.view(np.int64))), lists(cut.text, pa.array(few, pa.int8())), lists(ends, pa.array(place, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "h", "c", "p"]).filter(some)
 
     def near(batches):
-        for batch in batches:
-            rows, spots, names = [], [], []
-            for i, (h, words, at) in enumerate(zip(*map(parts_of, batch.columns[2:]), strict=True)):
-                h = h.view(np.uint64)
-                first, last = windows(words, min_words)
+        for whole in batches:
+            for a, b in slices((8 * pc.list_value_length(whole.column(2)).to_numpy()).tolist()):
+                batch = whole.slice(a, b - a)
+                (h, ends), (words, _), (at, spots) = ((c.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(c).to_numpy()))) for c in batch.columns[2:])
+                h, words = h.view(np.uint64), words.astype(np.int64)
+                first, last = windows(words, ends, min_words)
                 wanted = np.zeros(len(h), bool)
-                wanted[at] = True
-                some = wanted[winnowed(h, first, last)]
+                wanted[at + np.repeat(ends[:-1], np.diff(spots))] = True
+                some = wanted[winnowed(h, words, first, last)]
                 first, last = first[some], last[some]
-                rows.append(np.full(len(first), i))
-                spots.append(first * (min_words + 1) + (last - first))
-                names.append(window_hashes(h, first, last).view(np.int64))
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(spots)), pa.array(np.concatenate(names))], names=["id", "key", "w", "g"])
+                row = np.searchsorted(ends, first, "right") - 1
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((first - ends[row]) * (min_words + 1) + last - first), pa.array(window_hashes(h, first, last).view(np.int64))], names=["id", "key", "w", "g"])
 
     key = f"id {texts.schema['id'].dataType.simpleString()}, key long"
-    lines = stored(texts.filter("text IS NOT NULL").select("id", "key", "text").mapInArrow(lined, f"{key}, h array<long>, c array<int>, p array<int>"), "lines")
+    lines = stored(texts.filter("text IS NOT NULL").select("id", "key", "text").mapInArrow(lined, f"{key}, h array<long>, c array<tinyint>, p array<int>"), "lines")
     prints = lines.select("id", "key", F.explode("p").alias("p"), "h").select("id", "key", "p", F.get("h", "p").alias("f"))
     # tables of their own, so that both sides of a join are shuffled for it, and a common fingerprint's or window's rows can be split
     common = stored(prints.groupBy("f").count().filter("count > 1").select("f"), "common")
@@ -232,13 +229,13 @@ def matched_windows(texts: DataFrame, min_words: int = MIN_WORDS, sentences: boo
     found = stored(lines.select("id", "key", "h", "c").join(places, ["id", "key"]).mapInArrow(near, f"{key}, w long, g long"), "windows")
     first = stored(found.groupBy("g").agg(F.min(F.struct("id", "key", "w")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first"), "first")
     later = found.join(first, "g").filter(F.struct("id", "key", "w") > F.col("first"))
-    line = lambda w: F.floor(w / (min_words + 1)).cast("int")
-    match = F.struct(line(F.col("w")).alias("a"), (line(F.col("w")) + F.col("w") % (min_words + 1)).cast("int").alias("b"), F.col("first.id").alias("source"), line(F.col("first.w")).alias("at"))
-    return later.groupBy("id", "key").agg(F.collect_set(match).alias("matches"))
+    return later.groupBy("id", "key").agg(F.collect_set(F.struct("w", F.col("first.id").alias("source"), F.col("first.w").alias("at"))).alias("matches"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines deleted from the texts, n_removed and words_removed, of lines and words, and runs: the first line, lines, words and source (the id of the earlier document) of each match."""
+    if not 0 < min_words < 128:
+        raise ValueError("runs have 1 to 127 words at least")
     docs = small_batches(without(docs, *OUTPUTS))
     ident, text_hash = _named(docs, id_col, text_col)
     matches = stored(matched_windows(docs.select(ident.alias("id"), text_hash.alias("key"), F.col(text_col).alias("text")), min_words, sentences), "matches")
@@ -249,26 +246,49 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True, i
     both = some.join(matches, [own["id"], own["key"]], "left").select(*docs.columns, own["matches"])
     fields, integral = [*docs.columns], isinstance(docs.schema[id_col].dataType, T.IntegralType)
     at = fields.index(text_col)
-    run_type = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("words", pa.int64()), ("source", pa.int64() if integral else pa.string())]))
+
+    def original(source: pa.Array) -> pa.Array:
+        """Ids as they were before they were made not null."""
+        if integral:
+            return pc.if_else(pc.equal(source, NO_ID), pa.scalar(None, pa.int64()), source)
+        return pc.if_else(pc.equal(source, "."), pa.scalar(None, pa.string()), pc.utf8_slice_codeunits(source, 2))
+
+    def without_runs(batch: pa.RecordBatch) -> list[pa.Array]:
+        """The columns of a batch whose last one, of matches, is never null, and the outputs."""
+        texts, found = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(fields))
+        cut = cut_lines(texts, sentences)
+        matches, ends = found.flatten(), np.append(0, np.cumsum(pc.list_value_length(found).to_numpy()))
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        w, there = (matches.field(k).to_numpy() for k in (0, 2))
+        source = matches.field(1).dictionary_encode()
+        first, before = w // (min_words + 1) + cut.text[row], there // (min_words + 1)
+        last = first + w % (min_words + 1)
+        (a, b), of = matched_runs(first, last, source.indices.to_numpy(), before + cut.text[row], row)
+        change = np.bincount(a, minlength=len(cut.words) + 1) - np.bincount(b + 1, minlength=len(cut.words) + 1)
+        gone = np.cumsum(change)[:-1] > 0
+        words = np.append(0, np.cumsum(cut.words))
+        left = []
+        for text, x, y in zip(texts, cut.text[:-1].tolist(), cut.text[1:].tolist(), strict=True):
+            edges = np.concatenate(([0], cut.start[x + 1 : y], [len(text)]))
+            turns = np.diff(np.concatenate(([True], gone[x:y], [True])).astype(np.int8))  # where what stays begins and ends
+            left.append(b"".join(text[i:j] for i, j in zip(edges[turns < 0].tolist(), edges[turns > 0].tolist(), strict=True)))
+        total = lambda x: np.add.reduceat(np.append(x, 0), cut.text[:-1])
+        runs = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in ((a - cut.text[row[of]], pa.int32()), (b - a + 1, pa.int32()), (words[b + 1] - words[a], pa.int64()))] + [original(source.dictionary.take(source.indices.take(pa.array(of))))], names=["line", "lines", "words", "source"])
+        by_row = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[of], np.arange(len(texts) + 1)), pa.int32()), runs)
+        columns = batch.columns[:-1]
+        columns[at] = pa.array(left, pa.binary()).cast(columns[at].type)
+        return [*columns, pa.array(total(gone)), pa.array(total(cut.words * gone)), by_row]
 
     def cut(batches):
+        run_type = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("words", pa.int64()), ("source", pa.int64() if integral else pa.string())]))
         for batch in batches:
-            matches = batch.column(len(fields))
-            changed = pc.is_valid(matches)
-            texts, lines, words, runs = [], np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))]
-            for i in np.flatnonzero(changed.to_numpy(zero_copy_only=False)):
-                text = batch.column(at)[i].as_py().encode()
-                ends, begin, _ = _cut(text, sentences)
-                edges = np.append(0, ends)
-                count = np.diff(np.searchsorted(begin, edges))
-                gone, found = matched_runs([tuple(m.values()) for m in matches[i].as_py()], count)
-                lines[i], words[i] = gone.sum(), count[gone].sum()
-                for a, n, k, source in found:
-                    runs[i].append({"line": a, "lines": n, "words": k, "source": (source if source != NO_ID else None) if integral else source[2:] if len(source) > 1 else None})
-                texts.append(b"".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)).decode())
-            columns = batch.columns[:-1]
-            columns[at] = pc.replace_with_mask(columns[at], changed, pa.array(texts, columns[at].type))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines), pa.array(words), pa.array(runs, run_type)], names=[*fields, *OUTPUTS])
+            changed = pc.is_valid(batch.column(len(fields)))
+            same = batch.filter(pc.invert(changed))
+            none = [pa.array(np.zeros(len(same), np.int64))] * 2 + [pa.array([[]] * len(same), run_type)]
+            yield pa.RecordBatch.from_arrays([*same.columns[:-1], *none], names=[*fields, *OUTPUTS])
+            some = batch.filter(changed)
+            for a, b in slices(pc.binary_length(some.column(at)).to_pylist()):
+                yield pa.RecordBatch.from_arrays(without_runs(some.slice(a, b - a)), names=[*fields, *OUTPUTS])
 
     run_schema = f"array<struct<line:int,lines:int,words:bigint,source:{'bigint' if integral else 'string'}>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -46,7 +46,7 @@ def test_stages_match_brute_force(spark, folder, tmp_path):
 
     rows, left = kept["language"]
     model = language.fit(spark.read.parquet(f"{folder}/documents.parquet"), ~held_out(F.col("doc_id")))
-    known = {x.doc_id for x in language.identify(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), model).filter("kin >= 0.05").collect()}
+    known = {x.doc_id for x in language.identify(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), model).filter("learned").collect()}
     assert {x.doc_id for x in left} == {x.doc_id for x in rows if any(c.isalpha() for c in x.text or "") and x.doc_id in known} and {x.doc_id for x in left} >= set(range(90))
     assert {x.score for x in left} == {1.5}
 
