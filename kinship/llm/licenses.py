@@ -1,6 +1,7 @@
 """Operator 1: license scans as an exact set-similarity join of text blocks with templates.
 
-Words are runs of letters, digits and all beyond ASCII, lower-cased over A-Z. A template is a phrase; a block is a window
+Words are runs of letters, digits and all beyond ASCII, lower-cased over A-Z. A template is a phrase, a sentence of a
+notice or a whole license text; a block is a window
 of consecutive words, of a width and stride that depend on the template's size class, so that as many consecutive words
 as a template has always lie in one block. A block meets a template if it holds at least CONTAINMENT of the template's
 distinct words. Tokens are ordered by their frequency in the whole corpus, rarest first; then
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinship.llm.common import WORD_BYTES, small_batches, texts
+from kinship.llm.license_texts import TEXTS
 
 CONTAINMENT = 0.8
 #: (phrase, label): those whose places are counted.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: (phrase, label): notices that licenses ask to be kept, found by containment only.
+#: (phrase, label): sentences of notices, found by containment only, as are the whole texts.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache"),
@@ -53,7 +55,7 @@ class Template:
         return 2 << max(1, (len(self.words) - 1).bit_length())
 
 
-def templates(counted=BASE, noticed=NOTICES) -> list[Template]:
+def templates(counted=BASE, noticed=NOTICES + TEXTS) -> list[Template]:
     return [Template(tuple(p.encode().translate(WORD_BYTES).split()), label, base) for rows, base in ((counted, True), (noticed, False)) for p, label in rows]
 
 
