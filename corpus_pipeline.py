@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of docs, whatever these are called.
-  language   rows go whose text has no letter, or no likeness to any text that the model was fitted on
+  language   rows go whose text has no letter, or isn't like the texts of any language that the model was fitted on
   toxicity   rows go that score 0.5 or more
   lines      runs of lines that earlier documents have are cut out; rows go that this leaves without a word
   near       of each group of near copies the document with the smallest id (then the smallest hash of its text) stays, and of rows
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from kinship.llm import common, jaccard, language, lines, packing, toxicity
 
-#: The least kernel value with a landmark; real text of any language that is learned lies far above.
-LEAST_KIN = 0.05
 ROW, ID, HASH, GONE, MAYBE = "__whole_row", "__row_id", "__row_hash", "__row_gone", "__row_maybe"
 
 
@@ -34,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs, ~common.held_out(F.col("doc_id")))
     if model is None:  # nothing to learn from: nothing to reject by
         return docs
-    return language.identify(_carried(docs, "doc_id", "text"), model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("kin") >= LEAST_KIN)).select(f"{ROW}.*")
+    return language.identify(_carried(docs, "doc_id", "text"), model).filter("learned").select(f"{ROW}.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
