@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 
 from kinship.functions import dictionaries as words
 
-# The patterns of web addresses and of what sets a trade name off.
-_DOMAIN = r"(?:https?\s*:\s*/+\s*)?(?:www\.)?([a-z0-9][a-z0-9\-]*)\s*\.\s*(?:com|net|org|co\.in|in|co|biz|info|us|fr|io|shop|store)\b"
-_ALIAS = r"\b(?:d\s*/\s*b\s*/\s*a|d b a|dba|doing business as|trading as|t\s*/\s*a|a\s*/\s*k\s*/\s*a|aka|formerly known as|formerly)\b"
-# Digits that stand for letters in scanned names.
-_DIGIT_LETTERS = {"0": "o", "1": "l", "3": "e", "5": "s", "8": "b"}
-
-
 def array_of(items: list[str]) -> Column:
     return F.array(*map(F.lit, items))
 
@@ -72,15 +65,15 @@ def canon(token: Column, table: Column) -> Column:
 
 def fix_first_letter(token: Column, table: Column) -> Column:
     """A leading l that was an I: lndia -> india; words of the table stay."""
-    return F.when((F.length(token) > 2) & ~F.map_contains_key(table, token), F.regexp_replace(token, "^l(?=[bcdfghjkmnpqrstvwxz])", "i")).otherwise(token)
+    return F.when((F.length(token) > 2) & ~F.map_contains_key(table, token), F.regexp_replace(token, words.LEADING_L, "i")).otherwise(token)
 
 
 def fix_digits(text: Column) -> Column:
     """Digits read for letters: between letters, and 0, 1, 5 before letters unless they are an ordinal."""
-    for digit, letter in _DIGIT_LETTERS.items():
-        text = F.regexp_replace(text, f"(?<=[a-z]){digit}(?=[a-z])", letter)
-    for digit in "015":
-        text = F.regexp_replace(text, rf"(?<![a-z0-9]){digit}(?=[a-z])(?!(?:st|nd|rd|th)\b)", _DIGIT_LETTERS[digit])
+    for digit, letter in words.DIGIT_LETTERS.items():
+        text = F.regexp_replace(text, words.DIGIT_INSIDE.format(digit=digit), letter)
+    for digit in words.LEADING_DIGITS:
+        text = F.regexp_replace(text, words.DIGIT_LEADING.format(digit=digit), words.DIGIT_LETTERS[digit])
     return text
 
 
@@ -120,7 +113,7 @@ def _split_ends(toks: Column) -> Column:
 
 def collapse_domains(text: Column) -> Column:
     """Web addresses of a lower-case text as the name that they hold: www.foo.com -> foo."""
-    return F.regexp_replace(text, _DOMAIN, " $1 ")
+    return F.regexp_replace(text, words.DOMAIN, " $1 ")
 
 
 def raw_name_tokens(name: Column) -> Column:
@@ -132,7 +125,7 @@ def raw_name_tokens(name: Column) -> Column:
 def name_parts(name: Column, translit: Column | None = None) -> Column:
     """(core, legal, extra, alias) of a name: aliases are the cores of all parts around "doing business as" and the like, joined by " | ", empty if there is one part."""
     s = collapse_domains(base_clean(name))
-    s = F.regexp_replace(fix_digits(s), r"\(\s*p\s*\)", " pvt ")
+    s = F.regexp_replace(fix_digits(s), words.PRIVATE, " pvt ")
     s = F.replace(F.replace(s, F.lit("(india)"), F.lit(" ")), F.lit("."), F.lit(" "))
     table = table_of(words.NAME_CANON)
 
@@ -149,13 +142,13 @@ def name_parts(name: Column, translit: Column | None = None) -> Column:
         alias = let(cores, lambda c: F.when(F.size(c) > 1, F.array_join(c, " | ")).otherwise(""))
         return F.struct(parts[0]["core"].alias("core"), parts[0]["legal"].alias("legal"), parts[0]["extra"].alias("extra"), alias.alias("alias"))
 
-    pieces = let(s, lambda x: let(F.filter(F.split(x, _ALIAS), lambda p: F.trim(p) != ""), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(x))))
+    pieces = let(s, lambda x: let(F.filter(F.split(x, words.ALIAS), lambda p: F.trim(p) != ""), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(x))))
     return let(F.transform(pieces, parted), joined)
 
 
 def _phrases(segment: Column) -> Column:
     """Phrases become their short forms, longest phrases first."""
-    rows = sorted(((p, short) for short, group in words.ADDRESS_PHRASES.items() for p in group), key=lambda r: (-len(r[0]), r[0]))
+    rows = sorted({**words.ADDRESS_PHRASES, **words.US_STATES}.items(), key=lambda r: (-len(r[0]), r[0]))
     pattern = {p: re.escape(p).replace(r"\ ", " ?") for p, _ in rows}
     out = segment
     for phrase, short in rows:
@@ -165,9 +158,9 @@ def _phrases(segment: Column) -> Column:
 
 def address_parts(address: Column) -> Column:
     """(tokens, postal, landmark) of an address: short forms, the last 5 or 6 digit number as postal code, whether a landmark word stands in it."""
-    s = F.regexp_replace(base_clean(address), r"\b([0-9]{5})\s*-\s*[0-9]{4}\b", "$1")
-    s = F.regexp_replace(s, r"\b([0-9]{3})\s([0-9]{3})\b(?=\s*(?:,|$))", "$1$2")
-    s = F.regexp_replace(s, r"([0-9]+)(?:st|nd|rd|th)\b", "$1")
+    s = F.regexp_replace(base_clean(address), words.ZIP4, "$1")
+    s = F.regexp_replace(s, words.PIN_PARTS, "$1$2")
+    s = F.regexp_replace(s, words.ORDINAL, "$1")
     table = table_of(words.ADDRESS_CANON)
     plain = lambda g: F.concat(F.lit(" "), F.regexp_replace(g, "[^a-z0-9]+", " "), F.lit(" "))
     segments = F.transform(F.transform(F.split(s, ","), plain), lambda g: glue_letters(tokens(_phrases(g))))
