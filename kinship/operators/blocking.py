@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,11 @@ def _none() -> Column:
 
 def name_keys(toks: Column) -> Column:
     """n tokens, b neighbours, k skeletons, f beginnings of long words, g four-letter pieces of all words glued, r initials."""
-    alpha = text.letters(toks)
-    glued = F.array_join(alpha, "")
+    return text.let(F.struct(toks.alias("toks"), text.letters(toks).alias("alpha"), F.array_join(text.letters(toks), "").alias("glued")), _name_keys)
+
+
+def _name_keys(name: Column) -> Column:
+    toks, alpha, glued = name["toks"], name["alpha"], name["glued"]
     initials = F.array_join(F.transform(alpha, lambda t: F.substring(t, 1, 1)), "")
     short = (F.size(alpha) == 1) & F.length(glued).between(2, 4)
     return F.concat(
@@ -49,38 +55,52 @@ def record_keys(core: Column, alias: Column, addr: Column, postal: Column) -> Co
     joined = F.array_join(core, " ")
     others = F.filter(F.split(alias, r" \| "), lambda n: (n != "") & (n != joined))
     names = F.concat(F.array(core), F.transform(others, lambda n: F.split(n, " ")))
-    bones = F.transform(text.letters(core), text.skeleton)
     alpha = F.filter(text.letters(addr), lambda t: F.length(t) >= 3)
-    short = F.filter(text.letters(addr), lambda t: F.length(t) >= 2)
-    nums = F.slice(F.array_distinct(F.filter(text.numbers(addr), lambda t: t != postal)), 1, 3)
-    addr_bones = F.filter(F.array_distinct(F.transform(alpha, text.skeleton)), lambda s: F.length(s) >= 2)
-    bar = F.lit("|")
-    with_postal = F.concat(F.array(F.concat(F.lit("p"), postal)), F.transform(F.slice(bones, 1, 3), lambda s: F.concat(F.lit("c"), s, bar, postal)), F.transform(nums, lambda n: F.concat(F.lit("q"), n, bar, postal)))
+    # parts that several keys need are made once
+    parts = F.struct(
+        postal.alias("postal"),
+        F.transform(F.slice(text.letters(core), 1, 3), text.skeleton).alias("bones"),
+        alpha.alias("alpha"),
+        F.filter(text.letters(addr), lambda t: F.length(t) >= 2).alias("short"),
+        F.slice(F.array_distinct(F.filter(text.numbers(addr), lambda t: t != postal)), 1, 3).alias("nums"),
+        F.filter(F.array_distinct(F.transform(alpha, text.skeleton)), lambda s: F.length(s) >= 2).alias("addr_bones"),
+    )
+    return F.concat(F.flatten(F.transform(names, name_keys)), text.let(parts, _address_keys))
+
+
+def _address_keys(p: Column) -> Column:
+    bar, postal, bones = F.lit("|"), p["postal"], p["bones"]
+    with_postal = F.concat(F.array(F.concat(F.lit("p"), postal)), F.transform(bones, lambda s: F.concat(F.lit("c"), s, bar, postal)), F.transform(p["nums"], lambda n: F.concat(F.lit("q"), n, bar, postal)))
     return F.concat(
-        F.flatten(F.transform(names, name_keys)),
-        _marked("a", alpha),
-        _pairs(alpha, "w"),
-        F.flatten(F.transform(nums, lambda n: F.transform(short, lambda t: F.concat(F.lit("h"), n, bar, t)))),
+        _marked("a", p["alpha"]),
+        _pairs(p["alpha"], "w"),
+        F.flatten(F.transform(p["nums"], lambda n: F.transform(p["short"], lambda t: F.concat(F.lit("h"), n, bar, t)))),
         F.when(postal != "", with_postal).otherwise(_none()),
-        F.flatten(F.transform(F.slice(bones, 1, 2), lambda s: F.transform(addr_bones, lambda t: F.concat(F.lit("d"), s, bar, t)))),
+        F.flatten(F.transform(F.slice(bones, 1, 2), lambda s: F.transform(p["addr_bones"], lambda t: F.concat(F.lit("d"), s, bar, t)))),
     )
 
 
-def grouped(profile: DataFrame, within_country: bool = True) -> DataFrame:
-    """profile with grp: a record's country; other sources' records without one are in every group, and all of theirs in the group of first-source records without one."""
+def with_groups(profile: DataFrame, within_country: bool = True) -> DataFrame:
+    """profile with grps: a record's country; other sources' records without one are in every group, and all of theirs in the group of first-source records without one."""
     if not within_country:
-        return profile.withColumn("grp", F.lit(""))
+        return profile.withColumn("grps", F.array(F.lit("")))
     # the countries of the first source: as many as there are labels
     labels = [r[0] for r in profile.filter("src = 1").select("country_key").distinct().collect()]
     blank = [""] if "" in labels else []
     other = F.when(F.col("country_key") == "", text.array_of(labels) if labels else _none()).otherwise(F.array_distinct(F.concat(F.array("country_key"), text.array_of(blank) if blank else _none())))
-    return profile.withColumn("grp", F.explode(F.when(F.col("src") == 1, F.array("country_key")).otherwise(other)))
+    return profile.withColumn("grps", F.when(F.col("src") == 1, F.array("country_key")).otherwise(other))
+
+
+def grouped(profile: DataFrame, within_country: bool = True) -> DataFrame:
+    """profile with grp: a row for each of a record's groups."""
+    return with_groups(profile, within_country).withColumn("grp", F.explode("grps")).drop("grps")
 
 
 def postings(members: DataFrame) -> DataFrame:
-    """(grp, rid, src, key, tf) of grouped profiles: a row for each key of a record, with how often it has it."""
+    """(grp, rid, src, key, tf) of profiles with their groups: a row for each group and key of a record, with how often it has it. Keys are made and counted once for a record, whatever its groups."""
     keys = record_keys(F.col("core"), F.col("alias"), F.col("addr"), F.col("postal"))
-    return members.select("grp", F.col("entity_id").alias("rid"), "src", F.explode(keys).alias("key")).groupBy("grp", "rid", "src", "key").agg(F.count("*").alias("tf"))
+    counted = members.select(F.col("entity_id").alias("rid"), "src", "grps", F.explode(keys).alias("key")).groupBy("rid", "src", "grps", "key").agg(F.count("*").alias("tf"))
+    return counted.select(F.explode("grps").alias("grp"), "rid", "src", "key", "tf")
 
 
 def key_statistics(posted: DataFrame) -> DataFrame:
@@ -94,8 +114,8 @@ def pruned(stats: DataFrame, max_key_pairs: int) -> DataFrame:
 
 
 def weighted(posted: DataFrame, members: DataFrame, max_key_pairs: int) -> DataFrame:
-    """(grp, rid, src, key, w, wa, wn, wd): each kept key's weight, and it scaled by the record's norm over all, name and address keys."""
-    size = members.groupBy("grp").agg(F.count("*").alias("docs"))
+    """(grp, rid, src, key, w, wa, wn, wd): each kept key's weight, and it scaled by the record's norm over all, name and address keys. members: profiles with their groups."""
+    size = members.select(F.explode("grps").alias("grp")).groupBy("grp").agg(F.count("*").alias("docs"))
     kind = F.substring("key", 1, 1)
     mult = F.element_at(F.create_map(*(F.lit(x) for k, v in KIND_WEIGHT.items() for x in (k, v))), kind)
     kept = pruned(key_statistics(posted), max_key_pairs).join(size, "grp").select("grp", "key", (F.log1p(F.col("docs") / (F.col("df1") + F.col("df2") + 1)) * mult).alias("u"))
@@ -131,20 +151,12 @@ def candidates(profile: DataFrame, cfg: Config = Config(), query: DataFrame | No
     Statistics cover all records, also where query (s1_id) limits the records that pairs are wanted for. embedded: pairs
     (s1_id, cand_id, src2, bit) of vector passes.
     """
-    members = grouped(profile, cfg.block_within_country)
-    scores = pair_scores(weighted(postings(members), members, cfg.max_key_pairs))
-    ranked = scores
-    passes = [("all", "bs", cfg.k_all), ("name", "bsn", cfg.k_name), ("addr", "bsa", cfg.k_addr)]
-    bits = F.lit(0)
-    for name, score, k in passes:
-        fit = F.col(score) >= cfg.min_block_score
-        by = Window.partitionBy("grp", "s1_id", "src2").orderBy(F.col(score).desc(), "cand_id")
-        ranked = ranked.withColumn(f"__{name}", F.row_number().over(by))
-        bits += F.when(fit & (F.col(f"__{name}") <= k), PASS_BIT[name]).otherwise(0)
-    back = Window.partitionBy("grp", "cand_id").orderBy(F.col("bs").desc(), "s1_id")
-    ranked = ranked.withColumn("__reverse", F.row_number().over(back))
-    bits += F.when((F.col("bs") >= cfg.min_block_score) & (F.col("__reverse") <= cfg.k_reverse), PASS_BIT["reverse"]).otherwise(0)
-    found = ranked.withColumn("mask", bits).filter("mask > 0").select("s1_id", "cand_id", "src2", "bs", "bsn", "bsa", "mask")
+    members = with_groups(profile, cfg.block_within_country)
+    scores = pair_scores(weighted(postings(members), members, cfg.max_key_pairs)).persist(StorageLevel.DISK_ONLY)  # read by every pass; what a lost executor had is made again
+    passes = [("all", "bs", cfg.k_all, False), ("name", "bsn", cfg.k_name, False), ("addr", "bsa", cfg.k_addr, False), ("reverse", "bs", cfg.k_reverse, True)]
+    # each pass keeps its best by itself, so that ranks are cut off early; all read the same scores
+    kept = [top(scores, k, score, cfg.min_block_score, back).drop("rk").withColumn("mask", F.lit(PASS_BIT[name])) for name, score, k, back in passes]
+    found = reduce(DataFrame.unionByName, kept).groupBy("s1_id", "cand_id", "src2", "grp").agg(*(F.first(c).alias(c) for c in ("bs", "bsn", "bsa")), F.bit_or("mask").alias("mask")).drop("grp")
     if embedded:
         more = embedded[0]
         for e in embedded[1:]:
