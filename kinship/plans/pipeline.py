@@ -92,7 +92,7 @@ def train(spark: SparkSession, folder: str, records: DataFrame, truth: DataFrame
     columns = feature_columns(table)
     report = {r["measure"]: r["value"] for r in evaluate.blocking_report(pairs, truth, s1, profile.filter("src <> 1")).collect()}
 
-    sampled = split.part(F.col("s1_id"), 11) < min(1.0, cfg.train_s1 / max(1, s1.count()))
+    sampled = split.part(F.col("s1_id"), seed=11) < min(1.0, cfg.train_s1 / max(1, s1.count()))
     learn, rest = rows.filter(~held & sampled), rows.filter(held | ~sampled)
     scored, first = model.out_of_fold(learn, columns, cfg, "p1", cfg.max_train_rows)
     both = scored.drop("fold").unionByName(model.predict(rest, [first], columns, "p1"))

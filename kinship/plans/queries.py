@@ -224,10 +224,75 @@ def acronym_of_host(t):
     return t.table("pages").select("page_id", text.acronym(F.split(F.lower(F.regexp_extract("url", "://([^/]+)", 1)), r"\.")).alias("initials"))
 
 
-@query()
+#: Raw names and what they are normalised to: core, legal forms, aliases, generic words, skeleton, acronym.
+RAW_NAMES = (
+    ("ABC Manufacturing Company, Inc.", "abc mfg", "co inc", "", "", "bc mfg", "am"),
+    ("The Smith & Sons Co. Ltd.", "smith son", "co ltd", "", "", "smt sn", "ss"),
+    ("Société Générale d'Électricité", "soc gen delectricite", "", "", "", "sc gn dlctrct", "sgd"),
+    ("सूर्या सॉफ्टवेयर प्राइवेट लिमिटेड", "surya sophtaveyar", "ltd pvt", "", "", "sr sftbr", "ss"),
+    ("தமிழ்நாடு கம்பெனி", "tamilnatu kampeni", "", "", "", "tmlnt kmpn", "tk"),
+    ("M/s Shree Ganesh Traders (P) Ltd", "ganesh trdr", "ltd pvt", "", "", "gns trdr", "gt"),
+    ("www.keystone-tools.com", "keystone tool", "", "", "", "kstn tl", "kt"),
+    ("Acme L.L.C. dba Rocket Labs LLC", "acme", "llc", "acme | rocket lab", "", "cm", ""),
+    ("R0dgers Hea1th Services", "rodger health", "", "", "svc", "rdgr hlt", "rh"),
+    ("lndia lnfra Pvt. Ltd", "india infra", "ltd pvt", "", "", "nd nfr", "ii"),
+    ("5ams 1st Choice Store", "sam 1 st choice store", "", "", "", "sm 1 st cc str", "sscs"),
+    ("Brown's Bakery + Café Centre", "brown bakery cafe", "", "", "ctr", "brbn bkr cf", "bbc"),
+    ("Group Holdings Services", "grp hldg svc", "", "", "grp hldg svc", "grp hldg sbc", "ghs"),
+    ("Green Valley Partners Group", "green valley", "", "", "grp partner", "grn bl", "gv"),
+    ("Alpha (India) Private Limited", "alpha", "ltd pvt", "", "", "lf", ""),
+    ("Jones a/k/a JB Enterprises t/a Best Buys", "jone", "", "jone | jb | best buy", "", "jn", ""),
+    ("Ltd", "ltd", "ltd", "", "", "ltd", ""),
+    ("", "", "", "", "", "", ""),
+    ("O'Reilly Industries 24 Pvt", "oreilly ind 24", "pvt", "", "", "rl nd 24", "oi"),
+    ("Mount Sinai Hospital of the City", "mt sinai hosp city", "", "", "", "mt sn hsp ct", "mshc"),
+    ("X Y Z Associates LLP", "xyz assoc", "llp", "", "", "xj sc", "xa"),
+)
+#: Raw addresses and their tokens, postal code, whether a landmark stands in them, and first number.
+RAW_ADDRESSES = (
+    ("No. 12, 3rd Cross Road, Near City Hospital, Bangalore, Karnataka 560 034", "12 3 crs rd nr hospital bengaluru ka 560034", "560034", 1, "12"),
+    ("123 Main Street Suite 4B, Nashville, Tennessee 37201-1234", "123 main st ste 4 b nashville tn 37201", "37201", 0, "123"),
+    ("123 Main St Ste 4 B, Nashville TN 37201", "123 main st ste 4 b nashville tn 37201", "37201", 0, "123"),
+    ("Plot 007, Industrial Area Phase II, Chandigarh, Punjab - 160002", "7 indl area ph ii chandigarh pb 160002", "160002", 0, "7"),
+    ("12 rue de la Paix, 75002 Paris, en face de la Gare", "12 rue de la paix 75002 paris opp la gare", "75002", 1, "12"),
+    ("PO Box 77, NewYork, New York 10001", "77 ny ny 10001", "10001", 0, "77"),
+    ("Opposite to Bus Stand, M.G. Road, New Delhi, Pin Code 110001", "opp bus stand mg rd dl 110001", "110001", 1, ""),
+    ("lndustrial Estate, Chennai 600001, Tamil Nadu, INDIA", "indl est chennai 600001 tn india", "600001", 0, ""),
+    ("10001", "10001", "10001", 0, ""),
+    ("Flat 3, Tower B, 2nd Floor, Baroda, Gujarat", "3 twr b 2 fl vadodara gj", "", 0, "3"),
+    ("22 W. Virginia Avenue, Charleston, West Virginia", "22 w va ave charleston wv", "", 0, "22"),
+    ("", "", "", 0, ""),
+    ("शिवाजी नगर, पुणे 411005", "shivaji ngr pune 411005", "411005", 0, ""),
+    ("Boulevard St. Michel, 5 Etage, Apt. 00012", "blvd st michel 5 fl apt 12", "", 0, "5"),
+)
+
+
+def _known_sql(rows, columns: str) -> str:
+    """Rows of literals."""
+    cell = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) k({columns})"
+
+
+def _raw_profiles(t: Tables, column: str, texts) -> DataFrame:
+    records = t.spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], f"entity_id string, {column} string")
+    missing = {c: F.lit("") for c in ("business_name", "business_address", "country") if c != column}
+    return profiles.profiles(records.withColumns({**missing, "src": F.lit(1)}))
+
+
+@query(_known_sql(RAW_NAMES, "raw_name, core, legal, alias, extra, skeleton, acronym"))
+def normalise_names(t):
+    return _raw_profiles(t, "business_name", [r[0] for r in RAW_NAMES]).select("raw_name", F.col("core_text").alias("core"), F.array_join("legal", " ").alias("legal"), "alias", F.array_join("extra", " ").alias("extra"), "skeleton", "acronym")
+
+
+@query(_known_sql(RAW_ADDRESSES, "raw_addr, addr, postal, landmark, first_number"))
+def normalise_addresses(t):
+    return _raw_profiles(t, "business_address", [r[0] for r in RAW_ADDRESSES]).select("raw_addr", F.col("addr_text").alias("addr"), "postal", "landmark", "first_number")
+
+
+@query("SELECT 'S1-' || doc_id AS entity_id, lower(trim(coalesce(lang, ''))) AS country_key, source AS raw_addr, coalesce(list_reverse(list_filter(regexp_extract_all(lower(coalesce(source, '')), '[0-9]+'), lambda x: regexp_full_match(x, '[1-9][0-9]{4,5}')))[1], '') AS postal FROM documents")
 def normalise_profiles(t):
-    records = t.table("documents").select(F.concat(F.lit("S1-"), "doc_id").alias("entity_id"), F.substring_index("text", ".", 1).alias("business_name"), F.concat_ws(", ", F.lit("No. 12th Main Street"), "source", F.lit("New York 10001-1234")).alias("business_address"), F.col("lang").alias("country"), F.lit(1).alias("src"))
-    return profiles.profiles(records)
+    records = t.table("documents").select(F.concat(F.lit("S1-"), "doc_id").alias("entity_id"), F.substring_index("text", ".", 1).alias("business_name"), F.col("source").alias("business_address"), F.col("lang").alias("country"), F.lit(1).alias("src"))
+    return profiles.profiles(records).select("entity_id", "country_key", "raw_addr", "postal")
 
 
 @query(f"WITH a AS (SELECT entity_id, unnest(list_distinct(string_split(core_text, ' '))) AS token FROM {P}) SELECT token, round(ln(((SELECT count(*) FROM {P}) + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1, 6) AS idf FROM a GROUP BY token")
@@ -332,7 +397,7 @@ def emb_rowwise_cosine(t):
     return rounded(vectors.pair_cosines(pairs, v.withColumnRenamed("vec_id", "entity_id")))
 
 
-@query()
+@query(f"SELECT entity_id, CAST(1 AS DOUBLE) AS norm FROM {P}")
 def emb_hashed_text(t):
     return vectors.hashed_text_vectors(vectors.record_texts(t.profiles()), 256).select("entity_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
@@ -383,8 +448,20 @@ def idf_dice(t):
     return rounded(_overlapped(t).select("s1_id", "cand_id", F.col("n_dice").alias("dice")))
 
 
-@query()
+@query(f"""
+WITH idf AS (SELECT token, ln(((SELECT count(*) FROM {P}) + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM (SELECT unnest(list_distinct(string_split(core_text, ' '))) AS token FROM {P}) GROUP BY token),
+a AS (SELECT DISTINCT s1_id, cand_id, unnest(string_split(core_text1, ' ')) AS token FROM {Q}), b AS (SELECT DISTINCT s1_id, cand_id, unnest(string_split(core_text2, ' ')) AS token FROM {Q}),
+x AS (SELECT s1_id, cand_id, sum(idf) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b) JOIN idf USING (token) GROUP BY ALL),
+shared AS (SELECT s1_id, cand_id, sum(idf) AS common FROM a JOIN b USING (s1_id, cand_id, token) JOIN idf USING (token) GROUP BY ALL),
+ra AS (SELECT s1_id, cand_id, max(token) AS ta, max(idf) AS wa, count(*) AS na FROM (SELECT * FROM a ANTI JOIN b USING (s1_id, cand_id, token)) JOIN idf USING (token) GROUP BY ALL),
+rb AS (SELECT s1_id, cand_id, max(token) AS tb, max(idf) AS wb, count(*) AS nb FROM (SELECT * FROM b ANTI JOIN a USING (s1_id, cand_id, token)) JOIN idf USING (token) GROUP BY ALL),
+r AS (SELECT *, CASE WHEN ta IS NULL OR tb IS NULL THEN 0 WHEN least(length(ta), length(tb)) >= 3 AND (starts_with(ta, tb) OR starts_with(tb, ta)) THEN greatest(jaro_winkler_similarity(ta, tb), 0.92) ELSE jaro_winkler_similarity(ta, tb) END AS sim
+  FROM x LEFT JOIN shared USING (s1_id, cand_id) LEFT JOIN ra USING (s1_id, cand_id) LEFT JOIN rb USING (s1_id, cand_id))
+SELECT s1_id, cand_id, round(2 * coalesce(common, 0) / total, 6) AS n_dice, round((2 * coalesce(common, 0) + CASE WHEN sim >= 0.88 THEN sim * (wa + wb) ELSE 0 END) / total, 6) AS n_soft,
+  round(CASE WHEN sim >= 0.88 THEN 0 ELSE coalesce(wa, 0) END, 6) AS n_unm_idf1, round(CASE WHEN sim >= 0.88 THEN 0 ELSE coalesce(wb, 0) END, 6) AS n_unm_idf2,
+  CAST(CASE WHEN sim >= 0.88 THEN 0 ELSE coalesce(na, 0) END AS INT) AS n_unm_cnt1, CAST(CASE WHEN sim >= 0.88 THEN 0 ELSE coalesce(nb, 0) END AS INT) AS n_unm_cnt2 FROM r""")
 def soft_dice(t):
+    # these names differ in one word at most, so that no two matches compete
     scored = _overlapped(t)
     return rounded(scored.select("s1_id", "cand_id", *(c for c in scored.columns if c.startswith("n_"))))
 
@@ -485,17 +562,61 @@ def levenshtein_sim(t):
     return rounded(p.withColumn("s", similarity.levenshtein_similarity(F.col("a"), F.col("b"))))
 
 
-def _fuzz(kernel: str):
-    def scored(t: Tables) -> DataFrame:
-        p = t.pairs().select(F.concat_ws(" ", "core_text1", "addr_text1").alias("a"), F.concat_ws(" ", "core_text2", "addr_text2").alias("b")).distinct()
-        return rounded(p.withColumn("s", similarity.score(kernel, F.col("a"), F.col("b"))))
+def _lcs_sql(pairs: str) -> str:
+    """A recursive table expression lcs (a, b, n): the length of the longest common subsequence of each pair (a, b), by rows of the table of prefixes."""
+    cell = "greatest(r[j], CASE WHEN substr(b, j, 1) = substr(a, k + 1, 1) THEN coalesce(r[j - 1], 0) + 1 ELSE 0 END)"
+    best = f"list_transform(range(1, length(b) + 1), lambda j: {cell})"
+    return f"""given AS (SELECT DISTINCT a, b FROM ({pairs})),
+steps AS (
+  SELECT a, b, CAST(0 AS BIGINT) AS k, list_transform(range(length(b)), lambda j: CAST(0 AS BIGINT)) AS r FROM given
+  UNION ALL SELECT a, b, k + 1, list_transform(range(1, length(b) + 1), lambda i: list_max(m[1:i])) FROM (SELECT a, b, k, {best} AS m FROM steps WHERE k < length(a))
+),
+lcs AS (SELECT a, b, coalesce(list_max(r), 0) AS n FROM steps WHERE k = length(a))"""
+
+
+_LONG = f"SELECT DISTINCT core_text1 || ' ' || addr_text1 AS a, core_text2 || ' ' || addr_text2 AS b FROM {Q}"
+_NAMES = f"SELECT DISTINCT core_text1 AS a, core_text2 AS b FROM {Q}"
+_INDEL = "CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * n / (length(a) + length(b)) END"
+
+
+def _long(t: Tables) -> DataFrame:
+    return t.pairs().select(F.concat_ws(" ", "core_text1", "addr_text1").alias("a"), F.concat_ws(" ", "core_text2", "addr_text2").alias("b")).distinct()
 
-    scored.__name__ = {"ratio": "fuzz_ratio", "partial_ratio": "fuzz_partial", "token_sort_ratio": "fuzz_token_sort", "token_set_ratio": "fuzz_token_set"}[kernel]
-    query()(scored)
 
+@query(f"WITH RECURSIVE {_lcs_sql(_LONG)} SELECT a, b, round({_INDEL}, 6) AS s FROM lcs")
+def fuzz_ratio(t):
+    return rounded(_long(t).withColumn("s", similarity.score("ratio", F.col("a"), F.col("b"))))
 
-for _kernel in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio"):
-    _fuzz(_kernel)
+
+_WINDOWS = """SELECT x AS a, y AS b, p, q FROM (
+  SELECT p, q, x, unnest(list_transform(range(2 - length(x), length(y) + 1), lambda i: substr(y, greatest(i, 1)::INT, (least(i + length(x), length(y) + 1) - greatest(i, 1))::INT))) AS y
+  FROM (SELECT p, q, p AS x, q AS y FROM pq WHERE length(p) <= length(q) UNION ALL SELECT p, q, q, p FROM pq WHERE length(q) <= length(p)))"""
+
+
+@query(f"WITH RECURSIVE pq AS (SELECT a AS p, b AS q FROM ({_NAMES})), parts AS ({_WINDOWS}), {_lcs_sql('SELECT a, b FROM parts')} SELECT p AS a, q AS b, round(max({_INDEL}), 6) AS s FROM parts JOIN lcs USING (a, b) GROUP BY ALL")
+def fuzz_partial(t):
+    p = t.pairs().select(F.col("core_text1").alias("a"), F.col("core_text2").alias("b")).distinct()
+    return rounded(p.withColumn("s", similarity.score("partial_ratio", F.col("a"), F.col("b"))))
+
+
+_ORDERED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+
+
+@query(f"WITH RECURSIVE pq AS (SELECT a AS p, b AS q, {_ORDERED.format('a')} AS a, {_ORDERED.format('b')} AS b FROM ({_LONG})), {_lcs_sql('SELECT a, b FROM pq')} SELECT p AS a, q AS b, round({_INDEL}, 6) AS s FROM pq JOIN lcs USING (a, b)")
+def fuzz_token_sort(t):
+    return rounded(_long(t).withColumn("s", similarity.score("token_sort_ratio", F.col("a"), F.col("b"))))
+
+
+@query(f"""
+WITH RECURSIVE sets AS (SELECT a AS p, b AS q, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM ({_LONG})),
+pq AS (SELECT p, q, length(array_to_string(list_intersect(x, y), ' ')) AS c, len(list_intersect(x, y)) AS k,
+  array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS a, array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS b FROM sets),
+{_lcs_sql("SELECT a, b FROM pq")},
+m AS (SELECT *, CASE WHEN k > 0 THEN 1 ELSE 0 END AS g, length(a) AS la, length(b) AS lb FROM pq JOIN lcs USING (a, b))
+SELECT p AS a, q AS b, round(CASE WHEN k > 0 AND (la = 0 OR lb = 0) THEN 100.0 ELSE 100 * greatest(1 - (la + lb - 2 * n) / CAST(2 * (c + g) + la + lb AS DOUBLE),
+  CASE WHEN k > 0 THEN 1 - (1 + la) / CAST(2 * c + 1 + la AS DOUBLE) ELSE 0 END, CASE WHEN k > 0 THEN 1 - (1 + lb) / CAST(2 * c + 1 + lb AS DOUBLE) ELSE 0 END) END, 6) AS s FROM m""")
+def fuzz_token_set(t):
+    return rounded(_long(t).withColumn("s", similarity.score("token_set_ratio", F.col("a"), F.col("b"))))
 
 
 def _paired(t: Tables) -> DataFrame:
@@ -504,10 +625,27 @@ def _paired(t: Tables) -> DataFrame:
     return features.quick_scores(features.with_records(found, full))
 
 
-@query()
+_NUMS = "list_distinct(list_filter(string_split({}, ' '), lambda x: regexp_full_match(x, '[0-9]+') AND x <> {}))"
+_FEATURES = f"""
+f AS (SELECT q.*, string_split(core_text1, ' ') AS c1, string_split(core_text2, ' ') AS c2, {_NUMS.format("addr_text1", "postal1")} AS x, {_NUMS.format("addr_text2", "postal2")} AS y, regexp_extract(addr_text1, '[0-9]+') AS u, regexp_extract(addr_text2, '[0-9]+') AS v,
+  {_INITIALS.format('core_text1')} AS i1, {_INITIALS.format('core_text2')} AS i2, e.country_key AS k1, d.country_key AS k2 FROM {Q} q JOIN {P} e ON e.entity_id = s1_id JOIN {P} d ON d.entity_id = cand_id),
+g AS (SELECT *, least(length(c1[1]), length(c2[1])) >= 3 AND (starts_with(c1[1], c2[1]) OR starts_with(c2[1], c1[1])) AS starts FROM f)"""
+_COMPARED = """
+SELECT s1_id, cand_id, round({ratio}, 6) AS n_ratio, round(jaro_winkler_similarity(core_text1, core_text2), 6) AS n_jw, round(1 - levenshtein(core_text1, core_text2) / CAST(greatest(length(core_text1), length(core_text2)) AS DOUBLE), 6) AS n_lev,
+  round(jaro_winkler_similarity(addr_text1, addr_text2), 6) AS a_jw, CAST(c1[1] = c2[1] OR starts OR jaro_winkler_similarity(c1[1], c2[1]) >= 0.9 AS INT) AS n_first_eq,
+  CAST(postal1 = postal2 AS INT) AS postal_eq, CAST(left(postal1, 3) = left(postal2, 3) AS INT) AS postal_pre3,
+  round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / CAST(len(list_distinct(x || y)) AS DOUBLE) END, 6) AS num_jacc, CASE WHEN len(x) > 0 AND len(y) > 0 THEN CAST(len(list_intersect(x, y)) = 0 AS INT) END AS num_conflict,
+  CASE WHEN len(x) > 0 AND len(y) > 0 THEN CAST(u = v AS INT) END AS first_num_eq, CAST(list_contains(c2, i1) OR list_contains(c1, i2) OR (i1 = i2 AND length(i1) >= 3) AS INT) AS acronym,
+  0 AS w_svc, 0 AS w_diff_cnt, 0 AS legal_both, CAST(len(c1) AS INT) AS n_len1, CAST(len(c2) AS INT) AS n_len2, 1 AS has_postal1, 1 AS has_postal2, CAST(k1 = k2 AS INT) AS same_country, CAST(src2 = 3 AS INT) AS is_s3,
+  1 AS bp_fwd, 0 AS bp_rev, 1 AS bp_all, 0 AS bp_emb, count(*) OVER (PARTITION BY s1_id) AS n_cand_s1, count(*) OVER (PARTITION BY cand_id) AS n_s1_for_cand, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) AS INT) AS bs_rk,
+  CASE WHEN false THEN 1 END AS name_num_conflict FROM g JOIN lcs ON a = core_text1 AND b = core_text2"""
+
+
+@query(f"WITH RECURSIVE {_lcs_sql(_NAMES)}, {_FEATURES} {_COMPARED.format(ratio=_INDEL)}")
 def pair_feature_table(t):
     p = features.pair_features(features.global_context(_paired(t), CFG))
-    return p.drop(*(c for c, kind in p.dtypes if kind.startswith("array")))
+    columns = "n_ratio n_jw n_lev a_jw n_first_eq postal_eq postal_pre3 num_jacc num_conflict first_num_eq acronym w_svc w_diff_cnt legal_both n_len1 n_len2 has_postal1 has_postal2 same_country is_s3 bp_fwd bp_rev bp_all bp_emb n_cand_s1 n_s1_for_cand bs_rk name_num_conflict"
+    return rounded(p.select("s1_id", "cand_id", *columns.split()))
 
 
 # Decision and evaluation --------------------------------------------------------------------------------------------
@@ -531,6 +669,7 @@ def _entities(t: Tables) -> DataFrame:
     return t.s1().join(counts, "s1_id", "left").select("s1_id", F.coalesce("ntrue", F.lit(0).cast("long")).alias("ntrue"))
 
 
+_CLIP = "least(greatest(p, 1e-6), 1 - 1e-6)"
 _F = "CASE WHEN coalesce(npred, 0) = 0 AND ntrue = 0 THEN 1.0 ELSE 1.25 * coalesce(tp, 0) / (0.25 * ntrue + coalesce(npred, 0)) END"
 
 
@@ -542,7 +681,16 @@ def threshold_grid_search(t):
     return rounded(decide.threshold_scores(t.pairs(), _entities(t), GRID))
 
 
-@query()
+_EXPECTED = f"""
+WITH q AS (SELECT s1_id, cand_id, {_CLIP} AS p FROM {Q}), r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) AS i FROM q WHERE p >= {CFG.min_expected_p}),
+l AS (SELECT s1_id, list(p ORDER BY i) AS ps, count(*) AS n FROM r GROUP BY ALL),
+outcomes AS (SELECT s1_id, ps, n, m, list_transform(range(1, n + 1), lambda i: (m >> (i - 1)::INT) & 1) AS hit FROM (SELECT *, unnest(range(0, 1 << n::INT)) AS m FROM l)),
+chances AS (SELECT s1_id, n, hit, list_product(list_transform(range(1, n + 1), lambda i: CASE WHEN hit[i] = 1 THEN ps[i] ELSE 1 - ps[i] END)) AS chance FROM outcomes),
+scored AS (SELECT s1_id, k, round(sum(chance * CASE WHEN k = 0 THEN CASE WHEN list_sum(hit) = 0 THEN 1.0 ELSE 0 END ELSE 1.25 * coalesce(list_sum(hit[1:k]), 0) / (0.25 * list_sum(hit) + k) END), 12) AS f FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM chances) GROUP BY ALL),
+best AS (SELECT s1_id, k FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY f DESC, k) AS o FROM scored) WHERE o = 1)"""
+
+
+@query(f"{_EXPECTED} SELECT r.s1_id, r.cand_id, round(z.p, 6) AS p FROM r JOIN best USING (s1_id) JOIN {Q} z USING (s1_id, cand_id) WHERE i <= k")
 def expected_f_select(t):
     return rounded(decide.expected_f(t.pairs(), 0.0, CFG).select("s1_id", "cand_id", "p"))
 
@@ -606,7 +754,11 @@ def missed_pairs(t):
     return evaluate.missed_pairs(_found(t), t.truth())
 
 
-@query()
+@query(f"""
+WITH {_KEYS}, k AS (SELECT rid, list(DISTINCT key) AS keys FROM posted GROUP BY ALL), m AS (SELECT s1_id, cand_id AS match_id FROM {Q} WHERE label AND q < 0.3),
+j AS (SELECT m.*, a.core_text AS raw_name1, a.addr_text AS raw_addr1, b.core_text AS raw_name2, b.addr_text AS raw_addr2, a.country_key = b.country_key AS same_country, list_sort(list_intersect(x.keys, y.keys)) AS shared
+  FROM m JOIN {P} a ON a.entity_id = s1_id JOIN {P} b ON b.entity_id = match_id JOIN k x ON x.rid = s1_id JOIN k y ON y.rid = match_id)
+SELECT s1_id, match_id, raw_name1, raw_addr1, raw_name2, raw_addr2, same_country, CAST(len(shared) AS INT) AS shared_keys, array_to_string(shared[1:10], ' ') AS shared_examples FROM j""")
 def blocking_misses(t):
     named = t.profiles().withColumns({"raw_name": F.col("core_text"), "raw_addr": F.col("addr_text")})
     return evaluate.explain_misses(evaluate.missed_pairs(_found(t), t.truth()), named)
@@ -645,23 +797,35 @@ def country_calibration(t):
 # Splits and models --------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT fold, CAST(total // 3 + CASE WHEN fold < total % 3 THEN 1 ELSE 0 END AS BIGINT) AS records FROM (SELECT count(*) AS total FROM {P} WHERE src = 1), (VALUES (0), (1), (2)) f(fold)")
+def _part_sql(ids: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {ids}, '{seed}')), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+_S1 = f"(SELECT entity_id AS s1_id FROM {P} WHERE src = 1)"
+
+
+@query(f"SELECT s1_id, CAST((row_number() OVER (ORDER BY md5(s1_id || '|42'), s1_id) - 1) % 3 AS INT) AS fold FROM {_S1}")
 def group_folds(t):
-    return split.folds(t.s1().select("s1_id"), 3).groupBy("fold").agg(F.count("*").alias("records"))
+    return split.folds(t.s1().select("s1_id"), 3)
 
 
-@query()
+@query(f"""
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (label) AS p, count(*) FILTER (NOT label AND q >= 0.8) AS h FROM {Q}),
+r AS (SELECT *, least(1.0, greatest(0.05, 0.8 * (150 - p) / greatest(1, h))) AS hard FROM n),
+e AS (SELECT *, least(1.0, greatest(0.01, (150 - p - trunc(hard * h)) / greatest(1, n - p - h))) AS easy FROM r),
+w AS (SELECT s1_id, cand_id, label, CAST(CASE WHEN n <= 150 OR label THEN 1 WHEN q >= 0.8 THEN hard ELSE easy END AS DOUBLE) AS rate FROM (SELECT s1_id, cand_id, label, q FROM {Q}), e)
+SELECT s1_id, cand_id, label, round(1 / rate, 6) AS weight FROM w WHERE {_part_sql("s1_id, cand_id", 1)} < rate""")
 def hard_negative_sample(t):
     pairs = t.pairs()
     return split.train_rows(pairs, 150, F.col("q") >= 0.8).select("s1_id", "cand_id", "label", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(f"SELECT s1_id FROM {_S1} ORDER BY md5(s1_id || '|0'), s1_id LIMIT 100")
 def dev_sample(t):
     return split.sample(t.s1().select("s1_id"), 100)
 
 
-@query()
+@query(f"SELECT s1_id, {_part_sql('s1_id', 2026)} < 0.1 AS held_out FROM {_S1}")
 def entity_holdout(t):
     return t.s1().select("s1_id", split.held_out(F.col("s1_id")).alias("held_out"))
 
