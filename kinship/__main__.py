@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from dataclasses import replace
 
@@ -15,6 +16,12 @@ from kinship.plans import pipeline
 from kinship.sources import tsv
 
 
+def _named(name: str):
+    """The function that module:function names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--data-dir", required=True)
@@ -29,6 +36,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     parser.add_argument("--no-emb", action="store_true")
     parser.add_argument("--no-decoy", action="store_true")
     parser.add_argument("--no-calibrate", action="store_true")
+    parser.add_argument("--encoder", type=_named, default=pipeline.trigrams, help="module:function that turns (entity_id, text) into (entity_id, v)")
+    parser.add_argument("--validator", type=_named, help="module:function that is given the paths of both results and returns a list of problems")
     args = parser.parse_args(argv)
     given = {k: v for k, v in vars(args).items() if v is not None and k in Config.__dataclass_fields__}
     cfg = replace(Config(), block_within_country=not args.no_country_block, **given)
@@ -37,7 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
 
     records, truth = tsv.read_split(spark, args.data_dir, "train"), tsv.read_truth(spark, args.data_dir)
     query = split.sample(records.filter("src = 1").select(F.col("entity_id").alias("s1_id")), args.dev) if args.dev else None
-    options = {"embed": not args.no_emb, "words": not args.no_decoy}
+    options = {"embed": not args.no_emb, "words": not args.no_decoy, "encoder": args.encoder}
     if args.blocking_only:
         profile, pairs, _ = pipeline.featured(spark, work, "train", records, cfg, None, query, **options)
         s1 = profile.filter("src = 1").select(F.col("entity_id").alias("s1_id"))
@@ -48,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         pipeline.save(trained, f"{work}/models")
         report = {"train": trained.report}
         if not args.dev:
-            report["test"] = pipeline.match(spark, work, args.out_dir, tsv.read_split(spark, args.data_dir, "test"), trained, cfg, not args.no_calibrate, **options)
+            report["test"] = pipeline.match(spark, work, args.out_dir, tsv.read_split(spark, args.data_dir, "test"), trained, cfg, not args.no_calibrate, **options, validator=args.validator)
     print(json.dumps(report, indent=1, default=str))
     return report
 

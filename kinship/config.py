@@ -33,6 +33,10 @@ class Config:
     tree_depth: int = 5
     tree_rounds: int = 40
     learning_rate: float = 0.1
+    seeds: tuple[int, ...] = (42,)
+    # records that say when to stop boosting (0: none do), and the least gain of a round
+    early_share: float = 0.1
+    early_tolerance: float = 0.001
     # second opinion on pairs
     top_pairs: int = 10
     min_pair_p: float = 0.005
@@ -42,6 +46,9 @@ class Config:
     threshold_grid: tuple[float, ...] = field(default_factory=lambda: tuple(round(0.2 + 0.025 * i, 4) for i in range(31)))
     bias_grid: tuple[float, ...] = (-1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5)
     min_expected_p: float = 0.02
+    # rows of the reports on errors
+    max_errors: int = 5000
+    max_misses: int = 3000
     # learned transliteration
     translit_count: int = 3
     translit_share: float = 0.5

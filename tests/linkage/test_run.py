@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinship.__main__ import main
+from kinship.config import Config
 from kinship.plans import pipeline
 from kinship.sources import tsv
 from kinship.streaming.profiles import profile_stream, to_parquet
@@ -47,7 +48,30 @@ def test_whole_run(spark, tmp_path):
     assert lists.count() == 64 and lists.filter("matched_entity_ids is not null").count() > 20
     assert os.path.isdir(tmp_path / "out" / "matching_results_calibrated") and os.path.isdir(tmp_path / "work" / "artifacts" / "oof_errors")
     again = pipeline.load(spark, str(tmp_path / "work" / "models"))
-    assert again.rule == report["train"]["rule"] and "fr" not in again.countries
+    assert again.rule == report["train"]["rule"] and "fr" not in again.countries and again.opinion == []
+
+
+def own_check(matches, candidates):
+    return [f"seen: {os.path.basename(matches)} {os.path.basename(candidates)}"]
+
+
+def test_second_opinion_is_given_when_matching_too(spark, tmp_path, monkeypatch):
+    write(tmp_path / "data", "train")
+    write(tmp_path / "data", "test")
+    stacked = []
+    plain = pipeline.features.stacked
+    monkeypatch.setattr(pipeline.features, "stacked", lambda pairs, second=None: stacked.append(plain(pairs, second)) or stacked[-1])
+    cfg = Config(tree_rounds=3, tree_depth=3, folds=2, k_all=5, k_name=3, k_addr=3, seeds=(1, 2), threshold_grid=(0.2, 0.4, 0.6), bias_grid=(0.0,))
+    records, truth = tsv.read_split(spark, str(tmp_path / "data"), "train"), tsv.read_truth(spark, str(tmp_path / "data"))
+    pipeline.save(pipeline.train(spark, str(tmp_path / "w"), records, truth, cfg, True, embed=False), str(tmp_path / "models"))
+    trained = pipeline.load(spark, str(tmp_path / "models"))
+    assert len(trained.first) == len(trained.second) == len(trained.opinion) == 2
+    report = pipeline.match(spark, str(tmp_path / "w"), str(tmp_path / "out"), tsv.read_split(spark, str(tmp_path / "data"), "test"), trained, cfg, embed=False, validator=own_check)
+    assert report["problems"] == ["seen: matching_results candidate_pairs"]
+    for rows in stacked:  # of training and of matching
+        n, some, ahead = rows.select(F.count("*"), F.sum("has_ce"), F.sum((F.col("ce") >= 0).cast("int"))).first()
+        assert 0 < some == ahead <= n and "ce_rk" in rows.columns
+    assert len(stacked) == 2
 
 
 def test_blocking_only(spark, tmp_path):
