@@ -34,7 +34,7 @@ from kinship.llm.components import smallest_names
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.9999
 #: Sets and shingles of a bucket that is compared as it is, and how often a larger one is split.
-GROUP, CELLS, DEPTH = 2048, 1 << 22, 2
+GROUP, CELLS, DEPTH = 2048, 1 << 21, 2
 #: Independent splits of a bucket: three keep the target at any depth within the same number of runs.
 SPLITS = 3
 #: The bits of a bucket's number that name its run.
@@ -72,8 +72,8 @@ def next_paths(sets: np.ndarray, node: int, threshold: float) -> np.ndarray:
     return np.int64(node & ~low) | (mixed(sets[j] + keys[split]) >> np.uint64(RUN_BITS + 1)).astype(np.int64)
 
 
-def shared_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """How many elements each two sets have in common."""
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, step: int = 1024) -> np.ndarray:
+    """How many elements each set of rows has in common with each of columns."""
     n = len(sets)
     owner, value = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets]), np.concatenate(sets)
     order = np.argsort(value, kind="stable")
@@ -83,35 +83,42 @@ def shared_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     keep = np.repeat(times > 1, times)
     column = np.cumsum(np.repeat(times > 1, times) & new) - 1
     owner, column = owner[keep], column[keep]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((len(rows), len(columns)), np.float32)
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, (first, first + step))
         x = np.zeros((n, min(step, int(column[b - 1]) - first + 1)), np.float32)
         x[owner[a:b], column[a:b] - first] = 1
-        out += x @ x.T
+        out += x[rows] @ x[columns].T
     return out
 
 
-def compare(sets: list[np.ndarray], nodes: list[np.ndarray], node: int, half: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(linked, counted): which members link, and which of these pairs are counted here as no earlier bucket has both. half: the block of each, if two blocks are compared."""
+def compare(sets: list[np.ndarray], nodes: list[np.ndarray], node: int, rows: np.ndarray, columns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(linked, counted) of the members `rows` with `columns`: which link, and which of these pairs are counted here as no earlier bucket has both."""
     size = np.array([len(s) for s in sets], np.float64)
-    linked = shared_counts(sets).astype(np.float64) * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
-    np.fill_diagonal(linked, False)
-    if half is not None:
-        linked &= half[:, None] != half[None, :]
-    return linked, linked & (shared_counts([x[x < node] for x in nodes]) == 0) if linked.any() else linked
+    shared = shared_counts(sets, rows, columns)
+    linked = np.empty(shared.shape, bool)
+    for i in range(0, len(rows), 256):  # counts up to 2 ** 24 are exact in single precision, but not their products
+        linked[i : i + 256] = shared[i : i + 256].astype(np.float64) * (1 + threshold) >= threshold * (size[rows[i : i + 256], None] + size[columns][None]) - 1e-6
+    linked &= rows[:, None] != columns[None, :]
+    return linked, linked & (shared_counts([x[x < node] for x in nodes], rows, columns) == 0) if linked.any() else linked
 
 
-def roots(linked: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The smallest number that links reach from each member."""
-    root = number.copy()
-    a, b = np.nonzero(linked)
+def roots(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The smallest number that links of rows with columns reach from each member; worked off by some rows at a time, as most of a group may be linked."""
+    root, none = number.copy(), np.iinfo(number.dtype).max
     while True:
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        if (new == root).all():
+        before = root.copy()
+        for i in range(0, len(rows), 256):
+            part, r = linked[i : i + 256], rows[i : i + 256]
+            root[r] = np.minimum(root[r], np.where(part, root[columns][None], none).min(axis=1, initial=none))
+            root[columns] = np.minimum(root[columns], np.where(part, root[r][:, None], none).min(axis=0, initial=none))
+        if (root == before).all():
             return root
-        root = new
+
+
+def weights(counted: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    """The sum of mult over each row's counted columns."""
+    return np.concatenate([counted[i : i + 256] @ mult for i in range(0, len(counted), 256)])
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, runs: int, threshold: float) -> DataFrame:
@@ -160,37 +167,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     # numbered as they are written: the numbers are read again with the rows
     classes = stored(known.groupBy("c1", "c2").agg(F.min(F.struct("id", "t")).alias("name"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("nodes").alias("nodes")).withColumn("class", F.monotonically_increasing_id()), "classes")
     members = classes.select("class", "n", F.explode("nodes").alias("node"))
-    sizes = members.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).cast("string").alias("who")).filter("k > 1")
+    sized = lambda rows, *more: rows.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), *more).filter("k > 1")
     small = (F.col("k") <= group) & (F.col("cells") <= cells)
-    sizes = stored(sizes, "buckets")
+    sizes = stored(sized(members, F.sum(F.xxhash64("class").cast("decimal(20,0)")).cast("string").alias("who")), "buckets")
     only = sizes.filter(small).groupBy("who", "k").agg(F.min("node").alias("node"), F.first("cells").alias("cells"))
     kept = [members.join(only, "node").select("class", "node", "k", "cells")]
-    large = stored(members.join(sizes.filter(~small).select("node"), "node").select("class", "node"), "large")
+    large = stored(members.join(sizes.filter(~small).select("node"), "node").select("class", "n", "node"), "large")
     wanted = classes.join(kept[0].select("class").unionByName(large.select("class")).distinct(), "class", "left_semi")
     content = stored(_content(docs, wanted, id_col, text_col), "shingles")
-    sized = lambda rows, *more: rows.join(content.select("class", (F.octet_length("s") / 8).cast("long").alias("n")), "class").groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("cells"), *more).filter("k > 1")
 
     def split(batches):
         for batch in batches:
-            numbers, node, parent = [], [], []
-            for r, x, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = next_paths(np.frombuffer(s, np.uint64), x, threshold)
-                numbers += [r] * len(found)
-                node += found.tolist()
-                parent += [x] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(node, pa.int64()), pa.array(parent, pa.int64())], names=["class", "node", "parent"])
+            numbers, size, node, parent = [], [], [], []
+            for r, xs, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(s, np.uint64)
+                for x in xs:
+                    found = next_paths(values, x, threshold)
+                    numbers += [r] * len(found)
+                    size += [len(values)] * len(found)
+                    node += found.tolist()
+                    parent += [x] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (numbers, size, node, parent)], names=["class", "n", "node", "parent"])
 
     for _ in range(depth):
         if large.isEmpty():
             break
-        below = stored(large.join(content, "class").select("class", "node", "s").mapInArrow(split, "class long, node long, parent long"), "below")
+        lists = large.groupBy("class").agg(F.collect_list("node").alias("nodes"))  # a few for each run
+        below = stored(lists.join(content, "class").mapInArrow(split, "class long, n long, node long, parent long"), "below")
         counts = stored(sized(below, F.first("parent").alias("parent")), "buckets")
         pairs = counts.groupBy("parent").agg(F.sum(F.col("k") * F.col("k")).alias("pairs")).withColumnRenamed("parent", "node")
         whole = stored(sized(large).join(pairs, "node", "left").withColumn("apart", F.coalesce("pairs", F.lit(0)) < F.col("k") * F.col("k")), "whole")
         kept.append(large.join(whole.filter("NOT apart"), "node").select("class", "node", "k", "cells"))
         counts = counts.join(whole.filter("apart").select(F.col("node").alias("parent")), "parent", "left_semi")
         kept.append(below.join(counts.filter(small).select("node", "k", "cells"), "node").select("class", "node", "k", "cells"))
-        large = stored(below.join(counts.filter(~small).select("node"), "node").select("class", "node"), "large")
+        large = stored(below.join(counts.filter(~small).select("node"), "node").select("class", "n", "node"), "large")
     if not large.isEmpty():
         kept.append(large.join(sized(large), "node").select("class", "node", "k", "cells"))
     placed = kept[0]
@@ -210,21 +220,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def _compared(placed: DataFrame, classes: DataFrame, content: DataFrame, threshold: float, group: int, cells: int) -> DataFrame:
     """(class, links, root) of the members that link, from every bucket or pair of blocks."""
     blocks = F.greatest(F.ceil(F.col("k") / group), F.ceil(F.col("cells") / cells)).cast("int")
-    own = placed.groupBy("class").agg(F.collect_set("node").alias("nodes"))  # a few for each run
-    dealt = placed.select("class", "node", blocks.alias("b")).withColumn("mine", F.pmod(F.xxhash64("class", F.lit(3)), F.col("b")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
-    dealt = dealt.select("class", "node", "mine", "b", other.alias("o")).select("class", "node", "b", "mine", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
-    rows = dealt.join(classes.select("class", "mult"), "class").join(own, "class").join(content, "class")
+    own = placed.groupBy("class").agg(F.collect_list(F.struct("node", blocks.alias("b"))).alias("at"))  # a few for each run
+    # what a class brings along is joined once and then dealt to its buckets
+    whole = classes.select("class", "mult").join(own, "class").join(content, "class").select("class", "mult", F.col("at.node").alias("nodes"), "s", F.explode("at").alias("x"))
+    dealt = whole.select("class", "mult", "nodes", "s", "x.node", "x.b").withColumn("mine", F.pmod(F.xxhash64("class", F.lit(3)), F.col("b")).cast("int"))
+    rows = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumns({"i": F.least("mine", "o"), "j": F.greatest("mine", "o")}).drop("b", "o")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
-        number, mult = rows["class"].to_numpy(), rows["mult"].to_numpy(np.float64)
+        number, mult, mine = rows["class"].to_numpy(), rows["mult"].to_numpy(np.float64), rows["mine"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows["s"]]
         nodes = [np.asarray(x, np.int64) for x in rows["nodes"]]
-        half = rows["mine"].to_numpy() if rows["i"].iat[0] != rows["j"].iat[0] else None
-        linked, counted = compare(sets, nodes, int(rows["node"].iat[0]), half, threshold)
-        some = linked.any(axis=1)
-        return pd.DataFrame({"class": number[some], "links": (counted[some] @ mult).astype(np.int64), "root": roots(linked, number)[some]})
+        i, j = int(rows["i"].iat[0]), int(rows["j"].iat[0])
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        linked, counted = compare(sets, nodes, int(rows["node"].iat[0]), left, right, threshold)
+        links, some = np.zeros(len(rows)), np.zeros(len(rows), bool)
+        links[left] += weights(counted, mult[right])
+        some[left] |= linked.any(axis=1)
+        if i != j:
+            links[right] += weights(counted.T, mult[left])
+            some[right] |= linked.any(axis=0)
+        return pd.DataFrame({"class": number[some], "links": links[some].astype(np.int64), "root": roots(linked, left, right, number)[some]})
 
     return stored(rows.groupBy("node", "i", "j").applyInPandas(run, "class long, links long, root long"), "found")
 
