@@ -35,25 +35,31 @@ def count_distribution(ps: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_count(ps: np.ndarray, beta: float = 0.5) -> int:
-    """How many of the likeliest candidates to choose for the highest expected F-beta; of equals the fewest.
+def best_counts(ps: np.ndarray, beta: float = 0.5) -> np.ndarray:
+    """How many of the likeliest candidates to choose for the highest expected F-beta; of equals the fewest. A row of ps for each record, likeliest first.
 
     Distributions of the first k grow by one event each, those of the rest are made once from the end.
     """
-    n, b = len(ps), beta * beta
-    rest = [np.ones(1)]
-    for p in ps[::-1]:
-        rest.append(np.append(rest[-1], 0) * (1 - p) + np.append(0, rest[-1]) * p)
-    best, value, head = 0, float(np.prod(1 - ps)), np.ones(1)
+    (rows, n), b = ps.shape, beta * beta
+    grown = lambda x, p: np.pad(x, ((0, 0), (0, 1))) * (1 - p[:, None]) + np.pad(x, ((0, 0), (1, 0))) * p[:, None]
+    rest = [np.ones((rows, 1))]
+    for k in reversed(range(n)):
+        rest.append(grown(rest[-1], ps[:, k]))
+    best, value, head = np.zeros(rows, np.int64), np.prod(1 - ps, axis=1), np.ones((rows, 1))
     for k in range(1, n + 1):
-        head = np.append(head, 0) * (1 - ps[k - 1]) + np.append(0, head) * ps[k - 1]
+        head = grown(head, ps[:, k - 1])
         tp, fn = np.arange(k + 1)[:, None], np.arange(n - k + 1)[None, :]
-        expected = float(head @ ((1 + b) * tp / (b * (tp + fn) + k)) @ rest[n - k])
-        if expected > value + 1e-15:
-            best, value = k, expected
+        expected = np.einsum("ri,ij,rj->r", head, (1 + b) * tp / (b * (tp + fn) + k), rest[n - k], optimize=True)
+        more = expected > value + 1e-15
+        best[more], value[more] = k, expected[more]
     return best
 
 
+def best_count(ps: np.ndarray, beta: float = 0.5) -> int:
+    """best_counts of one record."""
+    return int(best_counts(np.asarray(ps, float)[None], beta)[0])
+
+
 def expected_f(pairs: DataFrame, bias: float = 0.0, cfg: Config = Config(), p: str = "p") -> DataFrame:
     """Each record's pairs that maximise its expected F-beta, after a shift of all log odds."""
     q = pairs.withColumn("__q", logit_shift(F.col(p), bias)).filter(F.col("__q") >= cfg.min_expected_p)
@@ -62,7 +68,12 @@ def expected_f(pairs: DataFrame, bias: float = 0.0, cfg: Config = Config(), p: s
 
     @F.pandas_udf("int")
     def count(qs: pd.Series) -> pd.Series:
-        return qs.map(lambda x: best_count(np.asarray(x, float), beta)).astype("int32")
+        out, sizes = np.zeros(len(qs), np.int32), qs.map(len).to_numpy()
+        for n in np.unique(sizes):  # records of as many candidates side by side
+            at = np.flatnonzero(sizes == n)
+            for i in range(0, len(at), 1024):
+                out[at[i : i + 1024]] = best_counts(np.stack(qs.iloc[at[i : i + 1024]].to_list()).astype(float), beta)
+        return pd.Series(out)
 
     kept = q.groupBy("s1_id").agg(sorted_q.alias("qs")).withColumn("__k", count("qs")).select("s1_id", "__k")
     rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.col("__q").desc(), "cand_id"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block on either side.
-BLOCK = 4096
+#: Rows of a block on either side, and of a product: either side is copied once for each block of the other.
+BLOCK, STRIP = 16384, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,11 +17,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _first(s: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k largest, ties by place."""
+    if s.shape[1] <= 4 * k:
+        return np.argsort(-s, axis=1, kind="stable")[:, :k]
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]  # all that reach the k-th largest, of which ties may be many
+    row, place = np.nonzero(s >= least)
+    order = np.lexsort((place, -s[row, place], row))
+    starts = np.searchsorted(row, np.arange(len(s)))
+    return place[order][starts[:, None] + np.arange(k)]
+
+
 def top_k(left: DataFrame, right: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     """(s1_id, cand_id, src2, score) of the k nearest candidates of each record and source in its group.
 
-    left (grp, s1_id, v), right (grp, cand_id, src2, v). Both are cut into blocks; a task multiplies a block by a block and
-    keeps k for each record, and a second step keeps the k best of these, so no more than k rows per block are shuffled.
+    left (grp, s1_id, v), right (grp, cand_id, src2, v). Both are cut into blocks; a task multiplies a block by a block, some
+    rows at a time, and keeps k for each record, and a second step keeps the k best of these, so no more than k rows per block
+    are shuffled.
     """
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # so that both may come from one table
     n_left = left.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("p"))
@@ -35,12 +47,17 @@ def top_k(left: DataFrame, right: DataFrame, k: int, least: float = 0.0) -> Data
         if x.empty or y.empty:
             return pd.DataFrame(columns=columns)
         y = y.sort_values("cand_id")
-        s = np.stack(x["v"].to_list()).astype(np.float64) @ np.stack(y["v"].to_list()).astype(np.float64).T
-        order = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(s, order, 1)
-        keep = value >= least
-        row = np.broadcast_to(np.arange(len(x))[:, None], order.shape)[keep]
-        return pd.DataFrame({"s1_id": x["s1_id"].to_numpy()[row], "cand_id": y["cand_id"].to_numpy()[order[keep]], "src2": y["src2"].iat[0], "score": value[keep]})
+        names, other = y["cand_id"].to_numpy(), np.stack(y["v"].to_list()).astype(np.float64).T
+        out = []
+        for i in range(0, len(x), STRIP):
+            part = x.iloc[i : i + STRIP]
+            s = np.stack(part["v"].to_list()).astype(np.float64) @ other
+            order = _first(np.round(s, 6), k)
+            value = np.take_along_axis(s, order, 1)
+            keep = value >= least
+            row = np.broadcast_to(np.arange(len(part))[:, None], order.shape)[keep]
+            out.append(pd.DataFrame({"s1_id": part["s1_id"].to_numpy()[row], "cand_id": names[order[keep]], "src2": y["src2"].iat[0], "score": value[keep]}))
+        return pd.concat(out)
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     own = lambda df, *columns: df.select(*(F.col(c).alias(c) for c in ("grp", "src2", "i", "j", *columns))).groupBy("grp", "src2", "i", "j")
