@@ -90,3 +90,29 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_go_by_row_and_not_by_id(spark, kind):
+    base, other = prose(1, 60, [f"w{i}" for i in range(300)]), prose(2, 60, [f"u{i}" for i in range(300)])
+    near = base.replace(base.split()[30], "edit", 1)
+    cases = {
+        ((1, base), (2, other), (2, near)): [(1, base), (2, other)],
+        ((1, near), (1, base), (0, other), (0, other), (0, other)): [(0, other), (1, None)],  # of two near copies of one id either one
+        ((None, base), (None, base), (5, base), (5, None), (5, None), (6, "..."), (6, "...")): [(None, base), (None, base), (5, base), (5, None), (5, None), (6, "..."), (6, "...")],
+    }
+    for rows, want in cases.items():
+        docs = spark.createDataFrame([(i, t, None, "s", 1, 1.5, 7) for i, t in rows], SCHEMA).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({"__row_id": F.lit(1), "class": F.lit("c")})
+        out = dict(corpus_pipeline.STAGES)["near"](spark, docs, "")
+        assert out.columns == docs.columns
+        got = [(x.doc_id if x.doc_id is None else int(x.doc_id), x.text) for x in out.collect()]
+        if any(t is None and i == 1 for i, t in want):
+            got = [(i, None if i == 1 and t in (base, near) else t) for i, t in got]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_repeated_lines_of_different_documents_stay(spark):
+    a, b, c, y, z = (prose(i, 8, [f"{k}{j}" for j in range(99)]) + ". " for i, k in enumerate("abcyz"))
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 1.5, 7) for i, t in enumerate([a + b + z, y + b + c, a + b + c, a + b + c])], SCHEMA)
+    out = dict(corpus_pipeline.STAGES)["lines"](spark, docs, "")
+    assert sorted((x.doc_id, x.text) for x in out.collect()) == [(0, a + b + z), (1, y + b + c), (2, a + b + c)] and out.columns == docs.columns
