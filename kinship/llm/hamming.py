@@ -1,6 +1,6 @@
 """Operator 3: exact top-k search over binary codes by incremental multi-index hashing.
 
-A code's bits are cut into m segments, and every segment value points to the codes that have it. Codes that differ in at
+A code is an array of 64-bit words. Its bits are cut into m segments, and every segment value points to the codes that have it. Codes that differ in at
 most m r + a - 1 bits differ in at most r bits in one of the first a, or in at most r - 1 in one of the others. So
 a query probes all segment values within radius 0, then 1 and so on, segment by segment, until its k-th distance so far is
 provably covered; a step takes as many segments as have MASKS values together, or a part of one segment's. Distances are
@@ -9,10 +9,10 @@ Nothing else ends a search, whatever the size: at the last radius every code has
 
 Equal codes are one entry with their smallest k + 1 ids, which is all that ties by id can ask for; so copies don't pile up.
 Buckets are cut into rows of about BUCKET codes, and so are the queries that probe one, so a common segment value isn't
-gathered anywhere. Codes are the signs of a vector's components, which may have up to 64 of them: longer vectors are an error.
-Null vectors, and vectors with null or NaN components, neither search nor are found. The row that searches is left out of
-its own result; of rows that repeat an id, the first code by value counts. Fewer than k other rows give shorter results. Other
-columns are left out.
+gathered anywhere. Codes are the signs of a vector's components, of any number; shorter vectors than others have zeros, longer
+ones than the code's bits are an error. Null vectors, and vectors with null or NaN components, neither search nor are found. The
+row that searches is left out of its own result; of rows that repeat an id, the first code by value counts. Fewer than k other
+rows give shorter results. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,62 +27,68 @@ from pyspark.sql import functions as F
 
 from kinship.llm.common import stored
 
-TOP, BITS = 10, 64
+TOP, WORD = 10, 64
 #: Codes that a segment value has on average, and codes of a bucket's row, about.
 SHARED, BUCKET = 32, 4096
 #: Values that a query probes in a step, at most, and codes times queries of a matrix of distances.
 MASKS, MATRIX = 4096, 1 << 21
 
 
-def sign_code(vector: Column) -> Column:
-    """The signs of a vector's components as a number: bit i is set if component i is positive. Null if one is null or NaN."""
-    bits = F.aggregate(F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    long = F.raise_error(F.format_string("a code has %d bits at most, and a vector %d components", F.lit(BITS), F.size(vector)))
-    return F.when(F.size(vector) > BITS, long.cast("long")).when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), None).otherwise(bits)
+def sign_code(vector: Column, bits: int = WORD) -> Column:
+    """The signs of a vector's components as words: bit i of word w is set if component 64 w + i is positive. Null if one is null or NaN."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    word = lambda part: F.aggregate(F.transform(part, lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(zero)), zero, lambda a, b: a.bitwiseOR(b))
+    words = F.array(*(word(F.slice(vector, w + 1, WORD)) for w in range(0, bits, WORD)))
+    long = F.raise_error(F.format_string("codes have %d bits, and a vector has %d components", F.lit(bits), F.size(vector)))
+    return F.when(vector.isNull(), None).when(F.size(vector) > bits, long.cast("array<long>")).when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), None).otherwise(words)
 
 
-def _segments(bits: int, n: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment, so long that a value has about SHARED codes."""
-    m = max(1, min(bits, round(bits / max(4, min(22, math.log2(max(2, n / SHARED)))))))
-    at = [bits * i // m for i in range(m + 1)]
-    return list(zip(at[:-1], [b - a for a, b in itertools.pairwise(at)], strict=True))
+def _segments(bits: int, n: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of each segment, so long that a value has about SHARED codes; none reaches over the end of a word."""
+    want, out = max(4, min(22, math.log2(max(2, n / SHARED)))), []
+    for word, start in enumerate(range(0, bits, WORD)):
+        size = min(WORD, bits - start)
+        m = max(1, min(size, round(size / want)))
+        at = [size * i // m for i in range(m + 1)]
+        out += [(word, a, b - a) for a, b in itertools.pairwise(at)]
+    return out
 
 
-def _part(code: Column, first: int, n: int) -> Column:
-    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << n) - 1 if n < 63 else -1 if n == 64 else (1 << 63) - 1))
+def _part(code: Column, word: int, first: int, n: int) -> Column:
+    return F.shiftrightunsigned(code[word], first).bitwiseAND(F.lit((1 << n) - 1 if n < 63 else -1 if n == 64 else (1 << 63) - 1))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best codes of each query, by distance and smallest id; a code counts once."""
-    near = Window.partitionBy("q").orderBy("d", "first", "code")
-    return found.dropDuplicates(["q", "code"]).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k).drop("r")
+    """The k best codes of each query, by distance and smallest id, which names the code; a code counts once."""
+    near = Window.partitionBy("q").orderBy("d", "first")
+    return found.dropDuplicates(["q", "first"]).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k).drop("r")
 
 
-def _buckets(index: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """(s, v, codes, firsts): the codes of each segment value, in rows of about BUCKET."""
+def _buckets(index: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """(s, v, codes, firsts): the codes' words of each segment value, in rows of about BUCKET codes."""
     values = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), _part(F.col("code"), *p).alias("v")) for s, p in enumerate(parts))))
     rows = index.select("code", "first", values.alias("x")).select("code", "first", "x.s", "x.v")
     large = rows.groupBy("s", "v").agg(F.ceil(F.count("*") / BUCKET).alias("n")).filter("n > 1")
     dealt = rows.join(large, ["s", "v"], "left").withColumn("part", F.pmod(F.xxhash64("code"), F.coalesce("n", F.lit(1))))
     pair = dealt.groupBy("s", "v", "part").agg(F.collect_list(F.struct("code", "first")).alias("x"))
-    return pair.select("s", "v", F.col("x.code").alias("codes"), F.col("x.first").alias("firsts"))
+    return pair.select("s", "v", F.flatten("x.code").alias("codes"), F.col("x.first").alias("firsts"))
 
 
-def _verified(k: int):
-    """Of batches (queries, their codes, codes, firsts), the k best codes of each query that a task has seen."""
+def _verified(k: int, words: int):
+    """Of batches (queries, their codes' words, codes' words, firsts), the k best codes of each query that a task has seen."""
 
-    def nearest(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        code, first, d = (np.concatenate(x) for x in zip(*lists, strict=True))
-        order = np.lexsort((code, first, d))
-        _, at = np.unique(code[order], return_index=True)
+    def nearest(lists: list[tuple[np.ndarray, np.ndarray]]):
+        first, d = (np.concatenate(x) for x in zip(*lists, strict=True))
+        order = np.lexsort((first, d))
+        _, at = np.unique(first[order], return_index=True)
         top = order[np.sort(at)[:k]]
-        return code[top], first[top], d[top]
+        return first[top], d[top]
 
     def out(best):
         if not best:
             return
-        code, first, d = zip(*map(nearest, best.values()), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best)), [len(x) for x in code])), *(pa.array(np.concatenate(x)) for x in (code, first)), pa.array(np.concatenate(d), pa.int32())], names=["q", "code", "first", "d"])
+        first, d = zip(*map(nearest, best.values()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best)), [len(x) for x in first])), pa.array(np.concatenate(first)), pa.array(np.concatenate(d), pa.int32())], names=["q", "first", "d"])
 
     def parts(column: pa.Array) -> list[np.ndarray]:
         ends, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -92,15 +98,15 @@ def _verified(k: int):
         best: dict[int, list] = {}
         for batch in batches:
             for qs, asked, code, first in zip(*map(parts, batch.columns), strict=True):
-                order = np.lexsort((code, first))  # ties go to smaller ids
-                code, first = code[order], first[order]
+                order = np.argsort(first)  # ties go to smaller ids
+                code, first, asked = code.reshape(-1, words)[order], first[order], asked.reshape(-1, words)
                 for a in range(0, len(qs), max(1, MATRIX // len(code))):
                     some = slice(a, a + max(1, MATRIX // len(code)))
-                    d = np.bitwise_count((asked[some, None] ^ code[None]).view(np.uint64)).astype(np.int32)
+                    d = sum(np.bitwise_count((asked[some, w, None] ^ code[None, :, w]).view(np.uint64)).astype(np.int32) for w in range(words))
                     top = np.argsort(d, axis=1, kind="stable")[:, :k]
                     for q, at, near in zip(qs[some].tolist(), top, np.take_along_axis(d, top, axis=1), strict=True):
                         mine = best.setdefault(q, [])
-                        mine.append((code[at], first[at], near))
+                        mine.append((first[at], near))
                         if len(mine) > 64:
                             best[q] = [nearest(mine)]
                 if len(best) > 4096:
@@ -111,10 +117,10 @@ def _verified(k: int):
     return run
 
 
-def _steps(parts: list[tuple[int, int]], radius: int, most: int):
+def _steps(parts: list[tuple[int, int, int]], radius: int, most: int):
     """(masks of segments, segments that are done by then) of each step of a round."""
     masks: list[tuple[int, int]] = []
-    for s, (_, bits) in enumerate(parts):
+    for s, (_, _, bits) in enumerate(parts):
         if masks and len(masks) + math.comb(bits, radius) > most:
             yield masks, s
             masks = []
@@ -127,8 +133,8 @@ def _steps(parts: list[tuple[int, int]], radius: int, most: int):
         yield masks, len(parts)
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, most: int = MASKS, id_col: str = "id", code_col: str = "code") -> DataFrame:
-    """(query_id, rank, id, distance) of the k codes nearest to each query but itself; ties go to smaller ids."""
+def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = WORD, most: int = MASKS, id_col: str = "id", code_col: str = "code") -> DataFrame:
+    """(query_id, rank, id, distance) of the k codes nearest to each query but itself; ties go to smaller ids. Codes are arrays of words, of `bits` bits together."""
     clean = lambda df: df.filter(F.col(id_col).isNotNull() & F.col(code_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(code_col).alias("code"))
     rows = clean(codes)
     # the k + 1 smallest ids of each code, in two steps, so that one code's copies are cut down where they lie
@@ -145,11 +151,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS,
     value = F.lit(None).cast("long")
     for s, p in enumerate(parts):
         value = F.when(F.col("s") == s, _part(F.col("qc"), *p)).otherwise(value)
-    for masks, covered in ((x, m * radius + done - 1) for radius in range(max(b for _, b in parts) + 1) for x, done in _steps(parts, radius, most)):
+    for masks, covered in ((x, m * radius + done - 1) for radius in range(max(b for _, _, b in parts) + 1) for x, done in _steps(parts, radius, most)):
         table = codes.sparkSession.createDataFrame(masks, "s int, mask long")  # at most `most` rows
         probes = active.join(F.broadcast(table)).select("q", "qc", "s", value.bitwiseXOR(F.col("mask")).alias("v"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"))
-        asking = probes.groupBy("s", "v", "b").agg(F.collect_list(F.struct("q", "qc")).alias("x")).select("s", "v", F.col("x.q").alias("q"), F.col("x.qc").alias("qc"))
-        met = asking.join(buckets, ["s", "v"]).select("q", "qc", "codes", "firsts").mapInArrow(_verified(keep), "q long, code long, first long, d int")
+        asking = probes.groupBy("s", "v", "b").agg(F.collect_list(F.struct("q", "qc")).alias("x")).select("s", "v", F.col("x.q").alias("q"), F.flatten("x.qc").alias("qc"))
+        met = asking.join(buckets, ["s", "v"]).select("q", "qc", "codes", "firsts").mapInArrow(_verified(keep, -(-bits // WORD)), "q long, first long, d int")
         best = stored(_best(met if best is None else best.unionByName(met), keep), "best")
         # a query is done when its last distance is covered, as soon as it has as many as it wants, or all there are
         worst = best.groupBy("q").agg(F.count("*").alias("c"), F.max("d").alias("w")).filter(F.col("c") >= min(keep, n)).select("q", "w")
@@ -158,13 +164,15 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS,
             break
     by_rank = Window.partitionBy("query_id").orderBy("distance", "id")
     same = clean(queries).withColumnRenamed("id", "query_id").join(asked, "code").select("query_id", "q")
-    return best.join(same, "q").join(index.select("code", "ids"), "code").select("query_id", F.explode("ids").alias("id"), F.col("d").alias("distance")).filter("id <> query_id").withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return best.join(same, "q").join(index.select("first", "ids"), "first").select("query_id", F.explode("ids").alias("id"), F.col("d").alias("distance")).filter("id <> query_id").withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors whose sign codes are nearest to each vector with an id divisible by 100."""
-    codes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
-    return top_k(codes, codes.filter("id % 100 = 0")).withColumnRenamed("id", "vec_id")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    bits = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    codes = vectors.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding"), max(1, bits)).alias("code"))
+    return top_k(codes, codes.filter("id % 100 = 0"), bits=max(1, bits)).withColumnRenamed("id", "vec_id")
 
 
 OP3_SQL = """

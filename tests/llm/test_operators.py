@@ -109,16 +109,16 @@ def test_top_k_is_exact(spark, spread, most):
     base = int(r.integers(-(2**63), 2**63 - 1))
     codes = {i: base ^ (sum(1 << int(b) for b in set(r.integers(0, 64, int(r.integers(0, spread + 1))))) - 0) for i in range(300)}
     codes = {i: (c + 2**63) % 2**64 - 2**63 for i, c in codes.items()}
-    df = spark.createDataFrame(list(codes.items()) + [(None, 5), (900, None)], "id long, code long")
+    df = spark.createDataFrame([(i, [c]) for i, c in codes.items()] + [(None, [5]), (900, None)], "id long, code array<long>")
     got = {tuple(x) for x in hamming.top_k(df, df.filter("id % 25 = 0"), 7, most=most).select("query_id", "rank", "id", "distance").collect()}
     assert got == brute_top(codes, codes, [i for i in codes if i % 25 == 0], 7)
 
 
 def test_top_k_of_few_and_none(spark):
-    df = spark.createDataFrame([(1, 3), (2, 3)], "id long, code long")
+    df = spark.createDataFrame([(1, [3]), (2, [3])], "id long, code array<long>")
     assert [tuple(r) for r in hamming.top_k(df, df, 10).orderBy("query_id").collect()] == [(1, 1, 2, 0), (2, 1, 1, 0)]
     assert hamming.top_k(df.limit(0), df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="64 bits at most, and a vector 65"):
+    with pytest.raises(Exception, match="have 64 bits, and a vector has 65"):
         spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming.sign_code(F.col("v"))).collect()
 
 
@@ -128,7 +128,7 @@ def test_steps_hold_every_mask_once():
         for most in (3, 7, 50, 10_000):
             steps = list(hamming._steps(parts, radius, most))
             masks = [x for s, _ in steps for x in s]
-            assert len(set(masks)) == len(masks) == sum(hamming.math.comb(b, radius) for _, b in parts) and all(len(s) <= most for s, _ in steps)
+            assert len(set(masks)) == len(masks) == sum(hamming.math.comb(b, radius) for _, _, b in parts) and all(len(s) <= most for s, _ in steps)
             for i, (_, done) in enumerate(steps):
                 left = {s for x, _ in steps[i + 1 :] for s, _ in x}
                 assert min(left, default=len(parts)) >= done
@@ -136,14 +136,24 @@ def test_steps_hold_every_mask_once():
 
 def test_far_codes_and_all_codes_are_found(spark):
     ids = {0: 0, 1: -1, 2: (1 << 40) - 1, 3: 1}
-    df = spark.createDataFrame(list(ids.items()), "id long, code long")
+    df = spark.createDataFrame([(i, [c]) for i, c in ids.items()], "id long, code array<long>")
     got = {tuple(x) for x in hamming.top_k(df, df.filter("id = 0"), 3).select("query_id", "rank", "id", "distance").collect()}
     assert got == {(0, 1, 3, 1), (0, 2, 2, 40), (0, 3, 1, 64)}
 
 
 def test_sign_codes(spark):
     v = spark.createDataFrame([([1.0, -1.0, 0.5],), ([0.0] * 63 + [1.0],), ([float("nan"), 1.0],), (None,)], "v array<double>")
-    assert [r.c for r in v.select(hamming.sign_code(F.col("v")).alias("c")).collect()] == [5, -(2**63), None, None]
+    assert [r.c for r in v.select(hamming.sign_code(F.col("v")).alias("c")).collect()] == [[5], [-(2**63)], None, None]
+
+
+@pytest.mark.parametrize("dims", [20, 100, 200])
+def test_top_k_of_vectors_of_any_length(spark, dims):
+    r = np.random.default_rng(dims)
+    x = np.repeat(r.standard_normal((30, dims)), 6, axis=0) + 0.5 * r.standard_normal((180, dims))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").select("id", hamming.sign_code(F.col("v"), dims).alias("code"))
+    got = {tuple(t) for t in hamming.top_k(df, df.filter("id % 9 = 0"), 5, dims).select("query_id", "rank", "id", "distance").collect()}
+    away = ((x[:, None, :] > 0) != (x[None] > 0)).sum(axis=2)
+    assert got == {(q, i + 1, o, int(d)) for q in range(0, 180, 9) for i, (d, o) in enumerate(sorted((away[q, o], o) for o in range(180) if o != q)[:5])}
 
 
 def test_toxicity_learns_from_document_labels(spark):
