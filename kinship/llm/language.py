@@ -91,26 +91,27 @@ class Model:
         return score
 
 
-def solve(bits: np.ndarray, y: np.ndarray, landmarks: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Coefficients over the landmarks' kernel values: Nyström features, then ridge regression for each column of y."""
-    x = np.unpackbits(bits, axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
-    k = (x @ x[landmarks].T).astype(float)
+def kernel(bits: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """The kernel values of texts (packed presence bits) with landmarks, some texts at a time."""
+    rows = lambda x: (lambda y: y / np.sqrt(np.maximum(1, y.sum(axis=1)))[:, None])(np.unpackbits(x, axis=1).astype(np.float32))
+    z = rows(landmarks).T
+    return np.concatenate([rows(bits[i : i + 256]) @ z for i in range(0, len(bits), 256)]).astype(float)
+
+
+def solve(k: np.ndarray, y: np.ndarray, landmarks: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Coefficients over the landmarks' kernel values, from those of all fitted texts: Nyström features, then ridge regression for each column of y. landmarks: their places among the texts."""
     value, vector = np.linalg.eigh(k[landmarks])
     keep = value > 1e-8 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     features = k @ root
-    return root @ np.linalg.solve(features.T @ features + ridge * len(x) * np.eye(features.shape[1]), features.T @ y)
+    return root @ np.linalg.solve(features.T @ features + ridge * len(k) * np.eye(features.shape[1]), features.T @ y)
 
 
-def limits(bits: np.ndarray, landmarks: np.ndarray, coefficients: np.ndarray) -> tuple[float, float]:
+def limits(k: np.ndarray, landmarks: np.ndarray, coefficients: np.ndarray) -> tuple[float, float]:
     """The least kernel value and the least output that a text may have to count as one of a learned language: a bit below the fitted texts' own, where a landmark's with itself doesn't count."""
-    x = np.unpackbits(bits, axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
-    k = (x @ x[landmarks].T).astype(float)
-    output = (k @ coefficients).max(axis=1)
-    k[landmarks, np.arange(len(landmarks))] = 0
-    return KIN_SHARE * float(k.max(axis=1).min()), float(output.min()) - OUTPUT_SLACK
+    others = k.copy()
+    others[landmarks, np.arange(len(landmarks))] = 0
+    return KIN_SHARE * float(others.max(axis=1).min()), float((k @ coefficients).max(axis=1).min()) - OUTPUT_SLACK
 
 
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -141,8 +142,9 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = L
     bits = np.stack([np.frombuffer(x, np.uint8) for x in rows["bits"]])
     y = np.where(rows["l"].to_numpy()[:, None] == np.array(languages)[None], 1.0, -1.0)
     chosen = np.arange(min(landmarks, len(rows)))  # by rank, so each language has its share
-    coefficients = solve(bits, y, chosen)
-    return Model(languages, bits[chosen], coefficients, *limits(bits, chosen, coefficients))
+    k = kernel(bits, bits[chosen])
+    coefficients = solve(k, y, chosen)
+    return Model(languages, bits[chosen], coefficients, *limits(k, chosen, coefficients))
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

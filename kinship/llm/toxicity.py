@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, without, word_hashes
 
-#: Labelled documents that training sees at most, and bytes of either kind's texts: the driver gets 8 bytes for each word.
+#: Labelled documents that training sees at most, and bytes of either kind's texts: the driver gets 4 bytes for each word.
 POSITIVE, NEGATIVE, SAMPLE = 4000, 8000, 1 << 25
 #: Documents that a word has to occur in, and standard deviations by which its toxic ones have to differ from chance.
 RARE, SURE = 4, 4.0
@@ -145,13 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
             data = texts(batch, "t")
             for a, b in slices([len(x) for x in data]):
                 words, sentences, n = zip(*map(sentence_words, data[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in words], pa.binary()), pa.array([x.tobytes() for x in sentences], pa.binary()), pa.array(n, pa.int32())], names=["y", "id", "w", "s", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in words], pa.binary()), pa.array([np.bincount(x).astype(np.int32).tobytes() for x in sentences], pa.binary())], names=["y", "id", "w", "s"])
 
-    found = named.join(F.broadcast(picked), ["id", "h"]).select("y", "id", "t").mapInArrow(bags, f"y int, id {docs.schema[id_col].dataType.simpleString()}, w binary, s binary, n int")
-    rows = found.groupBy("y", "id").agg(F.first("w").alias("w"), F.first("s").alias("s"), F.first("n").alias("n")).toPandas().sort_values(["y", "id"])  # rows that repeat are alike
+    found = named.join(F.broadcast(picked), ["id", "h"]).select("y", "id", "t").mapInArrow(bags, f"y int, id {docs.schema[id_col].dataType.simpleString()}, w binary, s binary")
+    rows = found.groupBy("y", "id").agg(F.first("w").alias("w"), F.first("s").alias("s")).toPandas().sort_values(["y", "id"])  # rows that repeat are alike
     y = rows["y"].to_numpy()
     share = np.array([total.get(0, 0) / max(1, (y == 0).sum()), total.get(1, 0) / max(1, (y == 1).sum())])
-    return train([(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32), n) for w, s, n in zip(rows["w"], rows["s"], rows["n"], strict=True)], y, share[y])
+    sizes = [np.frombuffer(s, np.int32) for s in rows["s"]]  # words of each sentence
+    return train([(np.frombuffer(w, np.int32), np.repeat(np.arange(len(s), dtype=np.int32), s), len(s)) for w, s in zip(rows["w"], sizes, strict=True)], y, share[y])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

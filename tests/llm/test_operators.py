@@ -337,11 +337,12 @@ def test_kernel_and_ridge_match_a_dense_solution():
     x = language.presence(texts)
     sets = [own_ngrams(t) for t in texts]
     assert all(set(np.flatnonzero(row).tolist()) == s for row, s in zip(x, sets))
-    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    dense_kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
     y, landmarks = np.where(np.arange(len(texts))[:, None] % 2 == np.array([0, 1]), 1.0, -1.0), np.arange(5, 25)
     bits = np.stack([np.packbits(row > 0) for row in x])
-    coefficients = language.solve(bits, y, landmarks, 0.01)
-    k = kernel[:, landmarks]
+    k = dense_kernel[:, landmarks]
+    assert np.allclose(language.kernel(bits, bits[landmarks]), k, atol=1e-5)
+    coefficients = language.solve(language.kernel(bits, bits[landmarks]), y, landmarks, 0.01)
     dense = np.linalg.solve(k.T @ k + 0.01 * len(texts) * k[landmarks], k.T @ y)
     assert np.allclose(k @ coefficients, k @ dense, atol=1e-3)
     output, kin = language.Model(["a", "b"], bits[landmarks], coefficients).scorer()(texts)
