@@ -20,29 +20,33 @@ from pyspark.sql import functions as F
 
 from kinship.llm import common, jaccard, language, lines, packing, toxicity
 
-ROW, ID, HASH, GONE, MAYBE = "__whole_row", "__row_id", "__row_hash", "__row_gone", "__row_maybe"
+ID, HASH, GONE, MAYBE = "__row_id", "__row_hash", "__row_gone", "__row_maybe"
 
 
-def _carried(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, and all of docs as one, so that no name clashes."""
-    return docs.select(*columns, F.struct(*(docs[c] for c in docs.columns)).alias(ROW))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """docs with columns named by their places, so that no name clashes; what each is called there; and how to name them back."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, [F.col(n).alias(c) for c, n in names.items()]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, ~common.held_out(F.col("doc_id")))
     if model is None:  # nothing to learn from: nothing to reject by
         return docs
-    return language.identify(_carried(docs, "doc_id", "text"), model).filter("learned").select(f"{ROW}.*")
+    rows, at, back = _numbered(docs)
+    return language.identify(rows, model, text_col=at["text"]).filter("learned").select(back)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(_carried(docs, "text"), model).filter("score < 0.5").select(f"{ROW}.*")
+    rows, at, back = _numbered(docs)
+    return toxicity.score(rows, model, text_col=at["text"]).filter("score < 0.5").select(back)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.dedup(_carried(docs, "doc_id", "text")).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    return cut.select(F.col(ROW).withField("text", F.col("text")).alias(ROW)).select(f"{ROW}.*")
+    rows, at, back = _numbered(docs)
+    cut = lines.dedup(rows, id_col=at["doc_id"], text_col=at["text"])
+    return cut.filter((F.col("n_removed") == 0) | F.col(at["text"]).rlike(r"[^ \t\n\x0B\f\r]")).select(back)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
