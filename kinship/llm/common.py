@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -125,6 +127,14 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFr
     return dealt.join(spread, [*keys, part]).drop(part)
 
 
+def release_memory() -> None:
+    """Gives memory that is free back to the system: else the driver keeps what it fitted a model on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text is divisible by folds; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

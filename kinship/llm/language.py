@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, without
+from kinship.llm.common import WORD_BYTES, held_out, release_memory, slices, small_batches, texts, without
 
 #: Places of the n-gram sets, a power of two.
 BINS = 1 << 14
@@ -144,7 +144,10 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, landmarks: int = L
     chosen = np.arange(min(landmarks, len(rows)))  # by rank, so each language has its share
     k = kernel(bits, bits[chosen])
     coefficients = solve(k, y, chosen)
-    return Model(languages, bits[chosen], coefficients, *limits(k, chosen, coefficients))
+    model = Model(languages, bits[chosen], coefficients, *limits(k, chosen, coefficients))
+    del rows, bits, k
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, slices, small_batches, texts, without, word_hashes
+from kinship.llm.common import WORD_BYTES, held_out, release_memory, slices, small_batches, texts, without, word_hashes
 
 #: Labelled documents that training sees at most, and bytes of either kind's texts: the driver gets 4 bytes for each word.
 POSITIVE, NEGATIVE, SAMPLE = 4000, 8000, 1 << 25
@@ -152,7 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     y = rows["y"].to_numpy()
     share = np.array([total.get(0, 0) / max(1, (y == 0).sum()), total.get(1, 0) / max(1, (y == 1).sum())])
     sizes = [np.frombuffer(s, np.int32) for s in rows["s"]]  # words of each sentence
-    return train([(np.frombuffer(w, np.int32), np.repeat(np.arange(len(s), dtype=np.int32), s), len(s)) for w, s in zip(rows["w"], sizes, strict=True)], y, share[y])
+    model = train([(np.frombuffer(w, np.int32), np.repeat(np.arange(len(s), dtype=np.int32), s), len(s)) for w, s in zip(rows["w"], sizes, strict=True)], y, share[y])
+    del rows, sizes
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
