@@ -18,6 +18,7 @@ rows give shorter results. Other columns are left out.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -152,8 +153,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, bits: int = WORD,
     for s, p in enumerate(parts):
         value = F.when(F.col("s") == s, _part(F.col("qc"), *p)).otherwise(value)
     for masks, covered in ((x, m * radius + done - 1) for radius in range(max(b for _, _, b in parts) + 1) for x, done in _steps(parts, radius, most)):
-        table = codes.sparkSession.createDataFrame(masks, "s int, mask long")  # at most `most` rows
-        probes = active.join(F.broadcast(table)).select("q", "qc", "s", value.bitwiseXOR(F.col("mask")).alias("v"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"))
+        flips = F.from_json(F.lit(json.dumps([{"s": s, "mask": mask} for s, mask in masks])), "array<struct<s:int,mask:bigint>>")  # a constant of at most `most` entries
+        probes = active.select("q", "qc", F.explode(flips).alias("x")).select("q", "qc", "x.s", "x.mask").select("q", "qc", "s", value.bitwiseXOR(F.col("mask")).alias("v"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b"))
         asking = probes.groupBy("s", "v", "b").agg(F.collect_list(F.struct("q", "qc")).alias("x")).select("s", "v", F.col("x.q").alias("q"), F.flatten("x.qc").alias("qc"))
         met = asking.join(buckets, ["s", "v"]).select("q", "qc", "codes", "firsts").mapInArrow(_verified(keep, -(-bits // WORD)), "q long, first long, d int")
         best = stored(_best(met if best is None else best.unionByName(met), keep), "best")

@@ -3,8 +3,9 @@
 A text is the set of its shingles (hashes of five consecutive words, without case and signs). In each of several
 independent runs a set chooses each of its shingles j with a chance of 1 / (threshold x size), by a hash that all sets
 share, and goes into the bucket of every shingle chosen; a bucket of too many sets is split the same way, by hashes of
-the path so far, SPLITS times independently, unless that leaves no fewer pairs to compare than the bucket has. Sets of similarity s meet in a bucket with a chance that grows with s, and runs repeat until pairs at
-the threshold are missed with a chance of 1 - recall at most, through all splits. A bucket that is small, isn't worth splitting, or whose depth is used up, is
+the path so far, SPLITS times independently, unless that leaves no fewer pairs to compare than the bucket has. Sets of
+similarity s meet in a bucket with a chance that grows with s, and runs repeat until pairs at the threshold are missed with a
+chance of 1 - recall at most, through all splits. A bucket that is small, isn't worth splitting, or whose depth is used up, is
 compared by brute force: shared shingles are counted as a product of presence matrices, so similarities are exact.
 
 Texts of equal sets are one class, compared once and weighted by its number of texts. A class has a number of its own and is

@@ -102,9 +102,9 @@ def test_near_copies_go_by_row_and_not_by_id(spark, kind):
         ((None, base), (None, base), (5, base), (5, None), (5, None), (6, "..."), (6, "...")): [(None, base), (None, base), (5, base), (5, None), (5, None), (6, "..."), (6, "...")],
     }
     for rows, want in cases.items():
-        docs = spark.createDataFrame([(i, t, None, "s", 1, 1.5, 7) for i, t in rows], SCHEMA).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({"__row_id": F.lit(1), "class": F.lit("c")})
+        docs = spark.createDataFrame([(i, t, None, "s", 1, 1.5, 7) for i, t in rows], SCHEMA).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({"__id": F.lit(1), "__GONE": F.lit("g"), "first": F.lit("f"), "class": F.lit("c")})
         out = dict(corpus_pipeline.STAGES)["near"](spark, docs, "")
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and {tuple(x) for x in out.select("__id", "__GONE", "first", "class").collect()} <= {(1, "g", "f", "c")}
         got = [(x.doc_id if x.doc_id is None else int(x.doc_id), x.text) for x in out.collect()]
         if any(t is None and i == 1 for i, t in want):
             got = [(i, None if i == 1 and t in (base, near) else t) for i, t in got]
