@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from kinship.llm import common, jaccard, language, lines, packing, toxicity
 
-ID, HASH, GONE, MAYBE = "__row_id", "__row_hash", "__row_gone", "__row_maybe"
-
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
     """docs with columns named by their places, so that no name clashes; what each is called there; and how to name them back."""
@@ -51,19 +49,18 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by id and text, so that rows which only share an id are judged each by its own text."""
-    found = common.stored(jaccard.near_duplicates(docs).filter("doc_id IS NOT NULL"), "near")
-    words = found.filter("first AND n_links > 0")
-    twice = words.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash", F.lit(False).alias(GONE))
-    touched = found.filter("NOT first").select("doc_id", "text_hash", F.lit(True).alias(GONE)).distinct().unionByName(twice)
-    touched = common.stored(touched, "touched")
-    # rows that the others link with, and rows that are alike: only these are shuffled
-    rows = common.with_membership(docs.withColumns({ID: F.col("doc_id"), HASH: F.xxhash64("text")}), touched.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)), [ID, HASH], MAYBE)
-    maybe = F.col(MAYBE) & F.col(ID).isNotNull()
-    named = touched.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH), GONE)
-    some = rows.filter(maybe).join(named, [ID, HASH], "left")
-    once = some.filter(~F.col(GONE)).dropDuplicates([ID, HASH])  # of rows with one id and text any one
-    kept = rows.filter(~maybe).select(docs.columns).unionByName(some.filter(F.col(GONE).isNull()).select(docs.columns))
-    return kept.unionByName(once.select(docs.columns))
+    ident, text_hash, gone, maybe = (common.unused(f"__{n}", docs) for n in ("id", "hash", "gone", "maybe"))
+    found = common.stored(jaccard.near_duplicates(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(text_hash), "first", "n_links"), "near")
+    key = [ident, text_hash]
+    twice = found.filter("first AND n_links > 0").groupBy(key).count().filter("count > 1").select(*key, F.lit(False).alias(gone))
+    touched = common.stored(found.filter("NOT first").select(*key, F.lit(True).alias(gone)).distinct().unionByName(twice), "touched")
+    # rows that link with an earlier one, and rows that are alike: only these are shuffled
+    rows = common.with_membership(docs.withColumns({ident: F.col("doc_id"), text_hash: F.xxhash64("text")}), touched, key, maybe)
+    some = F.col(maybe) & F.col(ident).isNotNull()
+    judged = rows.filter(some).join(touched, key, "left")
+    once = judged.filter(~F.col(gone)).dropDuplicates(key)  # of rows with one id and text any one
+    kept = [rows.filter(~some), judged.filter(F.col(gone).isNull()), once]
+    return functools.reduce(DataFrame.unionByName, (k.select(docs.columns) for k in kept))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
