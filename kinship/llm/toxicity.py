@@ -98,7 +98,7 @@ def loss_slope(w: np.ndarray, word: np.ndarray, sentence: np.ndarray, bag: np.nd
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 2e-4) -> Model:
     """Weights under which the noisy-or of the sentences explains the labels; gradient descent with Adam over all bags."""
     prior = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
-    holds, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    holds, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for (words, _, _), label in zip(bags, y, strict=True):
         once = np.unique(words)
         holds[once] += 1
@@ -110,9 +110,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight:
     number = np.full(1 << BITS, -1, np.int32)
     number[places] = np.arange(len(places))
     first = np.cumsum([0, *(n for _, _, n in bags)])
-    word = number[np.concatenate([w for w, _, _ in bags])]
-    sentence = np.concatenate([s + f for (_, s, _), f in zip(bags, first[:-1], strict=True)])[word >= 0]
-    word, bag = word[word >= 0], np.repeat(np.arange(len(bags)), np.diff(first))
+    kept = []  # of each bag only the words that have a weight
+    for (words, inside, _), start in zip(bags, first[:-1], strict=True):
+        at = number[words]
+        some = at >= 0
+        kept.append((at[some], inside[some] + start))
+    word, sentence = (np.concatenate(x) for x in zip(*kept, strict=True))
+    bag = np.repeat(np.arange(len(bags)), np.diff(first))
     w, weight = np.zeros(len(places) + 1), weight / weight.sum()
     w[-1] = np.log(prior / 4 / max(1.0, first[-1] / len(bags)))
     m, v = np.zeros_like(w), np.zeros_like(w)
