@@ -74,7 +74,7 @@ def featured(spark: SparkSession, folder: str, name: str, records: DataFrame, cf
     pairs = keep("pairs", found, query is not None)
 
     def made() -> DataFrame:
-        paired = features.global_context(features.quick_scores(features.with_records(pairs, profile)), cfg)
+        paired = features.global_context(features.quick_scores(features.with_records(features.block_context(pairs), profile)), cfg)
         table = None
         if words:
             table = decoy.learn_decoy_words(paired.withColumns({"country_key": F.col("country_key1"), "words1": F.array_union("core1", "extra1"), "words2": F.array_union("core2", "extra2")}), cfg)
