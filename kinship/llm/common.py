@@ -91,6 +91,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def giving_back(run):
+    """run for mapInArrow; at the end of a task what is free goes back to the system: workers live on, and else keep it beside the tasks of later stages."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text is divisible by folds; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, release_memory, slices, small_batches, texts, without
+from kinship.llm.common import WORD_BYTES, giving_back, held_out, release_memory, slices, small_batches, texts, without
 
 #: Places of the n-gram sets, a power of two.
 BINS = 1 << 14
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, len(part)) for c in batch.columns), pa.array(lang), pa.array(score, pa.float64()), pa.array(kin, pa.float64()), pa.array(learned)], names=[*batch.schema.names, "lang_pred", "score", "kin", "learned"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, kin double, learned boolean")
+    return docs.mapInArrow(giving_back(run), f"{schema}, lang_pred string, score double, kin double, learned boolean")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinship.llm.byte_bpe import byte_alphabet
-from kinship.llm.common import slices, small_batches, stored
+from kinship.llm.common import giving_back, slices, small_batches, stored
 
 #: Parts of each length's documents that are numbered apart, at least and at most, and documents for which there is one more: so a
 #: common length doesn't meet in one task.
@@ -127,7 +127,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_c
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(whole, many), pa.array(rest, pa.int64()), pa.array(bits, many)], names=[id_col, "n", "whole", "rest", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, whole array<long>, rest long, bits array<long>")
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), f"`{id_col}` {kind}, n long, whole array<long>, rest long, bits array<long>")
 
 
 def binary_parts(n: int) -> list[int]:
@@ -272,7 +272,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return numbered.select(id_col, "n", "whole", "rest", "bits", "length", "salt", "k", "g").mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return numbered.select(id_col, "n", "whole", "rest", "bits", "length", "salt", "k", "g").mapInArrow(giving_back(run), f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinship.llm.common import WORD_BYTES, held_out, release_memory, slices, small_batches, texts, without, word_hashes
+from kinship.llm.common import WORD_BYTES, giving_back, held_out, release_memory, slices, small_batches, texts, without, word_hashes
 
 #: Labelled documents that training sees at most, and bytes of either kind's texts: the driver gets 4 bytes for each word.
 POSITIVE, NEGATIVE, SAMPLE = 4000, 8000, 1 << 25
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64()), pa.array(offending, kind)], names=[*batch.schema.names, "score", "offending"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double, offending array<struct<begin:int,end:int,score:double>>")
+    return docs.mapInArrow(giving_back(run), f"{schema}, score double, offending array<struct<begin:int,end:int,score:double>>")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

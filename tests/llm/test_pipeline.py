@@ -116,3 +116,26 @@ def test_repeated_lines_of_different_documents_stay(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 1, 1.5, 7) for i, t in enumerate([a + b + z, y + b + c, a + b + c, a + b + c])], SCHEMA)
     out = dict(corpus_pipeline.STAGES)["lines"](spark, docs, "")
     assert sorted((x.doc_id, x.text) for x in out.collect()) == [(0, a + b + z), (1, y + b + c), (2, a + b + c)] and out.columns == docs.columns
+
+
+def test_workers_give_back_what_packing_held(spark, tmp_path):
+    import re
+
+    import public_tokenizers
+    import pyarrow as pa
+    from kinship.llm import common, packing
+
+    def held(batches):
+        for _ in batches:
+            pass
+        with open("/proc/self/smaps_rollup") as f:
+            before = int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1])
+        common.release_memory()
+        with open("/proc/self/smaps_rollup") as f:
+            freed = before - int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1])
+        yield pa.RecordBatch.from_arrays([pa.array([freed])], names=["id"])
+
+    docs = spark.range(0, 64, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 3000), x -> substr(md5(concat(id, '-', x)), 1, 9)), ' ') AS text")
+    packing.lengths(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1).write.format("noop").mode("overwrite").save()
+    freed = [r.id for r in spark.range(0, 1, 1, 1).mapInArrow(held, "id long").collect()]
+    assert len(freed) == 1 and freed[0] < 8_000, freed  # kB
